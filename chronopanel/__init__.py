@@ -3,7 +3,7 @@
 from chronopanel.panel import Panel, check_keys
 from chronopanel.plans.generate import generate_features, merge_features
 from chronopanel.plans.spec import FULL, KEEP, Operator, Stage, recipe_from_table, register, shipped_controller
-from chronopanel.scale import Limits, configure, pin
+from chronopanel.scale import Limits, configure, pin, stored
 
 __all__ = [
     "FULL",
@@ -20,4 +20,5 @@ __all__ = [
     "recipe_from_table",
     "register",
     "shipped_controller",
+    "stored",
 ]

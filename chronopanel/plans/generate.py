@@ -11,7 +11,7 @@ from chronopanel.operators.scores import add_normal_scores
 from chronopanel.operators.snapshot import add_distances
 from chronopanel.panel import Panel, quoted
 from chronopanel.plans.spec import KEEP, Controller, Recipe, Step, steps_for
-from chronopanel.scale import DEFAULT_LIMITS, Limits, group_sizes, pin, snapshot_column
+from chronopanel.scale import DEFAULT_LIMITS, Limits, group_sizes, snapshot_column, stored
 
 
 def generate_features(
@@ -28,9 +28,9 @@ def generate_features(
 
     Statistics and ranks of all columns are taken together and come back by one
     broadcast and one join; all history features share one window.  ``df`` is read
-    several times with different columns, so give a stored table (``pin`` a derived
-    one).  Only a recipe that ranks or averages over derived columns makes another
-    round, for which the rows so far are pinned.
+    several times with different columns, so give a stored table (``stored(df)`` for a
+    derived one).  Only a recipe that ranks or averages over derived columns makes
+    another round, for which the rows so far are stored.
     """
     columns = panel.value_columns(df)
     unknown = [c for c in columns if c not in controller]
@@ -53,7 +53,7 @@ def generate_features(
     while pending:
         batch = _next_batch(pending, set(current.columns))
         if batch[0].operator.kind in ("rank", "distance") and any(s.source not in source.columns for s in batch):
-            current = source = pin(current)
+            current = source = stored(current)
         match batch[0].operator.kind:
             case "rank":
                 ranks = {s.out: s.source for s in batch}

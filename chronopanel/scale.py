@@ -15,6 +15,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 from math import ceil
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,13 +81,8 @@ def shares_entity_shuffle(spark: SparkSession) -> bool:
     return spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder of the session.
-
-    Lost executors then cost a re-read, and a table that later plans read twice
-    (cut points, positions) is the same both times.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors can reach."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -95,9 +91,30 @@ def pin(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="chronopanel-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once as a checkpoint; row order and partitions stay as they are.
+
+    Lost executors then cost a re-read, and a table that later plans read twice
+    (cut points, positions) is the same both times.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once as Parquet in the shared folder.
+
+    For tables that several plans read with different columns, such as a panel
+    derived by an aggregation: each scan then reads just its columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def group_sizes(df: DataFrame, *keys: Column) -> GroupSizes:
     """Sizes of the groups of ``keys``; reads only the key columns."""
     counts = df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
@@ -197,3 +214,61 @@ def entity_column(panel: Panel) -> Column:
 
 def snapshot_column(panel: Panel) -> Column:
     return F.col(quoted(panel.snapshot))
+
+
+def rank_in_key(
+    df: DataFrame, keys: list[str], order: list[Column], out: str, unique: bool, limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
+    """Add ``out``, the 0-based place of a row among the rows of its key.
+
+    A window while every key is small enough for one task; otherwise positions in
+    one distributed sort, minus the position at which the key starts.
+    """
+    sizes = group_sizes(df, *[F.col(quoted(k)) for k in keys])
+    if sizes.largest <= limits.hot_above(sizes.rows):
+        line = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*order)
+        return df.withColumn(out, (F.row_number().over(line) - 1).cast("long"))
+    columns = df.columns
+    placed = global_position(df, [*[F.col(quoted(k)) for k in keys], *order], unique)
+    if not keys:
+        return placed.withColumnRenamed("__pos", out)
+    starts = placed.groupBy(*[quoted(k) for k in keys]).agg(F.min("__pos").alias("__first"))
+    joined = lookup_join(placed, starts, keys, sizes.groups, ["__pos"], limits)
+    return joined.select(*[quoted(c) for c in columns], (F.col("__pos") - F.col("__first")).alias(out))
+
+
+def add_neighbour(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    values: dict[str, str],
+    step: int,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """Add ``{output: column}`` taken from the next (step 1) or previous (step -1) row of the key.
+
+    For a hot key the rows get dense positions; blocks of equally many positions
+    are windows of their own, and the row just across a border is copied over it.
+    """
+    if step not in (1, -1):
+        raise ValueError("step is 1 or -1")
+    key_columns = [F.col(quoted(k)) for k in keys]
+    sizes = group_sizes(df, *key_columns)
+    block = limits.hot_above(sizes.rows)
+    columns = df.columns
+    group, copied = list(key_columns), None
+    if sizes.largest > block:
+        placed = global_position(df, [*key_columns, *order], unique=False)
+        home = F.floor(F.col("__pos") / block)
+        at_border = F.col("__pos") % block == (0 if step == 1 else block - 1)
+        both = F.when(at_border, F.array(home, home - step)).otherwise(F.array(home))
+        df = placed.withColumn("__block", F.explode(both))
+        copied = F.col("__block") != home
+        group.append(F.col("__block"))
+        order = [F.col("__pos")]
+    line = Window.partitionBy(*group).orderBy(*order)
+    near = F.lead if step == 1 else F.lag
+    out = df.select("*", *[near(F.col(quoted(c))).over(line).alias(o) for o, c in values.items()])
+    if copied is not None:
+        out = out.where(~copied)
+    return out.select(*[quoted(c) for c in columns], *[quoted(o) for o in values])
