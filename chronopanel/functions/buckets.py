@@ -13,17 +13,15 @@ QUARTER_BORDERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 TENTH_BORDERS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
-def interval_index(value: Column, borders: Sequence[float]) -> Column:
-    """Index (as double) of the half-open interval [lo, hi) holding the value.
+def interval_index(value: str, borders: Sequence[float]) -> Column:
+    """Index (as double) of the half-open interval [lo, hi) holding the value of a column.
 
     Missing and NaN give null.
     """
-    index = F.when(value.isNull() | F.isnan(value), F.lit(None).cast("double"))
-    for i, border in enumerate(borders):
-        index = index.when(value < border, F.lit(float(i)))
-    return index.otherwise(F.lit(float(len(borders))))
+    cases = " ".join(f"WHEN {value} < {float(border)!r}D THEN {float(i)!r}D" for i, border in enumerate(borders))
+    return F.expr(f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL {cases} ELSE {float(len(borders))!r}D END")
 
 
-def above(value: Column, threshold: float) -> Column:
-    """1.0 if value > threshold, else 0.0, also for missing and NaN."""
-    return F.when((value > threshold) & ~F.isnan(value), F.lit(1.0)).otherwise(F.lit(0.0))
+def above(value: str, threshold: float) -> Column:
+    """1.0 if the value of an expression is > threshold, else 0.0, also for missing and NaN."""
+    return F.expr(f"CASE WHEN {value} > {float(threshold)!r}D AND NOT isnan({value}) THEN 1.0D ELSE 0.0D END")

@@ -69,37 +69,37 @@ TAIL_DENOMINATOR = (
 )
 
 
-def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
-    result = F.lit(coefficients[-1])
+def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    result = f"{coefficients[-1]!r}D"
     for c in reversed(coefficients[:-1]):
-        result = result * x + F.lit(c)
+        result = f"({result} * {x} + {c!r}D)"
     return result
 
 
-def tail_distance(p: Column) -> Column:
-    """sqrt(-ln(distance of p from the nearer end)); null unless 0 < p < 1."""
-    return F.when((p > 0) & (p < 1), F.sqrt(-F.log(F.least(p, 1 - p))))
+def _ratio(numerator: tuple[float, ...], denominator: tuple[float, ...], x: str) -> str:
+    return f"{_polynomial(numerator, x)} / {_polynomial(denominator, x)}"
 
 
-def normal_quantile(p: Column, tail: Column | None = None) -> Column:
-    """Standard normal quantile: 0 gives -inf, 1 gives +inf, outside [0, 1] NaN.
+def tail_distance(p: str) -> Column:
+    """sqrt(-ln(distance of column p from the nearer end)); null unless 0 < p < 1."""
+    return F.expr(f"CASE WHEN {p} > 0 AND {p} < 1 THEN sqrt(-ln(least({p}, 1D - {p}))) END")
 
-    ``tail`` is ``tail_distance(p)``; give it as a column of an inner projection
-    to have the logarithm computed once per row.
+
+def normal_quantile(p: str, tail: str) -> Column:
+    """Standard normal quantile of column p: 0 gives -inf, 1 gives +inf, outside [0, 1] NaN.
+
+    ``tail`` is a column holding ``tail_distance(p)``.  One parsed expression: built
+    operator by operator from Python it would cost more than it does on the rows.
     """
-    tail = tail_distance(p) if tail is None else tail
-    q = p - 0.5
-    r = F.lit(0.180625) - q * q
-    central = q * _polynomial(CENTRAL_NUMERATOR, r) / _polynomial(CENTRAL_DENOMINATOR, r)
-    near = _polynomial(MIDDLE_NUMERATOR, tail - 1.6) / _polynomial(MIDDLE_DENOMINATOR, tail - 1.6)
-    far = _polynomial(TAIL_NUMERATOR, tail - 5.0) / _polynomial(TAIL_DENOMINATOR, tail - 5.0)
-    outer = F.when(tail <= 5.0, near).otherwise(far)
-    return (
-        F.when(p.isNull(), F.lit(None).cast("double"))
-        .when(F.isnan(p) | (p < 0) | (p > 1), F.lit(float("nan")))
-        .when(p == 0, F.lit(float("-inf")))
-        .when(p == 1, F.lit(float("inf")))
-        .when(F.abs(q) <= 0.425, central)
-        .when(q < 0, -outer)
-        .otherwise(outer)
+    q = f"({p} - 0.5D)"
+    central = f"{q} * {_ratio(CENTRAL_NUMERATOR, CENTRAL_DENOMINATOR, f'(0.180625D - {q} * {q})')}"
+    near = _ratio(MIDDLE_NUMERATOR, MIDDLE_DENOMINATOR, f"({tail} - 1.6D)")
+    far = _ratio(TAIL_NUMERATOR, TAIL_DENOMINATOR, f"({tail} - 5D)")
+    return F.expr(
+        f"""CASE WHEN {p} IS NULL THEN CAST(NULL AS DOUBLE)
+                 WHEN isnan({p}) OR {p} < 0 OR {p} > 1 THEN double('NaN')
+                 WHEN {p} = 0 THEN double('-Infinity')
+                 WHEN {p} = 1 THEN double('Infinity')
+                 WHEN abs({q}) <= 0.425D THEN {central}
+                 ELSE sign({q}) * CASE WHEN {tail} <= 5 THEN {near} ELSE {far} END END"""
     )

@@ -29,9 +29,9 @@ def ecdf_long(
     hot = hot_snapshots(df, panel, columns, sizes, limits)
     needed = list(dict.fromkeys([*keep, t]))
     values = long_values(df.select(*[quoted(c) for c in [*needed, *columns]]), panel, columns, needed)
-    values = divide(values, panel, hot)
     group = [t, "f"]
     if hot is not None:
+        values = divide(values, panel, hot)
         unordered = F.col("__n").isNotNull() & (F.col("v").isNull() | (F.col("__piece") % 2 == 1))
         spread = F.pmod(F.xxhash64(*[quoted(k) for k in keep]), F.lit(hot.pieces * limits.salts)).cast("int")
         values = values.withColumn("__salt", F.when(unordered, spread).otherwise(F.lit(-1)))
@@ -77,4 +77,6 @@ def add_ecdf(
     )
     if shares_entity_shuffle(df.sparkSession):
         df = df.repartition(*[quoted(c) for c in place])
-    return df.join(pivoted, keys, "left")
+    # Both sides are shuffled by entity, and the sort of the merge join is the one
+    # the history window needs.
+    return df.join(pivoted.hint("merge"), keys, "left")

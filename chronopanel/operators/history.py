@@ -38,6 +38,7 @@ LAG_ROWS = (1, 2, 3, 6)
 
 
 def earlier(name: str, k: int) -> str:
+    """Helper column: the value k snapshots earlier; k = 0 is the current one."""
     return f"__{k}_before_{name}"
 
 
@@ -117,47 +118,33 @@ def add_earlier(
         df = add_preceding_copies(df, panel, cuts, max(max(ks) for ks in wanted.values()))
         group.append(SLICE)
     line = Window.partitionBy(*group).orderBy(quoted(panel.snapshot))
-    out = df.select(
-        "*",
-        *[F.lag(panel.number(c), k).over(line).alias(earlier(c, k)) for c, ks in wanted.items() for k in ks],
-    )
+    # The current values as clean doubles first, so that lags and frames only name them.
+    now = df.select("*", *[panel.number(c).alias(earlier(c, 0)) for c in wanted])
+    lags = [(c, k) for c, ks in wanted.items() for k in ks if k > 0]
+    out = now.select("*", *[F.lag(quoted(earlier(c, 0)), k).over(line).alias(earlier(c, k)) for c, k in lags])
     if cuts is not None:
         out = out.where(~F.col(COPY))
-    return out.select(
-        *[quoted(c) for c in columns], *[quoted(earlier(c, k)) for c, ks in wanted.items() for k in ks]
-    )
-
-
-def frame(panel: Panel, name: str, rows: int) -> list[Column]:
-    """The current value and those up to ``rows`` snapshots earlier."""
-    return [panel.number(name), *[F.col(quoted(earlier(name, k))) for k in range(1, rows + 1)]]
-
-
-def moving_mean(panel: Panel, name: str, rows: int) -> Column:
-    values = frame(panel, name, rows)
-    total, present = None, None
-    for v in values:
-        term = F.coalesce(panel.summand(v), F.lit(0).cast("double") if panel.exact_scale is None else F.lit(0))
-        one = F.when(v.isNotNull(), 1).otherwise(0)
-        total = term if total is None else total + term
-        present = one if present is None else present + one
-    return total.cast("double") / F.nullif(present, F.lit(0))
-
-
-def moving_min(panel: Panel, name: str, rows: int) -> Column:
-    return F.least(*frame(panel, name, rows))
-
-
-def moving_max(panel: Panel, name: str, rows: int) -> Column:
-    return F.greatest(*frame(panel, name, rows))
+    helpers = [*[earlier(c, 0) for c in wanted], *[earlier(c, k) for c, k in lags]]
+    return out.select(*[quoted(c) for c in [*columns, *helpers]])
 
 
-MOVING = {"mean": moving_mean, "min": moving_min, "max": moving_max}
+def moving_sql(panel: Panel, name: str, statistic: str, rows: int) -> str:
+    """Mean, min or max over the current value and those up to ``rows`` snapshots earlier."""
+    values = [quoted(earlier(name, k)) for k in range(rows + 1)]
+    if statistic == "min":
+        return f"least({', '.join(values)})"
+    if statistic == "max":
+        return f"greatest({', '.join(values)})"
+    zero = "0D" if panel.exact_scale is None else "0"
+    total = "(" + " + ".join(f"coalesce({panel.summand_sql(v)}, {zero})" for v in values) + ")"
+    present = " + ".join(f"int({v} IS NOT NULL)" for v in values)
+    return f"{panel.total_sql(total)} / nullif({present}, 0)"
 
 
 def moving_distance_columns(panel: Panel, name: str, statistic: str, prefix: str) -> dict[str, Column]:
-    """``{prefix}{name}_{n}``: value minus the statistic of the current and n older rows."""
-    return {f"{prefix}_{n}": panel.number(name) - MOVING[statistic](panel, name, n) for n in MOVING_ROWS}
+    """``{prefix}_{n}``: value minus the statistic of the current and n older rows."""
+    now = quoted(earlier(name, 0))
+    return {f"{prefix}_{n}": F.expr(f"{now} - {moving_sql(panel, name, statistic, n)}") for n in MOVING_ROWS}
 
 
 def lag_columns(name: str) -> dict[str, Column]:

@@ -82,21 +82,11 @@ def _place(df: DataFrame, pieces: int) -> DataFrame:
     return df.withColumn("__piece", 2 * F.col("__k") + at_cut).drop("__k")
 
 
-def divide(values: DataFrame, panel: Panel, hot: HotSnapshots | None) -> DataFrame:
+def divide(values: DataFrame, panel: Panel, hot: HotSnapshots) -> DataFrame:
     """Add ``__piece`` and, for hot snapshots, ``__below``, ``__upto``, ``__m``, ``__n``.
 
     The four are null for the rows of other snapshots, which form one piece.
     """
-    if hot is None:
-        nothing = F.lit(None).cast("long")
-        return values.select(
-            "*",
-            F.lit(0).alias("__piece"),
-            nothing.alias("__below"),
-            nothing.alias("__upto"),
-            nothing.alias("__m"),
-            nothing.alias("__n"),
-        )
     placed = _place(values.join(F.broadcast(hot.table), [panel.snapshot, "f"], "left"), hot.pieces)
     return (
         placed.withColumn("__below", F.get("__belows", F.col("__piece")))

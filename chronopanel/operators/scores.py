@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from chronopanel.functions.buckets import QUARTER_BORDERS, TENTH_BORDERS, above, interval_index
 from chronopanel.functions.normal import normal_quantile, tail_distance
@@ -13,16 +12,16 @@ from chronopanel.panel import quoted
 TAIL_THRESHOLDS = (2, 3)
 
 
-def bucket_columns(value: Column, name: str) -> dict[str, Column]:
+def bucket_columns(name: str) -> dict[str, Column]:
     return {
-        f"B4_{name}": interval_index(value, QUARTER_BORDERS),
-        f"B10_{name}": interval_index(value, TENTH_BORDERS),
+        f"B4_{name}": interval_index(quoted(name), QUARTER_BORDERS),
+        f"B10_{name}": interval_index(quoted(name), TENTH_BORDERS),
     }
 
 
-def tail_flag_columns(value: Column, name: str) -> dict[str, Column]:
-    up = {f"{k}SDU_{name}": above(value, float(k)) for k in TAIL_THRESHOLDS}
-    down = {f"{k}SDD_{name}": above(-value, float(k)) for k in TAIL_THRESHOLDS}
+def tail_flag_columns(name: str) -> dict[str, Column]:
+    up = {f"{k}SDU_{name}": above(quoted(name), k) for k in TAIL_THRESHOLDS}
+    down = {f"{k}SDD_{name}": above(f"(-{quoted(name)})", k) for k in TAIL_THRESHOLDS}
     return {**up, **down}
 
 
@@ -31,16 +30,7 @@ def add_normal_scores(df: DataFrame, scores: dict[str, str]) -> DataFrame:
 
     Two projections: the first holds the logarithms, so that each is taken once.
     """
-    columns = list(dict.fromkeys(scores.values()))
-    helper = {c: f"__tail_{c}" for c in columns}
-    inner = df.select(
-        *[quoted(c) for c in df.columns],
-        *[tail_distance(F.col(quoted(c)).cast("double")).alias(helper[c]) for c in columns],
-    )
-    return inner.select(
-        *[quoted(c) for c in df.columns],
-        *[
-            normal_quantile(F.col(quoted(c)).cast("double"), F.col(quoted(helper[c]))).alias(out)
-            for out, c in scores.items()
-        ],
-    )
+    kept = [quoted(c) for c in df.columns]
+    helper = {c: quoted(f"__tail_{c}") for c in dict.fromkeys(scores.values())}
+    inner = df.select(*kept, *[tail_distance(quoted(c)).alias(h[1:-1]) for c, h in helper.items()])
+    return inner.select(*kept, *[normal_quantile(quoted(c), helper[c]).alias(out) for out, c in scores.items()])

@@ -36,7 +36,7 @@ def score_table(
     return ranked.select(
         *[quoted(c) for c in keep],
         (F.col("e") * 100).alias("score"),
-        interval_index(F.col("e"), borders).alias("score_bucket"),
+        interval_index("e", borders).alias("score_bucket"),
         F.col("__p").alias("probability"),
-        interval_index(F.col("__p").cast("double"), borders).alias("probability_bucket"),
+        interval_index("__p", borders).alias("probability_bucket"),
     )

@@ -18,9 +18,12 @@ def statistic_name(column: str, statistic: str) -> str:
     return f"__{statistic}_{column}"
 
 
-def mean_of(panel: Panel, value: Column) -> Column:
-    """Mean over non-missing values, null if there are none."""
-    return F.sum(panel.summand(value)).cast("double") / F.nullif(F.count(value), F.lit(0))
+def statistic_sql(panel: Panel, column: str, statistic: str) -> str:
+    value = panel.number_sql(column)
+    if statistic == "mean":
+        total = panel.total_sql(f"sum({panel.summand_sql(value)})")
+        return f"{total} / nullif(count({value}), 0)"
+    return f"{statistic}({value})"
 
 
 def snapshot_stats(
@@ -37,11 +40,10 @@ def snapshot_stats(
     ``snapshot_medians``.
     """
     wanted = list(dict.fromkeys(wanted))
-    plain = {"mean": lambda v: mean_of(panel, v), "min": F.min, "max": F.max}
     aggregates = [
-        plain[statistic](panel.number(column)).alias(statistic_name(column, statistic))
+        F.expr(statistic_sql(panel, column, statistic)).alias(statistic_name(column, statistic))
         for column, statistic in wanted
-        if statistic in plain
+        if statistic != "median"
     ]
     medians = [column for column, statistic in wanted if statistic == "median"]
     stats = df.groupBy(snapshot_column(panel).alias(panel.snapshot)).agg(
@@ -66,23 +68,20 @@ def snapshot_medians(
     t = panel.snapshot
     hot = hot_snapshots(df, panel, columns, sizes, limits)
     values = long_values(df.select(t, *[quoted(c) for c in columns]), panel, columns, [t]).where(F.col("v").isNotNull())
-    values = divide(values, panel, hot)
     if hot is not None:
+        values = divide(values, panel, hot)
         # Keep the piece(s) holding the middle; a cold snapshot is one piece.
         holds_middle = (F.col("__upto") >= _lower(F.col("__m"))) & (F.col("__below") < _upper(F.col("__m")))
         values = values.where(F.col("__m").isNull() | holds_middle)
-    counted = values.groupBy(t, "f", "__piece", "__below", "__m", "v").agg(F.count(F.lit(1)).alias("c"))
-    piece = Window.partitionBy(t, "f", "__piece").orderBy("v")
-    upto = F.sum("c").over(piece.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("c").over(piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranked = counted.select(
-        t,
-        "f",
-        "v",
-        (F.coalesce("__below", F.lit(0)) + upto).alias("upto"),
-        (F.coalesce("__below", F.lit(0)) + upto - F.col("c")).alias("below"),
-        F.coalesce("__m", total).alias("m"),
-    )
+    piece = [] if hot is None else ["__piece", "__below", "__m"]
+    counted = values.groupBy(t, "f", *piece, "v").agg(F.count(F.lit(1)).alias("c"))
+    line = Window.partitionBy(t, "f", *piece[:1]).orderBy("v")
+    upto = F.sum("c").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("c").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    if hot is not None:
+        upto = F.coalesce("__below", F.lit(0)) + upto
+        total = F.coalesce("__m", total)
+    ranked = counted.select(t, "f", "v", upto.alias("upto"), (upto - F.col("c")).alias("below"), total.alias("m"))
 
     def at(position: Column) -> Column:
         return F.max(F.when((F.col("below") < position) & (F.col("upto") >= position), F.col("v")))
@@ -96,11 +95,11 @@ def snapshot_medians(
 
 def _lower(count: Column) -> Column:
     """1-based position of the lower middle value among ``count`` values."""
-    return F.floor((count + 1) / 2)
+    return F.call_function("div", count + 1, F.lit(2))
 
 
 def _upper(count: Column) -> Column:
-    return F.floor((count + 2) / 2)
+    return F.call_function("div", count + 2, F.lit(2))
 
 
 def add_distances(
@@ -123,7 +122,7 @@ def add_distances(
     return joined.select(
         *[quoted(c) for c in df.columns],
         *[
-            (panel.number(column) - F.col(quoted(statistic_name(column, statistic)))).alias(out)
+            F.expr(f"{panel.number_sql(column)} - {quoted(statistic_name(column, statistic))}").alias(out)
             for out, (column, statistic) in distances.items()
         ],
     )

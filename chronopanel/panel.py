@@ -13,8 +13,9 @@ class Panel:
     """Key columns of a panel table.
 
     ``exact_scale`` is the number of decimal places the numeric columns hold, if
-    that is known (money: 2).  Sums are then taken in DECIMAL, so a mean does not
-    depend on the order in which Spark adds rows.  ``None`` means plain doubles.
+    that is known (money: 2).  Sums are then taken over whole smallest units, so a
+    mean does not depend on the order in which Spark adds rows; a sum beyond 64 bits
+    raises.  ``None`` means plain doubles.
     """
 
     entity: str = "ID"
@@ -29,15 +30,25 @@ class Panel:
         """All columns that are not keys, in table order."""
         return [c for c in df.columns if c not in (self.entity, self.snapshot)]
 
-    def number(self, name: str) -> Column:
+    def number_sql(self, name: str) -> str:
         """The column as double; NaN counts as missing and -0.0 becomes 0.0."""
-        value = F.col(quoted(name)).cast("double")
-        return F.when(~F.isnan(value), value + F.lit(0.0))
+        value = f"CAST({quoted(name)} AS DOUBLE)"
+        return f"CASE WHEN NOT isnan({value}) THEN {value} + 0.0D END"
+
+    def number(self, name: str) -> Column:
+        return F.expr(self.number_sql(name))
 
-    def summand(self, value: Column) -> Column:
+    def summand_sql(self, value: str) -> str:
+        """What sums add up for ``value``: the double itself, or whole smallest units."""
         if self.exact_scale is None:
             return value
-        return value.cast(f"decimal(18,{self.exact_scale})")
+        return f"CAST(rint({value} * {10.0**self.exact_scale!r}D) AS BIGINT)"
+
+    def total_sql(self, total: str) -> str:
+        """A sum of summands as double."""
+        if self.exact_scale is None:
+            return f"CAST({total} AS DOUBLE)"
+        return f"CAST({total} AS DOUBLE) / {10.0**self.exact_scale!r}D"
 
 
 def quoted(name: str) -> str:

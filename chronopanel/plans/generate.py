@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators.ecdf import add_ecdf
@@ -37,6 +37,7 @@ def generate_features(
     if unknown and unlisted is None:
         raise ValueError(f"no recipe for columns {', '.join(unknown)}")
     steps = [s for c in columns for s in steps_for(c, controller.get(c, unlisted or KEEP))]
+    expressions = {id(s): s.expressions(panel) for s in steps}
     pending = [s for s in steps if s.operator.kind != "keep"]
     kinds = {s.operator.kind for s in pending}
 
@@ -64,25 +65,25 @@ def generate_features(
             case "score":
                 current = add_normal_scores(current, {s.out: s.source for s in batch})
             case "row":
-                current = current.select("*", *_expressions(batch, panel))
+                current = current.select("*", *_named(batch, expressions))
             case "history":
                 offsets: dict[str, set[int]] = {}
                 for s in batch:
                     offsets.setdefault(s.source, set()).update(s.operator.offsets)
                 before = list(current.columns)
                 current = add_earlier(current, panel, offsets, limits, cuts)
-                current = current.select(*[quoted(c) for c in before], *_expressions(batch, panel))
+                current = current.select(*[quoted(c) for c in before], *_named(batch, expressions))
         pending = [s for s in pending if s not in batch]
 
     features = {c: [] for c in columns}
     for s in steps:
-        features[s.root].extend(s.outputs(panel))
+        features[s.root].extend(expressions[id(s)])
     wide = [*panel.keys, *[name for c in columns for name in [c, *features[c]]]]
     return current.select(*[quoted(c) for c in wide])
 
 
-def _expressions(batch: list[Step], panel: Panel) -> list:
-    return [e.alias(name) for s in batch for name, e in s.operator.columns(panel, s.source, s.out).items()]
+def _named(batch: list[Step], expressions: dict[int, dict[str, Column | None]]) -> list[Column]:
+    return [e.alias(name) for s in batch for name, e in expressions[id(s)].items()]
 
 
 def _next_batch(pending: list[Step], present: set[str]) -> list[Step]:

@@ -12,11 +12,10 @@ from dataclasses import dataclass, field
 from typing import Literal
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from chronopanel.operators.history import LAG_ROWS, MOVING_ROWS, lag_columns, moving_distance_columns
 from chronopanel.operators.scores import bucket_columns, tail_flag_columns
-from chronopanel.panel import Panel, quoted
+from chronopanel.panel import Panel
 
 Kind = Literal["keep", "distance", "rank", "score", "row", "history"]
 
@@ -63,11 +62,11 @@ OPERATORS: dict[str, Operator] = {
     "Cs_distanceFromMedian": Operator("distance", "DME_", statistic="median", fixed_names=True),
     "Cs_ecdf": Operator("rank", "E_", fixed_names=True),
     "Cs_bucketize": Operator(
-        "row", columns=lambda panel, name, out: bucket_columns(F.col(quoted(name)), name), fixed_names=True
+        "row", columns=lambda panel, name, out: bucket_columns(name), fixed_names=True
     ),
     "Cs_quantile": Operator("score", "Q_", fixed_names=True),
     "Cs_naiveOutliers": Operator(
-        "row", columns=lambda panel, name, out: tail_flag_columns(F.col(quoted(name)), name), fixed_names=True
+        "row", columns=lambda panel, name, out: tail_flag_columns(name), fixed_names=True
     ),
     "Ts_distanceFromMovingAverages": _moving("mean", "DMM_"),
     "Ts_distanceFromMovingMins": _moving("min", "DMMI_"),
@@ -103,12 +102,13 @@ class Step:
     source: str
     out: str
 
-    def outputs(self, panel: Panel) -> list[str]:
+    def expressions(self, panel: Panel) -> dict[str, Column | None]:
+        """Output names and expressions, None for those that need more than an expression."""
         if self.operator.kind == "keep":
-            return []
+            return {}
         if self.operator.columns is None:
-            return [self.out]
-        return list(self.operator.columns(panel, self.source, self.out))
+            return {self.out: None}
+        return self.operator.columns(panel, self.source, self.out)
 
 
 Recipe = Sequence[Stage]

@@ -70,9 +70,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
     The first lets a join on (entity, snapshot) and the window by entity share one
     shuffle by entity.  It is safe against skew here because the shuffle key of a
-    hot entity also holds its time slice (see ``operators.history``).
+    hot entity also holds its time slice (see ``operators.history``).  The second
+    keeps the JVM compiling: it interprets methods above 8000 bytes of code, which
+    a fused stage with dozens of feature expressions exceeds; Spark then generates
+    the projections split into small methods instead.
     """
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
     return spark
 
