@@ -1,9 +1,10 @@
-"""Inverse of the standard normal distribution as a Spark column."""
+"""Inverse of the standard normal distribution as a Spark SQL expression.
 
-from __future__ import annotations
+Expressions here are text: a wide feature table has hundreds, and building them
+operator by operator from Python costs more than Spark then spends on the rows.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Coefficients of the published rational approximation AS 241
 # (Wichura 1988, routine PPND16), lowest power first.
@@ -80,26 +81,23 @@ def _ratio(numerator: tuple[float, ...], denominator: tuple[float, ...], x: str)
     return f"{_polynomial(numerator, x)} / {_polynomial(denominator, x)}"
 
 
-def tail_distance(p: str) -> Column:
+def tail_distance(p: str) -> str:
     """sqrt(-ln(distance of column p from the nearer end)); null unless 0 < p < 1."""
-    return F.expr(f"CASE WHEN {p} > 0 AND {p} < 1 THEN sqrt(-ln(least({p}, 1D - {p}))) END")
+    return f"CASE WHEN {p} > 0 AND {p} < 1 THEN sqrt(-ln(least({p}, 1D - {p}))) END"
 
 
-def normal_quantile(p: str, tail: str) -> Column:
+def normal_quantile(p: str, tail: str) -> str:
     """Standard normal quantile of column p: 0 gives -inf, 1 gives +inf, outside [0, 1] NaN.
 
-    ``tail`` is a column holding ``tail_distance(p)``.  One parsed expression: built
-    operator by operator from Python it would cost more than it does on the rows.
+    ``tail`` is a column holding ``tail_distance(p)``.
     """
     q = f"({p} - 0.5D)"
     central = f"{q} * {_ratio(CENTRAL_NUMERATOR, CENTRAL_DENOMINATOR, f'(0.180625D - {q} * {q})')}"
     near = _ratio(MIDDLE_NUMERATOR, MIDDLE_DENOMINATOR, f"({tail} - 1.6D)")
     far = _ratio(TAIL_NUMERATOR, TAIL_DENOMINATOR, f"({tail} - 5D)")
-    return F.expr(
-        f"""CASE WHEN {p} IS NULL THEN CAST(NULL AS DOUBLE)
-                 WHEN isnan({p}) OR {p} < 0 OR {p} > 1 THEN double('NaN')
-                 WHEN {p} = 0 THEN double('-Infinity')
-                 WHEN {p} = 1 THEN double('Infinity')
-                 WHEN abs({q}) <= 0.425D THEN {central}
-                 ELSE sign({q}) * CASE WHEN {tail} <= 5 THEN {near} ELSE {far} END END"""
-    )
+    return f"""CASE WHEN {p} IS NULL THEN CAST(NULL AS DOUBLE)
+                    WHEN isnan({p}) OR {p} < 0 OR {p} > 1 THEN double('NaN')
+                    WHEN {p} = 0 THEN double('-Infinity')
+                    WHEN {p} = 1 THEN double('Infinity')
+                    WHEN abs({q}) <= 0.425D THEN {central}
+                    ELSE sign({q}) * CASE WHEN {tail} <= 5 THEN {near} ELSE {far} END END"""

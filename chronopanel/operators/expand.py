@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.panel import quoted
+from chronopanel.panel import named, quoted
 from chronopanel.scale import global_position
 
 # Fixed value: days between two generated snapshots.
@@ -22,10 +22,7 @@ def stack_copies(df: DataFrame, copies: int, out: str = "copy") -> DataFrame:
 def clone_columns(df: DataFrame, keys: list[str], clones: int) -> DataFrame:
     """Add ``clones`` copies of all non-key columns with suffixes _1, _2, ..."""
     values = [c for c in df.columns if c not in keys]
-    return df.select(
-        *[quoted(c) for c in df.columns],
-        *[F.col(quoted(c)).alias(f"{c}_{i}") for i in range(1, clones + 1) for c in values],
-    )
+    return df.selectExpr("*", *named({f"{c}_{i}": quoted(c) for i in range(1, clones + 1) for c in values}))
 
 
 def renumber(df: DataFrame, entity: str, copy: str | None = None) -> DataFrame:

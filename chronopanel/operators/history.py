@@ -12,10 +12,10 @@ slice gets a copy of the few rows before it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.panel import Panel, quoted
+from chronopanel.panel import Panel, named, quoted
 from chronopanel.scale import (
     DEFAULT_LIMITS,
     GroupSizes,
@@ -107,7 +107,6 @@ def add_earlier(
     wanted = {c: sorted(ks) for c, ks in offsets.items() if ks}
     if not wanted:
         return df
-    columns = list(df.columns)
     cuts = sliced
     if cuts == "look":
         cuts = hot_entity_cuts(df, panel, limits=limits)
@@ -117,15 +116,14 @@ def add_earlier(
     if cuts is not None:
         df = add_preceding_copies(df, panel, cuts, max(max(ks) for ks in wanted.values()))
         group.append(SLICE)
-    line = Window.partitionBy(*group).orderBy(quoted(panel.snapshot))
     # The current values as clean doubles first, so that lags and frames only name them.
-    now = df.select("*", *[panel.number(c).alias(earlier(c, 0)) for c in wanted])
-    lags = [(c, k) for c, ks in wanted.items() for k in ks if k > 0]
-    out = now.select("*", *[F.lag(quoted(earlier(c, 0)), k).over(line).alias(earlier(c, k)) for c, k in lags])
-    if cuts is not None:
-        out = out.where(~F.col(COPY))
-    helpers = [*[earlier(c, 0) for c in wanted], *[earlier(c, k) for c, k in lags]]
-    return out.select(*[quoted(c) for c in [*columns, *helpers]])
+    now = df.selectExpr("*", *named({earlier(c, 0): panel.number_sql(c) for c in wanted}))
+    line = f"(PARTITION BY {', '.join(group)} ORDER BY {quoted(panel.snapshot)})"
+    lags = {
+        earlier(c, k): f"lag({quoted(earlier(c, 0))}, {k}) OVER {line}" for c, ks in wanted.items() for k in ks if k > 0
+    }
+    out = now.selectExpr("*", *named(lags))
+    return out if cuts is None else out.where(~F.col(COPY)).drop(COPY, SLICE)
 
 
 def moving_sql(panel: Panel, name: str, statistic: str, rows: int) -> str:
@@ -141,12 +139,12 @@ def moving_sql(panel: Panel, name: str, statistic: str, rows: int) -> str:
     return f"{panel.total_sql(total)} / nullif({present}, 0)"
 
 
-def moving_distance_columns(panel: Panel, name: str, statistic: str, prefix: str) -> dict[str, Column]:
+def moving_distance_columns(panel: Panel, name: str, statistic: str, prefix: str) -> dict[str, str]:
     """``{prefix}_{n}``: value minus the statistic of the current and n older rows."""
     now = quoted(earlier(name, 0))
-    return {f"{prefix}_{n}": F.expr(f"{now} - {moving_sql(panel, name, statistic, n)}") for n in MOVING_ROWS}
+    return {f"{prefix}_{n}": f"{now} - {moving_sql(panel, name, statistic, n)}" for n in MOVING_ROWS}
 
 
-def lag_columns(name: str) -> dict[str, Column]:
+def lag_columns(name: str) -> dict[str, str]:
     """``L{k}_{name}``: value k snapshots earlier, null where there is none."""
-    return {f"L{k}_{name}": F.col(quoted(earlier(name, k))) for k in LAG_ROWS}
+    return {f"L{k}_{name}": quoted(earlier(name, k)) for k in LAG_ROWS}

@@ -33,10 +33,10 @@ def score_table(
         "__p", F.col(quoted(probability))
     )
     ranked = ecdf_long(keyed, Panel(object_id, cross), [probability], [*keep, "__p"], limits=limits)
-    return ranked.select(
+    return ranked.selectExpr(
         *[quoted(c) for c in keep],
-        (F.col("e") * 100).alias("score"),
-        interval_index("e", borders).alias("score_bucket"),
-        F.col("__p").alias("probability"),
-        interval_index("__p", borders).alias("probability_bucket"),
+        "e * 100 AS score",
+        f"{interval_index('e', borders)} AS score_bucket",
+        "__p AS probability",
+        f"{interval_index('__p', borders)} AS probability_bucket",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators.pieces import divide, hot_snapshots, long_values
-from chronopanel.panel import Panel, quoted
+from chronopanel.panel import Panel, named, quoted
 from chronopanel.scale import DEFAULT_LIMITS, GroupSizes, Limits, group_sizes, lookup_join, snapshot_column
 
 STATISTICS = ("mean", "min", "max", "median")
@@ -119,10 +119,9 @@ def add_distances(
     sizes = sizes or group_sizes(source, snapshot_column(panel))
     stats = snapshot_stats(source, panel, distances.values(), sizes, limits)
     joined = lookup_join(df, stats, [panel.snapshot], sizes.groups, [panel.entity], limits)
-    return joined.select(
-        *[quoted(c) for c in df.columns],
-        *[
-            F.expr(f"{panel.number_sql(column)} - {quoted(statistic_name(column, statistic))}").alias(out)
-            for out, (column, statistic) in distances.items()
-        ],
-    )
+    helpers = {statistic_name(column, statistic) for column, statistic in distances.values()}
+    made = {
+        out: f"{panel.number_sql(column)} - {quoted(statistic_name(column, statistic))}"
+        for out, (column, statistic) in distances.items()
+    }
+    return joined.selectExpr("*", *named(made)).drop("__rows", *helpers)

@@ -56,6 +56,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def named(expressions: dict[str, str]) -> list[str]:
+    """SQL select items for ``{name: expression}``."""
+    return [f"{expression} AS {quoted(name)}" for name, expression in expressions.items()]
+
+
 def check_keys(df: DataFrame, panel: Panel) -> None:
     """Raise if a key is null or an (entity, snapshot) pair occurs twice.
 

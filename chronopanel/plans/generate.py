@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators.ecdf import add_ecdf
 from chronopanel.operators.history import SLICE, add_earlier, add_slices, hot_entity_cuts
 from chronopanel.operators.scores import add_normal_scores
 from chronopanel.operators.snapshot import add_distances
-from chronopanel.panel import Panel, quoted
+from chronopanel.panel import Panel, named, quoted
 from chronopanel.plans.spec import KEEP, Controller, Recipe, Step, steps_for
 from chronopanel.scale import DEFAULT_LIMITS, Limits, group_sizes, snapshot_column, stored
 
@@ -41,7 +41,7 @@ def generate_features(
     pending = [s for s in steps if s.operator.kind != "keep"]
     kinds = {s.operator.kind for s in pending}
 
-    current = df.select(*[quoted(c) for c in [*panel.keys, *columns]])
+    current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns]])
     sizes = group_sizes(current, snapshot_column(panel)) if kinds & {"distance", "rank"} else None
     cuts = None
     if "history" in kinds:
@@ -65,25 +65,24 @@ def generate_features(
             case "score":
                 current = add_normal_scores(current, {s.out: s.source for s in batch})
             case "row":
-                current = current.select("*", *_named(batch, expressions))
+                current = current.selectExpr("*", *_items(batch, expressions))
             case "history":
                 offsets: dict[str, set[int]] = {}
                 for s in batch:
                     offsets.setdefault(s.source, set()).update(s.operator.offsets)
-                before = list(current.columns)
                 current = add_earlier(current, panel, offsets, limits, cuts)
-                current = current.select(*[quoted(c) for c in before], *_named(batch, expressions))
+                current = current.selectExpr("*", *_items(batch, expressions))
         pending = [s for s in pending if s not in batch]
 
     features = {c: [] for c in columns}
     for s in steps:
         features[s.root].extend(expressions[id(s)])
     wide = [*panel.keys, *[name for c in columns for name in [c, *features[c]]]]
-    return current.select(*[quoted(c) for c in wide])
+    return current.selectExpr(*[quoted(c) for c in wide])
 
 
-def _named(batch: list[Step], expressions: dict[int, dict[str, Column | None]]) -> list[Column]:
-    return [e.alias(name) for s in batch for name, e in expressions[id(s)].items()]
+def _items(batch: list[Step], expressions: dict[int, dict[str, str | None]]) -> list[str]:
+    return [item for s in batch for item in named(expressions[id(s)])]
 
 
 def _next_batch(pending: list[Step], present: set[str]) -> list[Step]:

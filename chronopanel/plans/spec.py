@@ -11,8 +11,6 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Literal
 
-from pyspark.sql import Column
-
 from chronopanel.operators.history import LAG_ROWS, MOVING_ROWS, lag_columns, moving_distance_columns
 from chronopanel.operators.scores import bucket_columns, tail_flag_columns
 from chronopanel.panel import Panel
@@ -31,7 +29,7 @@ class Operator:
                row       expressions over the row, from ``columns``
                history   expressions over earlier values, from ``columns``; the
                          values up to ``offsets`` snapshots back are provided
-    columns    (panel, input, output) -> {name: expression}
+    columns    (panel, input, output) -> {name: SQL expression}
     default    output prefix if the stage gives none
     """
 
@@ -39,7 +37,7 @@ class Operator:
     default: str = ""
     statistic: str | None = None
     offsets: tuple[int, ...] = ()
-    columns: Callable[[Panel, str, str], dict[str, Column]] | None = None
+    columns: Callable[[Panel, str, str], dict[str, str]] | None = None
     fixed_names: bool = False
 
 
@@ -102,7 +100,7 @@ class Step:
     source: str
     out: str
 
-    def expressions(self, panel: Panel) -> dict[str, Column | None]:
+    def expressions(self, panel: Panel) -> dict[str, str | None]:
         """Output names and expressions, None for those that need more than an expression."""
         if self.operator.kind == "keep":
             return {}

@@ -8,6 +8,7 @@ engine divides its work appears here.
 from __future__ import annotations
 
 from chronopanel.functions import normal
+from chronopanel.plans.spec import BASE_COLUMNS, CLONES, FULL_COLUMNS
 from workload.panels import ONE_DAY
 
 PANELS = {
@@ -32,6 +33,32 @@ PANELS = {
     "customers": f"SELECT c_custkey AS id, DATE '{ONE_DAY}' AS t, c_acctbal AS balance FROM customer",
 }
 
+
+
+def shipped_panel() -> str:
+    """24 value columns per customer, cloned, doubled, in two snapshots."""
+    price, finished = "CAST(o_totalprice AS DECIMAL(18,2))", "o_orderstatus = 'F' AND "
+    aggregates = ["CAST(COUNT(*) AS DOUBLE) AS PAY_0"]
+    aggregates += [f"CAST(COUNT(*) FILTER (o_orderpriority LIKE '{i}%') AS DOUBLE) AS PAY_{i + 1}" for i in range(1, 6)]
+    for name, extra in (("BILL_AMT", ""), ("PAY_AMT", finished)):
+        aggregates += [
+            f"CAST(SUM({price}) FILTER ({extra}year(o_orderdate) = {1994 + i}) AS DOUBLE) AS {name}{i}" for i in range(1, 7)
+        ]
+    aggregates.append("CAST(COUNT(*) FILTER (o_orderstatus = 'P') AS DOUBLE) AS default_payment_next_month")
+    clones = ", ".join(f"{c} AS {c}_{i}" for i in range(1, CLONES + 1) for c in BASE_COLUMNS)
+    return f"""
+        WITH per_customer AS (SELECT o_custkey AS c_custkey, {", ".join(aggregates)} FROM orders GROUP BY 1),
+        base AS (SELECT c_custkey, c_acctbal AS LIMIT_BAL, CAST(c_nationkey % 2 + 1 AS DOUBLE) AS SEX,
+                 CAST(length(c_mktsegment) AS DOUBLE) AS EDUCATION, CAST(c_nationkey % 3 AS DOUBLE) AS MARRIAGE,
+                 CAST(c_nationkey + 20 AS DOUBLE) AS AGE, per_customer.* EXCLUDE (c_custkey)
+                 FROM customer LEFT JOIN per_customer USING (c_custkey))
+        SELECT row_number() OVER (PARTITION BY day ORDER BY copy, c_custkey) AS id, CAST(day AS DATE) AS t,
+               {", ".join(BASE_COLUMNS)}, {clones}
+        FROM base, (VALUES (0), (1)) AS copies(copy), (VALUES ('2017-01-01'), ('2017-01-31')) AS days(day)"""
+
+
+PANELS["shipped"] = shipped_panel()
+
 SNAPSHOT = "PARTITION BY t"
 ENTITY = "PARTITION BY id ORDER BY t"
 
@@ -212,6 +239,16 @@ ORACLES: dict[str, str] = {
     "all_features_one_column": full_sql("orders", ALL, ["price"]),
     "all_features_events": full_sql("events", ALL, ["value", "bought"], ["n_events"]),
     "all_features_parts": full_sql("parts", ALL, ["revenue", "quantity", "returned"]),
+    "shipped_workload": full_sql(
+        "shipped",
+        ALL,
+        FULL_COLUMNS,
+        [
+            c
+            for c in [*BASE_COLUMNS, *[f"{c}_{i}" for i in range(1, CLONES + 1) for c in BASE_COLUMNS]]
+            if c not in FULL_COLUMNS
+        ],
+    ),
     "features_by_table": f"""
         WITH f AS ({feature_sql("events", {"value": {"DM", "LDM", "E", "B"}},
                                 ["value", *names("value", {"DM", "LDM", "E", "B"}), "n_events", "bought"])})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel import Panel, stored
+from chronopanel.plans.spec import BASE_COLUMNS
 
 # Amounts have two decimal places, so means are taken exactly.
 PANEL = Panel("id", "t", exact_scale=2)
@@ -66,6 +67,33 @@ def customers_once(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def shipped_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and their orders in the 24 value columns of the shipped input table."""
+    orders = table(spark, sf, "orders")
+    price, year = F.col("o_totalprice"), F.year("o_orderdate")
+    finished = F.when(F.col("o_orderstatus") == "F", price)
+
+    def number_of(condition: Column) -> Column:
+        return F.count(F.when(condition, 1)).cast("double")
+
+    per_customer = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("PAY_0"),
+        *[number_of(F.col("o_orderpriority").startswith(str(i))).alias(f"PAY_{i + 1}") for i in range(1, 6)],
+        *[amount(F.when(year == 1994 + i, price)).alias(f"BILL_AMT{i}") for i in range(1, 7)],
+        *[amount(F.when(year == 1994 + i, finished)).alias(f"PAY_AMT{i}") for i in range(1, 7)],
+        number_of(F.col("o_orderstatus") == "P").alias("default_payment_next_month"),
+    )
+    customers = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.col("c_acctbal").alias("LIMIT_BAL"),
+        (F.col("c_nationkey") % 2 + 1).cast("double").alias("SEX"),
+        F.length("c_mktsegment").cast("double").alias("EDUCATION"),
+        (F.col("c_nationkey") % 3).cast("double").alias("MARRIAGE"),
+        (F.col("c_nationkey") + 20).cast("double").alias("AGE"),
+    )
+    return customers.join(per_customer, "c_custkey", "left").select(F.col("c_custkey").alias("id"), *BASE_COLUMNS)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

@@ -5,16 +5,17 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel import FULL, KEEP, Stage, configure, generate_features, merge_features, recipe_from_table, stored
+from chronopanel import FULL, KEEP, Stage, configure, generate_features, merge_features, recipe_from_table, shipped_controller, stored
 from chronopanel.functions.text import row_hash
 from chronopanel.ml import transformers_for
 from chronopanel.operators import expand, metrics, profile, runlog
 from chronopanel.operators.scoretable import score_table
 from chronopanel.operators.snapshot import snapshot_stats
 from chronopanel.panel import Panel, quoted
+from chronopanel.plans.spec import CLONES
 from chronopanel.scale import group_sizes, shared_folder
 from chronopanel.sources import logs, tables
 from workload import panels
@@ -28,16 +29,15 @@ def shown(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
     """Dates as text; columns with the given prefixes rounded."""
     digits = digits or {}
 
-    def column(name: str, kind: str) -> Column:
-        value = F.col(quoted(name))
+    def item(name: str, kind: str) -> str:
         if kind == "date":
-            return F.date_format(value, "yyyy-MM-dd").alias(name)
+            return f"date_format({quoted(name)}, 'yyyy-MM-dd') AS {quoted(name)}"
         for prefix, places in digits.items():
             if name.startswith(prefix):
-                return (F.round(value, places) + F.lit(0.0)).alias(name)
-        return value.alias(name)
+                return f"round({quoted(name)}, {places}) + 0.0D AS {quoted(name)}"
+        return quoted(name)
 
-    return df.select(*[column(name, kind) for name, kind in df.dtypes])
+    return df.selectExpr(*[item(name, kind) for name, kind in df.dtypes])
 
 
 # The inverse normal and the median are compared to 6 digits, all else exactly.
@@ -72,6 +72,14 @@ def all_features_parts(spark: SparkSession, sf: str) -> DataFrame:
     return shown(generate_features(df, PANEL, {"revenue": FULL, "quantity": FULL, "returned": FULL}), ROUNDED)
 
 
+def shipped_workload(spark: SparkSession, sf: str) -> DataFrame:
+    """The shipped job: 24 columns cloned to 288, rows doubled, 20 columns fully featured, 870 columns out."""
+    wide = expand.expand_table(
+        panels.shipped_table(spark, sf), "id", copies=2, clones=CLONES, snapshots=2, start=START, out="t"
+    )
+    return shown(generate_features(stored(wide), PANEL, shipped_controller()), ROUNDED)
+
+
 def features_by_table(spark: SparkSession, sf: str) -> DataFrame:
     """A recipe in table form; columns it does not list pass through."""
     recipe = recipe_from_table(
@@ -258,6 +266,7 @@ QUERIES: dict[str, Query] = {
     "all_features_one_column": features(panels.orders_panel, *FULL, columns=("price",)),
     "all_features_events": all_features_events,
     "all_features_parts": all_features_parts,
+    "shipped_workload": shipped_workload,
     "features_by_table": features_by_table,
     "ranks_of_distances": ranks_of_distances,
     "ml_stages": ml_stages,
