@@ -49,6 +49,8 @@ def expand_table(
     """The whole load-test table: clones, copies with dense ids, snapshots."""
     numbered = global_position(df, [F.col(quoted(entity))], unique=True)
     rows = df.count()
-    wide = clone_columns(numbered, [entity, "__pos"], clones)
+    # Few input rows become many: spread them over all tasks before they multiply.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = clone_columns(numbered.repartition(tasks, "__pos"), [entity, "__pos"], clones)
     stacked = stack_copies(wide, copies, "__copy").withColumn(entity, F.col("__copy") * F.lit(rows) + F.col("__pos") + 1)
     return monthly_snapshots(stacked.drop("__copy", "__pos"), snapshots, start, out)

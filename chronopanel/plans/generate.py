@@ -13,6 +13,9 @@ from chronopanel.panel import Panel, named, quoted
 from chronopanel.plans.spec import KEEP, Controller, Recipe, Step, steps_for
 from chronopanel.scale import DEFAULT_LIMITS, Limits, group_sizes, snapshot_column, stored
 
+PACKED = "__packed"
+PACK_FROM = 16
+
 
 def generate_features(
     df: DataFrame,
@@ -41,7 +44,15 @@ def generate_features(
     pending = [s for s in steps if s.operator.kind != "keep"]
     kinds = {s.operator.kind for s in pending}
 
-    current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns]])
+    featured = {s.root for s in pending}
+    kept = [c for c in columns if c not in featured]
+    if len(kept) >= PACK_FROM:
+        # Columns that only pass through travel as one value.
+        together = f"struct({', '.join(quoted(c) for c in kept)}) AS {PACKED}"
+        current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns] if c not in kept], together)
+    else:
+        kept = []
+        current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns]])
     sizes = group_sizes(current, snapshot_column(panel)) if kinds & {"distance", "rank"} else None
     cuts = None
     if "history" in kinds:
@@ -78,7 +89,9 @@ def generate_features(
     for s in steps:
         features[s.root].extend(expressions[id(s)])
     wide = [*panel.keys, *[name for c in columns for name in [c, *features[c]]]]
-    return current.selectExpr(*[quoted(c) for c in wide])
+    return current.selectExpr(
+        *[f"{PACKED}.{quoted(c)} AS {quoted(c)}" if c in kept else quoted(c) for c in wide]
+    )
 
 
 def _items(batch: list[Step], expressions: dict[int, dict[str, str | None]]) -> list[str]:
