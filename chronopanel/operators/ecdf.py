@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators.pieces import divide, hot_snapshots, long_values
 from chronopanel.panel import Panel, quoted
-from chronopanel.scale import DEFAULT_LIMITS, GroupSizes, Limits, group_sizes, shares_entity_shuffle, snapshot_column
+from chronopanel.scale import DEFAULT_LIMITS, GroupSizes, Limits, group_sizes, snapshot_column
 
 
 def ecdf_long(
@@ -75,8 +75,6 @@ def add_ecdf(
         .groupBy(*[quoted(c) for c in keys])
         .agg(*[F.max(F.when(F.col("f") == index[c], F.col("e"))).alias(out) for out, c in ranks.items()])
     )
-    if shares_entity_shuffle(df.sparkSession):
-        df = df.repartition(*[quoted(c) for c in place])
-    # Both sides are shuffled by entity, and the sort of the merge join is the one
-    # the history window needs.
+    # A merge join: rows meet by entity, in place if ``df`` is bucketed by it, and the
+    # sort is the one the history window needs.
     return df.join(pivoted.hint("merge"), keys, "left")

@@ -81,10 +81,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shares_entity_shuffle(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, which all executors can reach."""
     context = spark.sparkContext

@@ -78,8 +78,8 @@ def write_features(df: DataFrame, path: str, panel: Panel, rebalance: bool = Tru
 def save_by_entity(df: DataFrame, table: str, panel: Panel, buckets: int) -> None:
     """Table bucketed by entity and sorted by snapshot.
 
-    History features of such a table need no shuffle, and joins by key read both
-    sides in place.
+    ``generate_features`` then never shuffles the wide rows: history reads them in
+    place, and the thin rows that carry the ranks move to them.
     """
     (
         df.write.mode("overwrite")
