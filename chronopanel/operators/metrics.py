@@ -32,10 +32,10 @@ def step_curve(
     keys = keys or []
     ms = samples.select(*keys, F.col(time).alias("ns"), milliseconds(F.col(time)).alias("ms"), F.col(value).alias("y"))
     curve = add_neighbour(ms, keys, [F.col("ns"), F.col("y")], {"before": "y"}, -1, limits)
-    first = ms.groupBy(*keys).agg(F.min("ms").alias("origin"))
+    first = ms.groupBy(*keys).agg(F.min("ms").alias("origin"), F.count(F.lit(1)).alias("weight"))
     if keys:
         sizes = group_sizes(ms, *[F.col(k) for k in keys])
-        curve = lookup_join(curve, first, keys, sizes.groups, ["ns"], limits)
+        curve = lookup_join(curve, first, keys, sizes, "weight", ["ns"], limits)
         origin = F.col("origin")
     else:
         origin = F.lit(first.first()["origin"])

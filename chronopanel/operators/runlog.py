@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.functions.text import epoch_seconds, last_token, trailing_count
-from chronopanel.scale import DEFAULT_LIMITS, Limits, add_neighbour, lookup_join, pin, rank_in_key
+from chronopanel.scale import DEFAULT_LIMITS, Limits, add_neighbour, group_sizes, lookup_join, pin, rank_in_key
 
 # Texts that mark the lines of interest.
 MEASURE_MARKER = "__MEASURE__"
@@ -107,9 +107,10 @@ def label_index(events: DataFrame, time: str = "time", label: str = "label", lim
 def feature_timings(events: DataFrame, run: list[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """idx, seconds and label per generated column."""
     gaps = pin(gaps_to_next(events, run, limits=limits))
-    index = pin(label_index(gaps, limits=limits).drop("first_time"))
-    spread = [*run, "time"]
-    return lookup_join(gaps, index, ["label"], index.count(), spread, limits).select(
+    sizes = group_sizes(gaps, F.col("label"))
+    weights = gaps.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
+    index = label_index(gaps, limits=limits).drop("first_time").join(weights, "label")
+    return lookup_join(gaps, index, ["label"], sizes, "weight", [*run, "time"], limits).select(
         *run, "idx", (F.col("next_time") - F.col("time")).alias("seconds"), "label"
     )
 

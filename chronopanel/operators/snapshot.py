@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators.pieces import divide, hot_snapshots, long_values
 from chronopanel.panel import Panel, named, quoted
-from chronopanel.scale import DEFAULT_LIMITS, GroupSizes, Limits, group_sizes, lookup_join, snapshot_column
+from chronopanel.scale import DEFAULT_LIMITS, GroupSizes, Limits, group_sizes, lookup_join, small_enough, snapshot_column
 
 STATISTICS = ("mean", "min", "max", "median")
 
@@ -52,7 +52,7 @@ def snapshot_stats(
     if medians:
         sizes = sizes or group_sizes(df, snapshot_column(panel))
         found = snapshot_medians(df, panel, medians, sizes, limits)
-        stats = lookup_join(stats, found, [panel.snapshot], sizes.groups, [panel.snapshot], limits)
+        stats = stats.join(small_enough(found, sizes.groups, limits), [panel.snapshot], "left")
     return stats
 
 
@@ -118,10 +118,10 @@ def add_distances(
     source = df if source is None else source
     sizes = sizes or group_sizes(source, snapshot_column(panel))
     stats = snapshot_stats(source, panel, distances.values(), sizes, limits)
-    joined = lookup_join(df, stats, [panel.snapshot], sizes.groups, [panel.entity], limits)
+    joined = lookup_join(df, stats, [panel.snapshot], sizes, "__rows", [panel.entity], limits)
     helpers = {statistic_name(column, statistic) for column, statistic in distances.values()}
     made = {
         out: f"{panel.number_sql(column)} - {quoted(statistic_name(column, statistic))}"
         for out, (column, statistic) in distances.items()
     }
-    return joined.selectExpr("*", *named(made)).drop("__rows", *helpers)
+    return joined.selectExpr("*", *named(made)).drop(*helpers)

@@ -2,8 +2,8 @@
 
 Three situations recur in panel work and each has one answer here:
 
-* a small table is looked up by key: ``lookup_join`` broadcasts it only if its
-  row count is known and small, and otherwise spreads every key over salts;
+* a table is looked up by key: ``lookup_join`` broadcasts it only if its row count
+  is known and small, and otherwise spreads the rows of hot keys;
 * rows of one key must be ordered but one key may hold a third of the table:
   ``cut_points`` and ``place_among`` divide the key's value range into pieces of
   bounded size;
@@ -32,7 +32,7 @@ class Limits:
                       it also holds more than 1/groups of all rows
     cuts              most pieces one hot key is divided into
     broadcast_cells   rows x columns up to which a table is broadcast
-    salts             pieces one key is spread over where broadcasting is ruled out
+    salts             per piece, tasks over which rows that need no order are spread
     """
 
     rows_per_group: int = 1_000_000
@@ -122,25 +122,39 @@ def group_sizes(df: DataFrame, *keys: Column) -> GroupSizes:
     return GroupSizes(found["rows"] or 0, found["groups"], found["largest"] or 0)
 
 
+def small_enough(table: DataFrame, rows: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """``table`` marked for broadcast if its known row count allows it, else as it is."""
+    return F.broadcast(table) if rows * len(table.columns) <= limits.broadcast_cells else table
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     on: list[str],
-    table_rows: int,
+    sizes: GroupSizes,
+    weight: str,
     spread_by: list[str],
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Left join of ``rows`` to ``table``, which has one row per value of ``on``.
 
-    Broadcast while ``table_rows x columns`` stays within the limit.  Beyond it
-    both sides are shuffled by (key, salt); the salt comes from ``spread_by``, so
-    a key with a third of all rows still spreads over ``limits.salts`` tasks.
+    ``sizes`` describes the groups of ``rows`` by ``on``; ``weight`` is the column of
+    ``table`` with a group's row count and does not come out.  A small table is
+    broadcast.  Otherwise both sides are shuffled by key, and a hot key is spread: its
+    table row is repeated once per ``hot_above`` rows, and its rows choose among the
+    repeats by a hash of ``spread_by``.
     """
-    if table_rows * len(table.columns) <= limits.broadcast_cells:
-        return rows.join(F.broadcast(table), on, "left")
-    salt = F.pmod(F.xxhash64(*[quoted(c) for c in spread_by]), F.lit(limits.salts)).cast("int")
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1))))
-    return rows.withColumn("__salt", salt).join(copies, [*on, "__salt"], "left").drop("__salt")
+    limit = limits.hot_above(sizes.rows)
+    if sizes.groups * len(table.columns) <= limits.broadcast_cells:
+        return rows.join(F.broadcast(table.drop(weight)), on, "left")
+    if sizes.largest <= limit:
+        return rows.join(table.drop(weight), on, "left")
+    parts = F.ceil(F.col(weight) / limit).cast("int")
+    hot = pin(table.where(F.col(weight) > limit).select(*on, parts.alias("__parts")))
+    part = F.pmod(F.xxhash64(*[quoted(c) for c in spread_by]), F.coalesce("__parts", F.lit(1))).cast("int")
+    spread = rows.join(F.broadcast(hot), on, "left").withColumn("__part", part).drop("__parts")
+    repeats = table.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
+    return spread.join(repeats, [*on, "__part"], "left").drop("__part")
 
 
 def cut_points(df: DataFrame, keys: list[str], value: str, hot: DataFrame, pieces: int) -> DataFrame:
@@ -232,8 +246,10 @@ def rank_in_key(
     placed = global_position(df, [*[F.col(quoted(k)) for k in keys], *order], unique)
     if not keys:
         return placed.withColumnRenamed("__pos", out)
-    starts = placed.groupBy(*[quoted(k) for k in keys]).agg(F.min("__pos").alias("__first"))
-    joined = lookup_join(placed, starts, keys, sizes.groups, ["__pos"], limits)
+    starts = placed.groupBy(*[quoted(k) for k in keys]).agg(
+        F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__weight")
+    )
+    joined = lookup_join(placed, starts, keys, sizes, "__weight", ["__pos"], limits)
     return joined.select(*[quoted(c) for c in columns], (F.col("__pos") - F.col("__first")).alias(out))
 
 

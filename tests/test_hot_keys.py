@@ -4,7 +4,7 @@ import random
 from statistics import NormalDist, median
 
 import pytest
-from chronopanel import FULL, Limits, Panel, generate_features
+from chronopanel import FULL, Limits, Panel, Stage, generate_features
 from conftest import TINY
 from pyspark.sql import functions as F
 
@@ -17,6 +17,9 @@ from chronopanel.scale import cut_points, global_position, group_sizes, lookup_j
 SMALL = Limits(rows_per_group=20, groups=1_000, cuts=63, salts=4)
 
 
+SPREAD = Limits(rows_per_group=20, groups=1_000, cuts=63, salts=4, broadcast_cells=0)
+
+
 @pytest.fixture(scope="module")
 def skewed():
     """900 rows: a snapshot with 60 % of them, a value with 40 %, nulls, ties, -0.0, NaN."""
@@ -46,6 +49,14 @@ def brute(rows, column):
     return out
 
 
+def test_distances_without_broadcast(spark, skewed):
+    panel = Panel("id", "t")
+    df = spark.createDataFrame(skewed, "id int, t int, x double, y double")
+    recipe = {"x": [Stage("Cs_distanceFromMin"), Stage("Cs_distanceFromMedian")], "y": [Stage("Cs_distanceFromMax")]}
+    a, b = (generate_features(df, panel, recipe, limits=limits) for limits in (SPREAD, Limits()))
+    assert a.exceptAll(b).count() == 0 and a.count() == len(skewed)
+
+
 @pytest.mark.parametrize("limits", [SMALL, TINY, Limits()], ids=["small", "tiny", "plain"])
 def test_ranks_and_medians(spark, skewed, limits):
     panel = Panel("id", "t")
@@ -132,14 +143,18 @@ def test_normal_scores(spark):
     assert q[:2] == [float("-inf"), float("inf")] and all(v != v for v in q[2:5]) and q[5] is None
 
 
-def test_lookup_join_both_ways(spark):
+def test_lookup_join_every_way(spark):
     rows = spark.range(1000).withColumn("k", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 7))
-    table = spark.createDataFrame([(k, k * 10) for k in range(6)], "k long, v long")
-    joined = [
-        sorted((r["id"], r["v"]) for r in lookup_join(rows, table, ["k"], 6, ["id"], limits).select("id", "v").fillna(-1).collect())
-        for limits in (Limits(), Limits(broadcast_cells=0, salts=5))
-    ]
-    assert joined[0] == joined[1] and len(joined[0]) == 1000
+    table = rows.groupBy("k").agg((F.first("k") * 10).alias("v"), F.count(F.lit(1)).alias("w")).where("k < 6")
+    sizes = group_sizes(rows, F.col("k"))
+    plain, shuffled = Limits(), Limits(broadcast_cells=0)
+    spread = Limits(broadcast_cells=0, rows_per_group=90, groups=1000)
+    joined = []
+    for limits in (plain, shuffled, spread):
+        out = lookup_join(rows, table, ["k"], sizes, "w", ["id"], limits)
+        assert sorted(out.columns) == ["id", "k", "v"]
+        joined.append(sorted((r["id"], r["v"]) for r in out.fillna(-1).collect()))
+    assert joined[0] == joined[1] == joined[2] and len(joined[0]) == 1000
 
 
 def test_global_position(spark):
