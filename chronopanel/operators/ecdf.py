@@ -5,35 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.operators.pieces import divide, hot_snapshots, long_values
-from chronopanel.panel import Panel, quoted
-from chronopanel.scale import DEFAULT_LIMITS, GroupSizes, Limits, group_sizes, snapshot_column
+from chronopanel.operators.pieces import CrossSection, divide
+from chronopanel.panel import named, quoted
 
 
-def ecdf_long(
-    df: DataFrame,
-    panel: Panel,
-    columns: list[str],
-    keep: list[str],
-    sizes: GroupSizes | None = None,
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
+# Up to this many columns a generated conditional maximum per column is the faster
+# pivot; beyond it Spark's own, whose work per row does not grow with the columns.
+CONDITIONAL_PIVOT = 64
+
+
+def ecdf_long(cross: CrossSection, columns: list[str], keep: list[str]) -> DataFrame:
     """(keep..., f, e): share of the snapshot's rows whose value is <= the row's.
 
     Missing values get 0.0 and count in the denominator.  Only thin rows are
     shuffled, by (snapshot, column, piece); rows that need no order (missing, or
     equal to a cut of a hot snapshot) are spread by a salt.
     """
-    t = panel.snapshot
-    sizes = sizes or group_sizes(df, snapshot_column(panel))
-    hot = hot_snapshots(df, panel, columns, sizes, limits)
-    needed = list(dict.fromkeys([*keep, t]))
-    values = long_values(df.select(*[quoted(c) for c in [*needed, *columns]]), panel, columns, needed)
+    t = cross.panel.snapshot
+    hot = cross.hot(columns)
+    values = cross.long(columns, list(dict.fromkeys([*keep, t])))
     group = [t, "f"]
     if hot is not None:
-        values = divide(values, panel, hot)
+        values = divide(values, cross.panel, hot)
         unordered = F.col("__n").isNotNull() & (F.col("v").isNull() | (F.col("__piece") % 2 == 1))
-        spread = F.pmod(F.xxhash64(*[quoted(k) for k in keep]), F.lit(hot.pieces * limits.salts)).cast("int")
+        spread = F.pmod(F.xxhash64(*[quoted(k) for k in keep]), F.lit(hot.pieces * cross.limits.salts)).cast("int")
         values = values.withColumn("__salt", F.when(unordered, spread).otherwise(F.lit(-1)))
         group = [t, "f", "__piece", "__salt"]
     ordered = Window.partitionBy(*group).orderBy("v")
@@ -48,15 +43,9 @@ def ecdf_long(
 
 
 def add_ecdf(
-    df: DataFrame,
-    panel: Panel,
-    ranks: dict[str, str],
-    sizes: GroupSizes | None = None,
-    limits: Limits = DEFAULT_LIMITS,
-    source: DataFrame | None = None,
-    slices: list[str] | None = None,
+    df: DataFrame, cross: CrossSection, ranks: dict[str, str], slices: list[str] | None = None
 ) -> DataFrame:
-    """Add ``{output: column}`` empirical distribution ranks.
+    """Add ``{output: column}`` empirical distribution ranks; ``df`` has the rows of ``cross``.
 
     The ranks of all columns return to the rows in one join on the keys.  The
     thin rows are shuffled before they are pivoted to one row per key: the pivoted
@@ -64,17 +53,19 @@ def add_ecdf(
     ``slices`` names columns that divide a hot entity's rows, see
     ``operators.history``.
     """
-    source = df if source is None else source
     columns = list(dict.fromkeys(ranks.values()))
     index = {c: i for i, c in enumerate(columns)}
-    place = [panel.entity, *(slices or [])]
-    keys = [*place, panel.snapshot]
-    thin = ecdf_long(source, panel, columns, keys, sizes, limits)
-    pivoted = (
-        thin.repartition(*[quoted(c) for c in place])
-        .groupBy(*[quoted(c) for c in keys])
-        .agg(*[F.max(F.when(F.col("f") == index[c], F.col("e"))).alias(out) for out, c in ranks.items()])
-    )
+    place = [cross.panel.entity, *(slices or [])]
+    keys = [*place, cross.panel.snapshot]
+    thin = ecdf_long(cross, columns, keys)
+    together = thin.repartition(*[quoted(c) for c in place]).groupBy(*[quoted(c) for c in keys])
+    if len(columns) <= CONDITIONAL_PIVOT:
+        by_name = {out: f"max(CASE WHEN f = {index[c]} THEN e END)" for out, c in ranks.items()}
+        pivoted = together.agg(*[F.expr(e).alias(out) for out, e in by_name.items()])
+    else:
+        found = together.pivot("f", list(index.values())).agg(F.max("e"))
+        by_name = {out: quoted(str(index[c])) for out, c in ranks.items()}
+        pivoted = found.selectExpr(*[quoted(k) for k in keys], *named(by_name))
     # A merge join: rows meet by entity, in place if ``df`` is bucketed by it, and the
     # sort is the one the history window needs.
     return df.join(pivoted.hint("merge"), keys, "left")

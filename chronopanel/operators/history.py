@@ -108,7 +108,7 @@ def add_earlier(
     if not wanted:
         return df
     cuts = sliced
-    if cuts == "look":
+    if sliced == "look":
         cuts = hot_entity_cuts(df, panel, limits=limits)
         if cuts is not None:
             df = add_slices(df, panel, cuts)
@@ -123,7 +123,10 @@ def add_earlier(
         earlier(c, k): f"lag({quoted(earlier(c, 0))}, {k}) OVER {line}" for c, ks in wanted.items() for k in ks if k > 0
     }
     out = now.selectExpr("*", *named(lags))
-    return out if cuts is None else out.where(~F.col(COPY)).drop(COPY, SLICE)
+    if cuts is None:
+        return out
+    out = out.where(~F.col(COPY)).drop(COPY)
+    return out.drop(SLICE) if sliced == "look" else out
 
 
 def moving_sql(panel: Panel, name: str, statistic: str, rows: int) -> str:

@@ -10,12 +10,22 @@ need no sorting; exact counts per piece turn local ranks into global ones.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.panel import Panel, quoted
-from chronopanel.scale import GroupSizes, Limits, cut_points, pin, place_among
+from chronopanel.scale import (
+    DEFAULT_LIMITS,
+    GroupSizes,
+    Limits,
+    cut_points,
+    group_sizes,
+    pin,
+    place_among,
+    snapshot_column,
+)
 
 
 @dataclass(frozen=True)
@@ -31,36 +41,59 @@ class HotSnapshots:
     pieces: int
 
 
-def long_values(df: DataFrame, panel: Panel, columns: list[str], keep: list[str]) -> DataFrame:
-    """Thin rows (keep..., f, v): one per row and column, f the column's index."""
-    values = F.array(*[panel.number(c) for c in columns])
-    return df.select(*[quoted(k) for k in keep], F.posexplode(values).alias("f", "v"))
+class CrossSection:
+    """A panel table seen by snapshot: what statistics and ranks are taken from.
 
+    Sizes and cuts are found on first use and then shared by all operators.
+    """
+
+    def __init__(self, df: DataFrame, panel: Panel, limits: Limits = DEFAULT_LIMITS):
+        self.df, self.panel, self.limits = df, panel, limits
+        self._hot: dict[tuple[str, ...], HotSnapshots | None] = {}
+
+    @cached_property
+    def sizes(self) -> GroupSizes:
+        return group_sizes(self.df, snapshot_column(self.panel))
+
+    def hot(self, columns: list[str]) -> HotSnapshots | None:
+        """Cuts and counts of the hot snapshots for these columns, None if there is no hot one."""
+        if tuple(columns) not in self._hot:
+            self._hot[tuple(columns)] = _hot_snapshots(self, columns)
+        return self._hot[tuple(columns)]
 
-def hot_snapshots(
-    df: DataFrame, panel: Panel, columns: list[str], sizes: GroupSizes, limits: Limits
-) -> HotSnapshots | None:
-    """Cut points and counts of the hot snapshots, or None if there is none."""
+    def long(self, columns: list[str], keep: list[str]) -> DataFrame:
+        """Thin rows (keep..., f, v): one per row and column, f the column's index."""
+        values = F.array(*[self.panel.number(c) for c in columns])
+        return self.df.select(*[quoted(k) for k in keep], F.posexplode(values).alias("f", "v"))
+
+
+def _hot_snapshots(cross: CrossSection, columns: list[str]) -> HotSnapshots | None:
+    sizes, limits, t = cross.sizes, cross.limits, cross.panel.snapshot
     limit = limits.hot_above(sizes.rows)
     if sizes.largest <= limit:
         return None
-    t = panel.snapshot
     pieces = limits.pieces(sizes.largest, sizes.rows)
-    hot = pin(df.groupBy(t).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit))
-    values = long_values(df.select(t, *[quoted(c) for c in columns]).join(F.broadcast(hot), t), panel, columns, [t])
+    hot = pin(cross.df.groupBy(t).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit))
+    values = cross.long(columns, [t]).join(F.broadcast(hot.select(t)), t, "left_semi").where(F.col("v").isNotNull())
     per_column = hot.select(t, "__n", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("f"))
     cuts = cut_points(values, [t, "f"], "v", per_column, pieces)
-    placed = _place(values.where(F.col("v").isNotNull()).join(F.broadcast(cuts), [t, "f"]), pieces)
-    counts = placed.groupBy(t, "f", "__piece").agg(F.count(F.lit(1)).alias("c"))
+    counts = (
+        _place(values.join(F.broadcast(cuts), [t, "f"]), pieces)
+        .groupBy(t, "f", "__piece")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
     # At most 2 x pieces + 1 rows per (snapshot, column) from here on.
     running = Window.partitionBy(t, "f").orderBy("__piece")
-    cumulative = counts.withColumn("upto", F.sum("c").over(running)).groupBy(t, "f").agg(
-        F.sum("c").alias("__m"),
-        F.map_from_entries(F.collect_list(F.struct("__piece", F.struct(F.col("upto") - F.col("c"), "upto")))).alias("by"),
+    bounds = F.struct((F.col("upto") - F.col("c")).alias("below"), "upto")
+    cumulative = (
+        counts.withColumn("upto", F.sum("c").over(running))
+        .groupBy(t, "f")
+        .agg(F.sum("c").alias("__m"), F.map_from_entries(F.collect_list(F.struct("__piece", bounds))).alias("by"))
     )
     every_piece = F.sequence(F.lit(0), 2 * F.size("__cuts"))
+    # A column without any value in a snapshot has no cuts and no counts.
     table = (
-        per_column.join(F.broadcast(cuts), [t, "f"])
+        per_column.join(F.broadcast(cuts), [t, "f"], "left")
         .join(F.broadcast(cumulative), [t, "f"], "left")
         .select(
             t,
@@ -68,7 +101,7 @@ def hot_snapshots(
             "__n",
             F.coalesce("__m", F.lit(0)).alias("__m"),
             F.coalesce("__cuts", F.array().cast("array<double>")).alias("__cuts"),
-            F.transform(every_piece, lambda p: F.col("by")[p]["col1"]).alias("__belows"),
+            F.transform(every_piece, lambda p: F.col("by")[p]["below"]).alias("__belows"),
             F.transform(every_piece, lambda p: F.col("by")[p]["upto"]).alias("__uptos"),
         )
     )

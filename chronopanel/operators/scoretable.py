@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions.buckets import TENTH_BORDERS, interval_index
 from chronopanel.operators.ecdf import ecdf_long
+from chronopanel.operators.pieces import CrossSection
 from chronopanel.panel import Panel, quoted
 from chronopanel.scale import DEFAULT_LIMITS, Limits
 
@@ -32,7 +33,7 @@ def score_table(
     keyed = outputs.withColumn(cross, F.struct(*[quoted(c) for c in [snapshot, *models]])).withColumn(
         "__p", F.col(quoted(probability))
     )
-    ranked = ecdf_long(keyed, Panel(object_id, cross), [probability], [*keep, "__p"], limits=limits)
+    ranked = ecdf_long(CrossSection(keyed, Panel(object_id, cross), limits), [probability], [*keep, "__p"])
     return ranked.selectExpr(
         *[quoted(c) for c in keep],
         "e * 100 AS score",

@@ -7,9 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.operators.pieces import divide, hot_snapshots, long_values
+from chronopanel.operators.pieces import CrossSection, divide
 from chronopanel.panel import Panel, named, quoted
-from chronopanel.scale import DEFAULT_LIMITS, GroupSizes, Limits, group_sizes, lookup_join, small_enough, snapshot_column
+from chronopanel.scale import lookup_join, small_enough
 
 STATISTICS = ("mean", "min", "max", "median")
 
@@ -26,50 +26,39 @@ def statistic_sql(panel: Panel, column: str, statistic: str) -> str:
     return f"{statistic}({value})"
 
 
-def snapshot_stats(
-    df: DataFrame,
-    panel: Panel,
-    wanted: Iterable[tuple[str, str]],
-    sizes: GroupSizes | None = None,
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
+def snapshot_stats(cross: CrossSection, wanted: Iterable[tuple[str, str]]) -> DataFrame:
     """One row per snapshot with the wanted (column, statistic) pairs.
 
     Mean, minimum and maximum of all columns come from one aggregation with
     map-side partial results.  Exact medians need an order and take the route of
     ``snapshot_medians``.
     """
-    wanted = list(dict.fromkeys(wanted))
+    wanted, panel = list(dict.fromkeys(wanted)), cross.panel
     aggregates = [
         F.expr(statistic_sql(panel, column, statistic)).alias(statistic_name(column, statistic))
         for column, statistic in wanted
         if statistic != "median"
     ]
     medians = [column for column, statistic in wanted if statistic == "median"]
-    stats = df.groupBy(snapshot_column(panel).alias(panel.snapshot)).agg(
-        F.count(F.lit(1)).alias("__rows"), *aggregates
-    )
+    stats = cross.df.groupBy(quoted(panel.snapshot)).agg(F.count(F.lit(1)).alias("__rows"), *aggregates)
     if medians:
-        sizes = sizes or group_sizes(df, snapshot_column(panel))
-        found = snapshot_medians(df, panel, medians, sizes, limits)
-        stats = stats.join(small_enough(found, sizes.groups, limits), [panel.snapshot], "left")
+        found = small_enough(snapshot_medians(cross, medians), cross.sizes.groups, cross.limits)
+        stats = stats.join(found, [panel.snapshot], "left")
     return stats
 
 
-def snapshot_medians(
-    df: DataFrame, panel: Panel, columns: list[str], sizes: GroupSizes, limits: Limits = DEFAULT_LIMITS
-) -> DataFrame:
+def snapshot_medians(cross: CrossSection, columns: list[str]) -> DataFrame:
     """Exact medians, one row per snapshot, one column per input column.
 
     Values are counted first (equal values meet map-side), then a running count
     finds the one or two middle values.  Of a hot snapshot only the piece that
     holds its middle is ordered at all.
     """
-    t = panel.snapshot
-    hot = hot_snapshots(df, panel, columns, sizes, limits)
-    values = long_values(df.select(t, *[quoted(c) for c in columns]), panel, columns, [t]).where(F.col("v").isNotNull())
+    t = cross.panel.snapshot
+    hot = cross.hot(columns)
+    values = cross.long(columns, [t]).where(F.col("v").isNotNull())
     if hot is not None:
-        values = divide(values, panel, hot)
+        values = divide(values, cross.panel, hot)
         # Keep the piece(s) holding the middle; a cold snapshot is one piece.
         holds_middle = (F.col("__upto") >= _lower(F.col("__m"))) & (F.col("__below") < _upper(F.col("__m")))
         values = values.where(F.col("__m").isNull() | holds_middle)
@@ -102,23 +91,14 @@ def _upper(count: Column) -> Column:
     return F.call_function("div", count + 2, F.lit(2))
 
 
-def add_distances(
-    df: DataFrame,
-    panel: Panel,
-    distances: dict[str, tuple[str, str]],
-    sizes: GroupSizes | None = None,
-    limits: Limits = DEFAULT_LIMITS,
-    source: DataFrame | None = None,
-) -> DataFrame:
+def add_distances(df: DataFrame, cross: CrossSection, distances: dict[str, tuple[str, str]]) -> DataFrame:
     """Add ``{output: (column, statistic)}``: value minus its own snapshot's statistic.
 
-    ``source`` is the table to take the statistics from if ``df`` already carries
-    more than the input columns (it must hold the same rows).
+    ``df`` has the rows of ``cross`` and may have more columns.
     """
-    source = df if source is None else source
-    sizes = sizes or group_sizes(source, snapshot_column(panel))
-    stats = snapshot_stats(source, panel, distances.values(), sizes, limits)
-    joined = lookup_join(df, stats, [panel.snapshot], sizes, "__rows", [panel.entity], limits)
+    panel = cross.panel
+    stats = snapshot_stats(cross, distances.values())
+    joined = lookup_join(df, stats, [panel.snapshot], cross.sizes, "__rows", [panel.entity], cross.limits)
     helpers = {statistic_name(column, statistic) for column, statistic in distances.values()}
     made = {
         out: f"{panel.number_sql(column)} - {quoted(statistic_name(column, statistic))}"

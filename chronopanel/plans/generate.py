@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators.ecdf import add_ecdf
 from chronopanel.operators.history import SLICE, add_earlier, add_slices, hot_entity_cuts
+from chronopanel.operators.pieces import CrossSection
 from chronopanel.operators.scores import add_normal_scores
 from chronopanel.operators.snapshot import add_distances
 from chronopanel.panel import Panel, named, quoted
 from chronopanel.plans.spec import KEEP, Controller, Recipe, Step, steps_for
-from chronopanel.scale import DEFAULT_LIMITS, Limits, group_sizes, snapshot_column, stored
+from chronopanel.scale import DEFAULT_LIMITS, Limits, stored
 
 PACKED = "__packed"
 PACK_FROM = 16
@@ -53,26 +54,27 @@ def generate_features(
     else:
         kept = []
         current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns]])
-    sizes = group_sizes(current, snapshot_column(panel)) if kinds & {"distance", "rank"} else None
+    cross = CrossSection(current, panel, limits)
     cuts = None
     if "history" in kinds:
-        cuts = hot_entity_cuts(current, panel, sizes.groups if sizes else None, limits)
+        cuts = hot_entity_cuts(current, panel, cross.sizes.groups if kinds & {"distance", "rank"} else None, limits)
         if cuts is not None:
             current = add_slices(current, panel, cuts)
+            cross = CrossSection(current, panel, limits)
     slices = [SLICE] if cuts is not None else []
-    source = current
 
     while pending:
         batch = _next_batch(pending, set(current.columns))
-        if batch[0].operator.kind in ("rank", "distance") and any(s.source not in source.columns for s in batch):
-            current = source = stored(current)
+        if batch[0].operator.kind in ("rank", "distance") and any(s.source not in cross.df.columns for s in batch):
+            current = stored(current)
+            cross = CrossSection(current, panel, limits)
         match batch[0].operator.kind:
             case "rank":
                 ranks = {s.out: s.source for s in batch}
-                current = add_ecdf(current, panel, ranks, sizes, limits, source, slices)
+                current = add_ecdf(current, cross, ranks, slices)
             case "distance":
                 distances = {s.out: (s.source, s.operator.statistic) for s in batch}
-                current = add_distances(current, panel, distances, sizes, limits, source)
+                current = add_distances(current, cross, distances)
             case "score":
                 current = add_normal_scores(current, {s.out: s.source for s in batch})
             case "row":

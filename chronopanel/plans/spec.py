@@ -26,9 +26,10 @@ class Operator:
                distance  value minus ``statistic`` of its snapshot
                rank      empirical distribution rank in its snapshot
                score     standard normal quantile
-               row       expressions over the row, from ``columns``
-               history   expressions over earlier values, from ``columns``; the
-                         values up to ``offsets`` snapshots back are provided
+               row       expressions over the input column, from ``columns``
+               history   expressions over the input's earlier values, from ``columns``;
+                         those ``offsets`` snapshots back are there under the names
+                         ``operators.history.earlier`` gives
     columns    (panel, input, output) -> {name: SQL expression}
     default    output prefix if the stage gives none
     """

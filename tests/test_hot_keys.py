@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.operators.ecdf import ecdf_long
 from chronopanel.operators.history import hot_entity_cuts
-from chronopanel.operators.pieces import hot_snapshots
+from chronopanel.operators.pieces import CrossSection
 from chronopanel.operators.snapshot import snapshot_medians, snapshot_stats
 from chronopanel.scale import cut_points, global_position, group_sizes, lookup_join, place_among
 
@@ -61,10 +61,10 @@ def test_distances_without_broadcast(spark, skewed):
 def test_ranks_and_medians(spark, skewed, limits):
     panel = Panel("id", "t")
     df = spark.createDataFrame(skewed, "id int, t int, x double, y double").repartition(5)
-    sizes = group_sizes(df, F.col("t"))
-    assert (hot_snapshots(df, panel, ["x"], sizes, limits) is None) == (limits == Limits())
-    got = {(r["id"], r["t"], r["f"]): r["e"] for r in ecdf_long(df, panel, ["x", "y"], ["id", "t"], sizes, limits).collect()}
-    medians = {r["t"]: r for r in snapshot_medians(df, panel, ["x", "y"], sizes, limits).collect()}
+    cross = CrossSection(df, panel, limits)
+    assert (cross.hot(["x", "y"]) is None) == (limits == Limits())
+    got = {(r["id"], r["t"], r["f"]): r["e"] for r in ecdf_long(cross, ["x", "y"], ["id", "t"]).collect()}
+    medians = {r["t"]: r for r in snapshot_medians(cross, ["x", "y"]).collect()}
     for f, name in enumerate(["x", "y"]):
         want = brute(skewed, 2 + f)
         assert {k[:2]: e for k, e in got.items() if k[2] == f} == {k: w[2] for k, w in want.items()}
@@ -73,13 +73,24 @@ def test_ranks_and_medians(spark, skewed, limits):
                 assert v - medians[t][f"__median_{name}"] == distance
 
 
+def test_column_missing_from_a_hot_snapshot(spark):
+    rows = [(i, 0, float(i), None) for i in range(50)] + [(i, 1, None, float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, t int, x double, y double")
+    recipe = [Stage("Cs_ecdf"), Stage("Cs_distanceFromMedian")]
+    out = generate_features(df, Panel("id", "t"), {"x": recipe, "y": recipe}, limits=SMALL)
+    for r in out.collect():
+        here, gone = ("x", "y") if r["t"] == 0 else ("y", "x")
+        assert r[f"E_{here}"] == (r["id"] + 1) / 50 and r[f"DME_{here}"] == r["id"] - 24.5
+        assert r[f"E_{gone}"] == 0.0 and r[f"DME_{gone}"] is None
+
+
 def test_pieces_stay_small(spark, skewed):
     """No piece that needs sorting holds more than a fraction of its snapshot."""
     panel = Panel("id", "t")
     df = spark.createDataFrame(skewed, "id int, t int, x double, y double")
-    hot = hot_snapshots(df, panel, ["x"], group_sizes(df, F.col("t")), SMALL)
+    hot = CrossSection(df, panel, SMALL).hot(["x"])
     for row in hot.table.collect():
-        sizes = [u - b for b, u in zip(row["__belows"], row["__uptos"]) if b is not None][0:]
+        sizes = [u - b for b, u in zip(row["__belows"], row["__uptos"]) if b is not None]
         open_pieces = [
             u - b for k, (b, u) in enumerate(zip(row["__belows"], row["__uptos"])) if b is not None and k % 2 == 0
         ]
@@ -131,6 +142,22 @@ def test_long_histories(spark, limits):
                 assert row[f"DMMA_x_{n}"] == x - max(seen)
 
 
+def test_second_round_with_long_histories(spark):
+    """History, ranks over a lag, and history of those ranks."""
+    df = spark.createDataFrame(history_rows(), "id string, t int, x double")
+    recipe = {"x": [Stage("Ts_lags"), Stage("Cs_ecdf", "L1_"), Stage("Ts_lags", "E_L1_")]}
+    a, b = (generate_features(df, Panel("id", "t"), recipe, limits=limits) for limits in (TINY, Limits()))
+    assert a.columns == b.columns and "L1_E_L1_x" in a.columns
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count() == df.count()
+
+
+def test_ranks_of_many_columns(spark):
+    df = spark.range(20).select("id", F.lit(1).alias("t"), *[(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(70)])
+    out = generate_features(df, Panel("id", "t"), {f"c{i}": [Stage("Cs_ecdf")] for i in range(70)})
+    for row in out.collect():
+        assert all(row[f"E_c{i}"] == (row["id"] + 1) / 20 for i in range(70))
+
+
 def test_normal_scores(spark):
     from chronopanel.operators.scores import add_normal_scores
 
@@ -188,5 +215,5 @@ def test_mean_is_order_independent_with_exact_scale(spark):
     for seed in range(3):
         rng.shuffle(rows)
         df = spark.createDataFrame(rows, "id int, t int, x double").repartition(seed + 2)
-        results.add(snapshot_stats(df, panel, [("x", "mean")]).first()["__mean_x"])
+        results.add(snapshot_stats(CrossSection(df, panel), [("x", "mean")]).first()["__mean_x"])
     assert len(results) == 1

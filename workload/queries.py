@@ -12,11 +12,12 @@ from chronopanel import FULL, KEEP, Stage, configure, generate_features, merge_f
 from chronopanel.functions.text import row_hash
 from chronopanel.ml import transformers_for
 from chronopanel.operators import expand, metrics, profile, runlog
+from chronopanel.operators.pieces import CrossSection
 from chronopanel.operators.scoretable import score_table
 from chronopanel.operators.snapshot import snapshot_stats
 from chronopanel.panel import Panel, quoted
 from chronopanel.plans.spec import CLONES
-from chronopanel.scale import group_sizes, shared_folder
+from chronopanel.scale import shared_folder
 from chronopanel.sources import logs, tables
 from workload import panels
 from workload.panels import PANEL, table
@@ -120,7 +121,7 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
 def stats(spark: SparkSession, sf: str) -> DataFrame:
     df = panels.orders_panel(spark, sf)
     wanted = [(c, s) for c in AMOUNTS for s in ("mean", "min", "max", "median")]
-    found = snapshot_stats(df, PANEL, wanted, group_sizes(df, F.col("t")))
+    found = snapshot_stats(CrossSection(df, PANEL), wanted)
     renamed = found.select("t", F.col("__rows").alias("n_rows"), *[F.col(f"__{s}_{c}").alias(f"{s}_{c}") for c, s in wanted])
     return shown(renamed, {"median_": 6})
 
