@@ -52,7 +52,7 @@ def _moving(statistic: str, prefix: str) -> Operator:
     )
 
 
-# Operator names as configuration tables spell them.
+# Operator names as configuration tables spell them, and default prefixes.
 OPERATORS: dict[str, Operator] = {
     "doNothing": Operator("keep"),
     "Cs_distanceFromMean": Operator("distance", "DM_", statistic="mean"),
@@ -113,6 +113,7 @@ class Step:
 Recipe = Sequence[Stage]
 Controller = Mapping[str, Recipe]
 
+# The two shipped recipes.
 KEEP: Recipe = (Stage("doNothing"),)
 
 FULL: Recipe = (

@@ -104,13 +104,18 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{kind}-{uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once as Parquet in the shared folder.
 
     For tables that several plans read with different columns, such as a panel
     derived by an aggregation: each scan then reads just its columns.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

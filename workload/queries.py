@@ -17,7 +17,7 @@ from chronopanel.operators.scoretable import score_table
 from chronopanel.operators.snapshot import snapshot_stats
 from chronopanel.panel import Panel, quoted
 from chronopanel.plans.spec import CLONES
-from chronopanel.scale import shared_folder
+from chronopanel.scale import new_path
 from chronopanel.sources import logs, tables
 from workload import panels
 from workload.panels import PANEL, table
@@ -129,7 +129,7 @@ def stats(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Feature table written by snapshot; one snapshot read back touches one folder."""
     df = panels.orders_panel(spark, sf).select("t", "id", "price")
-    path = f"{shared_folder(spark)}/features-{dt.datetime.now().timestamp()}"
+    path = new_path(spark, "features")
     tables.write_features(generate_features(df, PANEL, {"price": [Stage("Cs_distanceFromMean")]}), path, PANEL)
     return shown(profile.one_snapshot(spark.read.parquet(path), PANEL, dt.date(1996, 3, 1)))
 
@@ -162,7 +162,7 @@ def panel_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def csv_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Customers to CSV with a dotted header and NA, then ingested, typed and checked."""
-    folder = f"{shared_folder(spark)}/ingest-{dt.datetime.now().timestamp()}"
+    folder = new_path(spark, "ingest")
     balance = F.when(F.col("c_acctbal") < 0, F.lit("NA")).otherwise(F.col("c_acctbal").cast("string"))
     rows = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("ID"), balance.alias("acct.bal"), F.lit(panels.ONE_DAY).alias("snapshotDate")
