@@ -40,7 +40,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = normalised(text_or_empty(F.col(f"__doc.`{text_col}`"))).alias("__text")
     thin = rows.select("__hash", "__order")
     counts = thin.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"))
-    repeated = counts.where("n > 1").select("__hash")
+    # Tables of their own: Spark splits the rows of a hot hash only where a join reads both sides as dealt.
+    _, repeated = write_new(counts.where("n > 1").select("__hash"), "repeated")
     texts = rows.select("__hash", text).join(repeated, "__hash", "left_semi").groupBy("__hash", "__text").count()
     _, collided = write_new(texts.groupBy("__hash").count().where("count > 1").select("__hash"), "collided")
     if collided.isEmpty():
@@ -50,7 +51,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             "__text", F.when("__both", text).otherwise(F.lit(""))
         )
         keys = ["__hash", "__text"]
-    groups = rows.groupBy(*keys).agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__group_size"))
+    _, groups = write_new(rows.groupBy(*keys).agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__group_size")), "groups")
     return rows.join(groups, keys).select(
         "__doc.*",
         F.col("__first.id").alias("__keep_id"),
