@@ -93,22 +93,17 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(pairs)
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(root, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
+        # Tables of their own, so that Spark can split the rows of a hot node in both joins.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        root = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(root, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         pairs = stored(small)
         now = _state(pairs)
         if now == seen:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+            found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return stored(found.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
         seen = now
 
 

@@ -135,13 +135,17 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         .where("n > 1")
         .select("h", F.col("first.id").alias("a"), F.col("first.tid").alias("at"))
     )
+    # Tables between the steps: Spark splits the rows of a hot line only where a join reads both sides as dealt.
+    _, firsts = write_new(firsts, "lines")
     pairs = found.join(firsts, "h").where("id <> a OR tid <> at").select("a", "at", "id", "tid").distinct()
+    _, pairs = write_new(pairs, "pairs")
     counts = pairs.groupBy("a", "at").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts"))
+    _, counts = write_new(counts, "pairs")
     _, pairs = write_new(
         pairs.join(counts, ["a", "at"]).select("a", "at", "id", "tid", F.pmod(F.xxhash64("id", "tid"), F.col("parts")).cast("int").alias("part")), "pairs"
     )
     later = pairs.join(listed, ["id", "tid"]).select("a", "at", "part", F.lit(1).alias("kind"), "id", "tid", "hashes", "words")
-    hubs = pairs.select("a", "at", "part").distinct()
+    _, hubs = write_new(pairs.select("a", "at", "part").distinct(), "pairs")
     first = hubs.join(listed, (hubs["a"] == listed["id"]) & (hubs["at"] == listed["tid"])).select(
         "a", "at", "part", F.lit(0).alias("kind"), "id", "tid", "hashes", "words"
     )

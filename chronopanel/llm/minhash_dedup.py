@@ -96,10 +96,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     other texts once per pair.  A task keeps one hub's sets and streams the rest.  An id
     with several rows is similar if one of its texts is.
     """
-    counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts"))
+    _, counts = write_new(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts")), "pairs")
     spread = pairs.join(counts, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     _, spread = write_new(spread, "pairs")
-    hubs = spread.select("hub", "part").distinct()
+    _, hubs = write_new(spread.select("hub", "part").distinct(), "pairs")
     members = spread.join(texts, "id").select("hub", "part", F.lit(1).alias("kind"), "id", "text")
     heads = hubs.join(texts, hubs.hub == texts.id).select("hub", "part", F.lit(0).alias("kind"), "id", "text")
     together = members.union(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
@@ -203,9 +203,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, classes = write_new(classes, "classes")
     heads = with_id.join(classes.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
     _, nodes = write_new(heads.select("id", "bands", "packed").dropDuplicates(["id"]), "nodes")
-    entries = heads.select("id", F.explode("bands").alias("key"))
+    # Tables between the steps: Spark splits the rows of a hot key only where a join reads both sides as dealt.
+    entries = nodes.select("id", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"))
-    entries = entries.join(hubs.where("hub < last").drop("last"), "key")
+    _, hubs = write_new(hubs.where("hub < last").drop("last"), "hubs")
+    entries = entries.join(hubs, "key")
     _, entries = write_new(entries, "bands")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
 
@@ -214,16 +216,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = same.join(with_id.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1"), F.col("a") == F.col("id"), "left_semi")
     _, several = write_new(several, "links")
 
-    stars = entries.where("id <> hub").select("hub", "id").distinct()
-    _, links = write_new(confirmed(passing(stars, nodes, percent), texts, words, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
+    _, stars = write_new(entries.where("id <> hub").select("hub", "id").distinct(), "stars")
+    _, near = write_new(passing(stars, nodes, percent), "pairs")
+    _, links = write_new(confirmed(near, texts, words, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
     links = links.union(several)
     labels = components(links)
 
     labelled = entries.where("id <> hub").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select(
         "key", "id", "size", F.coalesce("component", "id").alias("label")
     )
-    mixed_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    left = labelled.join(mixed_, "key", "left_semi").join(nodes.select("id", "packed"), "id")
+    _, labelled = write_new(labelled, "labels")
+    several_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    _, open_ = write_new(several_, "labels")
+    _, left = write_new(labelled.join(open_, "key", "left_semi"), "labels")
+    left = left.join(nodes.select("id", "packed"), "id")
     _, more = write_new(block_pairs(left.select("key", "id", "label", "packed", "size"), percent), "pairs")
     if not more.isEmpty():
         _, late = write_new(confirmed(more, texts, words, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
