@@ -6,12 +6,14 @@ of whole minima find candidates, and of every minimum only the low ``BITS`` bits
 kept and packed.  Counting equal groups of bits gives a similarity that is corrected
 for chance collisions and drops hopeless candidates; all others are confirmed on the full sets.
 
-Candidates are linear in the number of band entries.  Every band bucket first links its
-members to its smallest one.  Components of the confirmed links then leave only the
-buckets that still hold several components, and there members of different
-components are compared by their packed signatures in blocks, inside tasks; only
-pairs that pass the estimate leave a task.  So a bucket of thousands of near copies costs
-thousands of comparisons, and no link between two different components is lost.
+Candidates are not all pairs of a bucket.  First every document meets two of its hubs (the
+smallest members of its buckets), which joins most of a group of copies into one component.
+Then only pairs of different components remain: documents with the hubs of their other
+buckets, and, in buckets that still hold several components, members of different ones,
+which are compared by their packed signatures in blocks, inside tasks.  A pair leaves a task
+only if it passes the estimate, and only in the first bucket it shares.  So a bucket of
+thousands of near copies costs thousands of comparisons, and no link between two different
+components is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ ROWS, BANDS, BITS, SEED = 6, 42, 4, 20240
 #: Standard deviations of the estimate by which a candidate may miss the threshold.
 SLACK = 4.5
 #: Rows of a bucket that one block of comparisons holds.
-BLOCK = 2048
+BLOCK = 512
 #: Pairs of one hub that are confirmed in one group.
 HUB_PAIRS = 64
 
@@ -63,29 +65,33 @@ def least_matches(percent: int, k: int, bits: int = BITS, slack: float = SLACK)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n_shingles, digest, bands, packed) per row; the last three are null for an empty set."""
+    """(id, n_shingles, digest, bands, packed, prints) per row; the last four are null for an empty set.
+
+    ``prints`` has 32 bits of every band key.
+    """
     minhash = MinHash(ROWS * BANDS, SEED)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out = {"id": b["id"], "n_shingles": [], "digest": [], "bands": [], "packed": []}
+            out = {"id": b["id"], "n_shingles": [], "digest": [], "bands": [], "packed": [], "prints": []}
             for text in b["text"]:
                 own = shingle_set(text, words)
                 out["n_shingles"].append(len(own))
                 if len(own) == 0:
-                    found = (None, None, None)
+                    found = (None, None, None, None)
                 else:
                     minima = minhash.minima(own)
-                    keys = band_keys(minima, ROWS).view(np.int64).tolist()
-                    found = (xxhash.xxh3_128_digest(own.tobytes()), keys, pack(minima))
-                for name, value in zip(("digest", "bands", "packed"), found):
+                    keys = band_keys(minima, ROWS)
+                    prints = keys.astype(np.uint32).tobytes()
+                    found = (xxhash.xxh3_128_digest(own.tobytes()), keys.view(np.int64).tolist(), pack(minima), prints)
+                for name, value in zip(("digest", "bands", "packed", "prints"), found):
                     out[name].append(value)
             yield out
 
     return map_rows(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")),
         rows,
-        "id long, n_shingles long, digest binary, bands array<long>, packed binary",
+        "id long, n_shingles long, digest binary, bands array<long>, packed binary, prints binary",
     )
 
 
@@ -100,8 +106,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     spread = pairs.join(counts, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     _, spread = write_new(spread, "pairs")
     _, hubs = write_new(spread.select("hub", "part").distinct(), "pairs")
-    members = spread.join(texts, "id").select("hub", "part", F.lit(1).alias("kind"), "id", "text")
-    heads = hubs.join(texts, hubs.hub == texts.id).select("hub", "part", F.lit(0).alias("kind"), "id", "text")
+    # Merge joins: both read one shuffle of the texts, which grows as they do.
+    members = spread.join(texts.hint("merge"), "id").select("hub", "part", F.lit(1).alias("kind"), "id", "text")
+    heads = hubs.join(texts.hint("merge"), hubs.hub == texts.id).select("hub", "part", F.lit(0).alias("kind"), "id", "text")
     together = members.union(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,40 +157,43 @@ def passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within a bucket whose packed signatures may be similar enough.
 
-    ``entries``: key, id, label, packed, size (of the bucket).  A bucket is dealt into
-    blocks of about 2048 rows.  A task holds one block and streams the rows of the
-    blocks from it on past it.
+    ``entries``: band, key, id, label, packed, prints, size (of the bucket).  A bucket is dealt into
+    blocks of about 512 rows.  A task holds one block and streams the rows of the
+    blocks from it on past it.  A pair comes out of the first band it shares.
     """
     least = least_matches(percent, ROWS * BANDS)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     home = entries.withColumn("home", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    held = home.select("key", F.col("home").alias("block"), F.lit(0).alias("kind"), "id", "label", "packed")
-    shown = home.select("key", F.explode(F.sequence(F.lit(0), "home")).alias("block"), F.lit(1).alias("kind"), "id", "label", "packed")
+    rest = ("band", "home", "id", "label", "packed", "prints")
+    held = home.select("key", F.col("home").alias("block"), F.lit(0).alias("kind"), *rest)
+    shown = home.select("key", F.explode(F.sequence(F.lit(0), "home")).alias("block"), F.lit(1).alias("kind"), *rest)
     dealt = held.union(shown).repartition("key", "block").sortWithinPartitions("key", "block", "kind")
+    table = lambda parts, kind: np.frombuffer(b"".join(parts), kind).reshape(len(parts), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, labels, packed, ready = None, [], [], [], None
+        at, held_, ready = None, [], None
         for b in batches:
             out: dict[str, list] = {"hub": [], "id": []}
-            for key, block, kind, i, label, p in zip(*(c.to_pylist() for c in b.columns)):
+            for key, block, kind, band, own, i, label, packed, prints in zip(*(c.to_pylist() for c in b.columns)):
                 if at != (key, block):
-                    at, ids, labels, packed, ready = (key, block), [], [], [], None
+                    at, held_, ready = (key, block), [], None
                 if kind == 0:
-                    ids.append(i)
-                    labels.append(label)
-                    packed.append(p)
+                    held_.append((i, label, packed, prints))
                     continue
                 if ready is None:
-                    ready = np.array(ids), np.array(labels), np.frombuffer(b"".join(packed), np.uint8).reshape(len(ids), -1)
-                other = (ready[1] != label).nonzero()[0]
+                    ids, labels, signs, marks = zip(*held_)
+                    ready = np.array(ids), np.array(labels), table(signs, np.uint8), table(marks, np.uint32)
+                # Two rows of one block see each other twice.
+                other = ((ready[1] != label) & ((ready[0] > i) | (own != block))).nonzero()[0]
                 if len(other):
-                    hit = other[matches(np.frombuffer(p, np.uint8), ready[2][other]) >= least]
-                    for j in ready[0][hit].tolist():
+                    hit = other[matches(np.frombuffer(packed, np.uint8), ready[2][other]) >= least]
+                    first = (ready[3][hit] == np.frombuffer(prints, np.uint32)).argmax(axis=1) == band
+                    for j in ready[0][hit[first]].tolist():
                         out["hub"].append(min(i, j))
                         out["id"].append(max(i, j))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("hub", pa.int64()), ("id", pa.int64())]))
 
-    return map_batches(dealt, run, "hub long, id long").distinct()
+    return map_batches(dealt, run, "hub long, id long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -202,9 +212,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = with_id.groupBy("digest").agg(F.min("id").alias("first"))
     _, classes = write_new(classes, "classes")
     heads = with_id.join(classes.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
-    _, nodes = write_new(heads.select("id", "bands", "packed").dropDuplicates(["id"]), "nodes")
+    _, nodes = write_new(heads.select("id", "bands", "packed", "prints").dropDuplicates(["id"]), "nodes")
     # Tables between the steps: Spark splits the rows of a hot key only where a join reads both sides as dealt.
-    entries = nodes.select("id", F.explode("bands").alias("key"))
+    entries = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"))
     _, hubs = write_new(hubs.where("hub < last").drop("last"), "hubs")
     entries = entries.join(hubs, "key")
@@ -216,30 +226,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = same.join(with_id.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1"), F.col("a") == F.col("id"), "left_semi")
     _, several = write_new(several, "links")
 
-    _, stars = write_new(entries.where("id <> hub").select("hub", "id").distinct(), "stars")
-    _, near = write_new(passing(stars, nodes, percent), "pairs")
-    _, links = write_new(confirmed(near, texts, words, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
-    links = links.union(several)
+    both = entries.where("id <> hub").groupBy("id").agg(F.min("hub").alias("x"), F.max("hub").alias("y"))
+    _, stars = write_new(both.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub")), "stars")
+    links = _confirmed_links(stars, None, nodes, texts, words, percent).union(several)
     labels = components(links)
 
-    labelled = entries.where("id <> hub").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "key", "id", "size", F.coalesce("component", "id").alias("label")
-    )
-    _, labelled = write_new(labelled, "labels")
-    several_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    _, open_ = write_new(several_, "labels")
-    _, left = write_new(labelled.join(open_, "key", "left_semi"), "labels")
-    left = left.join(nodes.select("id", "packed"), "id")
-    _, more = write_new(block_pairs(left.select("key", "id", "label", "packed", "size"), percent), "pairs")
-    if not more.isEmpty():
-        _, late = write_new(confirmed(more, texts, words, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
-        labels = components(links.union(late))
+    # What is left are pairs of different components.
+    own = labels.select(F.col("node").alias("id"), F.col("component").alias("l"))
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hl"))
+    labelled = entries.where("id <> hub").join(own, "id", "left").join(of_hub, "hub", "left")
+    label = F.coalesce("l", "id").alias("label")
+    _, labelled = write_new(labelled.select("band", "key", "id", "hub", "size", label, F.coalesce("hl", "hub").alias("hub_label")), "labels")
+    late = labelled.where("label <> hub_label").select("id", "hub").distinct().join(stars, ["id", "hub"], "left_anti")
+    _, late = write_new(late, "stars")
+    ranges = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    _, ranges = write_new(ranges, "labels")
+    _, left = write_new(labelled.join(ranges, "key", "left_semi").select("band", "key", "id", "label", "size"), "labels")
+    inside = block_pairs(left.join(nodes.select("id", "packed", "prints"), "id"), percent)
+    labels = components(links.union(_confirmed_links(late, inside, nodes, texts, words, percent)))
     found = rows.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     return found.join(labels, F.col("first") == F.col("node"), "left").select(
         "id", "n_shingles", F.coalesce("component", "first", "id").alias("component")
     )
 
 
+def _confirmed_links(pairs: DataFrame, passed: DataFrame | None, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) of the ``pairs`` that pass the estimate, and of those that have ``passed`` it, which are similar."""
+    near = passing(pairs, nodes, percent)
+    if passed is not None:
+        near = near.union(passed.select("hub", "id")).distinct()
+    _, near = write_new(near, "pairs")
+    return write_new(confirmed(near, texts, words, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")[1]
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row of every group of near duplicates, with the columns of ``docs``; rows without id stay."""
     found = near_duplicates(docs, id_col, text_col, words, percent)
