@@ -6,11 +6,11 @@ of whole minima find candidates, and of every minimum only the low ``BITS`` bits
 kept and packed.  Counting equal groups of bits gives a similarity that is corrected
 for chance collisions and drops hopeless candidates; all others are confirmed on the full sets.
 
-Candidates are not all pairs of a bucket.  First every document meets two of its hubs (the
-smallest members of its buckets), which joins most of a group of copies into one component.
-Then only pairs of different components remain: documents with the hubs of their other
-buckets, and, in buckets that still hold several components, members of different ones,
-which are compared by their packed signatures in blocks, inside tasks.  A pair leaves a task
+Candidates are not all pairs of a bucket.  First every document meets the smallest members (hubs) of its buckets
+in six of the bands, which joins most of a group of copies into one component.  Of all 42
+bands only the buckets that then hold several components are looked at, and in them only pairs of
+different components: each member with the hub, and any others
+by their packed signatures in blocks, inside tasks.  A pair leaves a task
 only if it passes the estimate, and only in the first bucket it shares.  So a bucket of
 thousands of near copies costs thousands of comparisons, and no link between two different
 components is lost.
@@ -30,6 +30,8 @@ from chronopanel.llm.common import components, map_batches, map_rows, write_new
 from chronopanel.llm.shingles import MinHash, band_keys, shingle_set
 
 ROWS, BANDS, BITS, SEED = 6, 42, 4, 20240
+#: Bands whose buckets form the first components.
+FIRST = 6
 #: Standard deviations of the estimate by which a candidate may miss the threshold.
 SLACK = 4.5
 #: Rows of a bucket that one block of comparisons holds.
@@ -213,12 +215,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, classes = write_new(classes, "classes")
     heads = with_id.join(classes.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
     _, nodes = write_new(heads.select("id", "bands", "packed", "prints").dropDuplicates(["id"]), "nodes")
-    # Tables between the steps: Spark splits the rows of a hot key only where a join reads both sides as dealt.
-    entries = nodes.select("id", F.posexplode("bands").alias("band", "key"))
-    hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"))
-    _, hubs = write_new(hubs.where("hub < last").drop("last"), "hubs")
-    entries = entries.join(hubs, "key")
-    _, entries = write_new(entries, "bands")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
 
     # Rows of one id, and of one class, are one component whatever their texts are.
@@ -226,23 +222,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = same.join(with_id.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1"), F.col("a") == F.col("id"), "left_semi")
     _, several = write_new(several, "links")
 
-    both = entries.where("id <> hub").groupBy("id").agg(F.min("hub").alias("x"), F.max("hub").alias("y"))
-    _, stars = write_new(both.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub")), "stars")
+    # Tables between the steps: Spark splits the rows of a hot key only where a join reads both sides as dealt.
+    entries = nodes.select("id", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
+    _, hubs = write_new(entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last"), "hubs")
+    _, stars = write_new(entries.join(hubs, "key").where("id <> hub").select("id", "hub").distinct(), "stars")
     links = _confirmed_links(stars, None, nodes, texts, words, percent).union(several)
     labels = components(links)
 
     # What is left are pairs of different components.
-    own = labels.select(F.col("node").alias("id"), F.col("component").alias("l"))
-    of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hl"))
-    labelled = entries.where("id <> hub").join(own, "id", "left").join(of_hub, "hub", "left")
-    label = F.coalesce("l", "id").alias("label")
-    _, labelled = write_new(labelled.select("band", "key", "id", "hub", "size", label, F.coalesce("hl", "hub").alias("hub_label")), "labels")
-    late = labelled.where("label <> hub_label").select("id", "hub").distinct().join(stars, ["id", "hub"], "left_anti")
+    own = labels.select(F.col("node").alias("id"), "component")
+    _, labelled = write_new(nodes.join(own, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "bands"), "labels")
+    entries = labelled.select("id", "label", F.posexplode("bands").alias("band", "key"))
+    buckets = entries.groupBy("key").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("id", "label")).alias("hub"), F.count(F.lit(1)).alias("size")
+    )
+    _, buckets = write_new(buckets.where("x < y").select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), "size"), "hubs")
+    _, left = write_new(entries.join(buckets, "key").where("id <> hub"), "bands")
+    late = left.where("label <> hub_label").select("id", "hub").distinct().join(stars, ["id", "hub"], "left_anti")
     _, late = write_new(late, "stars")
-    ranges = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    _, ranges = write_new(ranges, "labels")
-    _, left = write_new(labelled.join(ranges, "key", "left_semi").select("band", "key", "id", "label", "size"), "labels")
-    inside = block_pairs(left.join(nodes.select("id", "packed", "prints"), "id"), percent)
+    inside = left.select("band", "key", "id", "label", "size").join(nodes.select("id", "packed", "prints"), "id")
+    inside = block_pairs(inside, percent)
     labels = components(links.union(_confirmed_links(late, inside, nodes, texts, words, percent)))
     found = rows.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     return found.join(labels, F.col("first") == F.col("node"), "left").select(
