@@ -182,6 +182,8 @@ def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 if kind == 0:
                     held_.append((i, label, packed, prints))
                     continue
+                if not held_:
+                    continue
                 if ready is None:
                     ids, labels, signs, marks = zip(*held_)
                     ready = np.array(ids), np.array(labels), table(signs, np.uint8), table(marks, np.uint32)
@@ -245,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links.union(_confirmed_links(late, inside, nodes, texts, words, percent)))
     found = rows.select("id", "n_shingles", "digest").join(classes, "digest", "left")
     return found.join(labels, F.col("first") == F.col("node"), "left").select(
-        "id", "n_shingles", F.coalesce("component", "first", "id").alias("component")
+        "id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id")).alias("component")
     )
 
 

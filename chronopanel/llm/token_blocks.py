@@ -129,7 +129,7 @@ class WordTokenizer:
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     ODD = "[\x1c-\x1f]"
 
-    def __init__(self, path: str, memory: int = 300_000, longest: int = 60):
+    def __init__(self, path: str, memory: int = 600_000, longest: int = 60):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.memory, self.longest = memory, longest
@@ -137,7 +137,7 @@ class WordTokenizer:
         plain = type(self.model).__name__ == "BPE" and not self.library.normalizer and b'"type":"ByteLevel"' in state
         plain = plain and b'"add_prefix_space":false' in state and b'"use_regex":true' in state
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([self.ODD, *map(re.escape, special)])) if plain else re.compile("")
+        self.odd, self.special = re.compile(self.ODD if plain else ""), special
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -157,7 +157,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        if self.whole.search(text):
+        if self.odd.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = self.PARTS.findall(text)
         found = list(map(self.parts.get, parts))
