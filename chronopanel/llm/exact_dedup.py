@@ -48,7 +48,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         keys = ["__hash"]
     else:  # a text hash beside the content hash would only repeat the doubt: group these by their texts
         rows = rows.join(F.broadcast(collided.withColumn("__both", F.lit(True))), "__hash", "left").withColumn(
-            "__text", F.when("__both", text).otherwise(F.lit(""))
+            "__text", F.when(F.col("__both"), normalised(text_or_empty(F.col(f"__doc.`{text_col}`")))).otherwise(F.lit(""))
         )
         keys = ["__hash", "__text"]
     _, groups = write_new(rows.groupBy(*keys).agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__group_size")), "groups")
