@@ -14,8 +14,8 @@ class Panel:
 
     ``exact_scale`` is the number of decimal places the numeric columns hold, if
     that is known (money: 2).  Sums are then taken over whole smallest units, so a
-    mean does not depend on the order in which Spark adds rows; a sum beyond 64 bits
-    raises.  ``None`` means plain doubles.
+    mean does not depend on the order in which Spark adds rows; sums have 28 digits, so
+    10^12 rows of 10^16 units fit.  ``None`` means plain doubles.
     """
 
     entity: str = "ID"
@@ -42,7 +42,7 @@ class Panel:
         """What sums add up for ``value``: the double itself, or whole smallest units."""
         if self.exact_scale is None:
             return value
-        return f"CAST(rint({value} * {10.0**self.exact_scale!r}D) AS BIGINT)"
+        return f"CAST(rint({value} * {10.0**self.exact_scale!r}D) AS DECIMAL(18, 0))"
 
     def total_sql(self, total: str) -> str:
         """A sum of summands as double."""
