@@ -78,6 +78,23 @@ def write_new(df: DataFrame, kind: str) -> tuple[str, DataFrame]:
     return path, df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Tables between the steps of an operator, in the shared folder until ``close``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, kind: str) -> DataFrame:
+        path, table = write_new(df, kind)
+        self.paths.append(path)
+        return table
+
+    def close(self) -> None:
+        """Delete the tables; call it once nothing that is still lazy reads them."""
+        while self.paths:
+            discard(self.spark, self.paths.pop())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: long), component the smallest node reachable.
 

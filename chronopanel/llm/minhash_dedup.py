@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import components, map_batches, map_rows, write_new
+from chronopanel.llm.common import Scratch, components, map_batches, map_rows, write_new
 from chronopanel.llm.shingles import MinHash, band_keys, shingle_set
 
 ROWS, BANDS, BITS, SEED = 6, 42, 4, 20240
@@ -97,21 +97,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """The (hub, id) of ``pairs`` whose full shingle sets are similar enough.
 
     Texts meet by shuffles: a hub's text goes once to every group of about 64 of its pairs, the
     other texts once per pair.  A task keeps one hub's sets and streams the rest.  An id
     with several rows is similar if one of its texts is.
     """
-    _, counts = write_new(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts")), "pairs")
+    counts = scratch.write(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts")), "pairs")
     spread = pairs.join(counts, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    _, spread = write_new(spread, "pairs")
-    _, hubs = write_new(spread.select("hub", "part").distinct(), "pairs")
-    # Merge joins: both read one shuffle of the texts, which grows as they do.
-    members = spread.join(texts.hint("merge"), "id").select("hub", "part", F.lit(1).alias("kind"), "id", "text")
-    heads = hubs.join(texts.hint("merge"), hubs.hub == texts.id).select("hub", "part", F.lit(0).alias("kind"), "id", "text")
-    together = members.union(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    spread = scratch.write(spread, "pairs")
+    hubs = scratch.write(spread.select("hub", "part").distinct(), "pairs")
+    wanted = spread.select("hub", "part", F.lit(1).alias("kind"), "id").union(hubs.select("hub", "part", F.lit(0), F.col("hub")))
+    # A table and a merge join: the texts are shuffled once, at every size, and Spark splits the rows of a hot id.
+    wanted = scratch.write(wanted, "pairs")
+    together = wanted.join(texts.hint("merge"), "id").select("hub", "part", "kind", "id", "text")
+    together = together.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, sets = None, []
@@ -211,53 +212,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents at exactly 80 % miss all 42 bands of 6 with a chance of 3 in a million.
     """
-    _, rows = write_new(signatures(docs, id_col, text_col, words), "signatures")
+    early, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    signed = early.write(signatures(docs, id_col, text_col, words), "signatures")
+    _, rows = write_new(signed.select("id", "n_shingles", "digest"), "digests")
     with_id = rows.where("id IS NOT NULL AND digest IS NOT NULL")
     classes = with_id.groupBy("digest").agg(F.min("id").alias("first"))
     _, classes = write_new(classes, "classes")
-    heads = with_id.join(classes.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
-    _, nodes = write_new(heads.select("id", "bands", "packed", "prints").dropDuplicates(["id"]), "nodes")
+    heads = signed.join(classes.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
+    nodes = scratch.write(heads.select("id", "bands", "packed", "prints").dropDuplicates(["id"]), "nodes")
+    early.close()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
 
     # Rows of one id, and of one class, are one component whatever their texts are.
     same = with_id.select("id", "digest").join(classes, "digest").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     several = same.join(with_id.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1"), F.col("a") == F.col("id"), "left_semi")
-    _, several = write_new(several, "links")
+    several = scratch.write(several, "links")
 
     # Tables between the steps: Spark splits the rows of a hot key only where a join reads both sides as dealt.
     entries = nodes.select("id", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
-    _, hubs = write_new(entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last"), "hubs")
-    _, stars = write_new(entries.join(hubs, "key").where("id <> hub").select("id", "hub").distinct(), "stars")
-    links = _confirmed_links(stars, None, nodes, texts, words, percent).union(several)
+    hubs = scratch.write(entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last"), "hubs")
+    stars = scratch.write(entries.join(hubs, "key").where("id <> hub").select("id", "hub").distinct(), "stars")
+    links = _confirmed_links(stars, None, nodes, texts, words, percent, scratch).union(several)
     labels = components(links)
 
     # What is left are pairs of different components.
     own = labels.select(F.col("node").alias("id"), "component")
-    _, labelled = write_new(nodes.join(own, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "bands"), "labels")
+    labelled = scratch.write(nodes.join(own, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "bands"), "labels")
     entries = labelled.select("id", "label", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("key").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("id", "label")).alias("hub"), F.count(F.lit(1)).alias("size")
     )
-    _, buckets = write_new(buckets.where("x < y").select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), "size"), "hubs")
-    _, left = write_new(entries.join(buckets, "key").where("id <> hub"), "bands")
+    buckets = scratch.write(buckets.where("x < y").select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), "size"), "hubs")
+    left = scratch.write(entries.join(buckets, "key").where("id <> hub"), "bands")
     late = left.where("label <> hub_label").select("id", "hub").distinct().join(stars, ["id", "hub"], "left_anti")
-    _, late = write_new(late, "stars")
+    late = scratch.write(late, "stars")
     inside = left.select("band", "key", "id", "label", "size").join(nodes.select("id", "packed", "prints"), "id")
     inside = block_pairs(inside, percent)
-    labels = components(links.union(_confirmed_links(late, inside, nodes, texts, words, percent)))
-    found = rows.select("id", "n_shingles", "digest").join(classes, "digest", "left")
+    labels = components(links.union(_confirmed_links(late, inside, nodes, texts, words, percent, scratch)))
+    scratch.close()
+    found = rows.join(classes, "digest", "left")
     return found.join(labels, F.col("first") == F.col("node"), "left").select(
         "id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id")).alias("component")
     )
 
 
-def _confirmed_links(pairs: DataFrame, passed: DataFrame | None, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed_links(pairs: DataFrame, passed: DataFrame | None, nodes: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b) of the ``pairs`` that pass the estimate, and of those that have ``passed`` it, which are similar."""
     near = passing(pairs, nodes, percent)
     if passed is not None:
         near = near.union(passed.select("hub", "id")).distinct()
-    _, near = write_new(near, "pairs")
-    return write_new(confirmed(near, texts, words, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")[1]
+    near = scratch.write(near, "pairs")
+    return scratch.write(confirmed(near, texts, words, percent, scratch).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -23,6 +23,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), _U, len(words))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """64-bit hash of every run of ``n`` words, in order; fewer words than ``n`` make one shingle."""
     size = len(hashes)
@@ -42,7 +48,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct shingles of a text."""
-    return np.unique(shingle_hashes(word_hashes(words_of(text)), n))
+    return distinct(shingle_hashes(word_hashes(words_of(text)), n))
 
 
 class MinHash:
@@ -59,16 +65,24 @@ class MinHash:
         return np.multiply.outer(self.a, x) + self.b[:, None]
 
     def minima(self, x: np.ndarray, cells: int = 1 << 16) -> np.ndarray:
-        """Mixed minima over a non-empty set, block by block so that buffers stay in cache."""
-        rows = max(1, min(self.k, cells // min(len(x), cells)))
-        least = np.full(self.k, ~_U(0))
-        for at in range(0, len(x), cells):
-            part = x[at : at + cells]
+        """Mixed minima over a non-empty set, block by block so that buffers stay in cache.
+
+        The maps are of 32 bits, on the high half of the numbers: those multiply four times as fast.
+        """
+        x = (x >> _U(32)).astype(np.uint32)
+        a, b = (c.astype(np.uint32)[:, None] for c in (self.a, self.b))
+        width = min(len(x), cells // 4)
+        rows = min(self.k, cells // width)
+        least, images = np.full(self.k, ~np.uint32(0)), np.empty(rows * width, np.uint32)
+        for at in range(0, len(x), width):
+            part = x[at : at + width]
             for i in range(0, self.k, rows):
-                image = np.multiply.outer(self.a[i : i + rows], part)
-                image += self.b[i : i + rows, None]
-                np.minimum(least[i : i + rows], image.min(axis=1), out=least[i : i + rows])
-        return mix(least)
+                n = min(rows, self.k - i)
+                image = images[: n * len(part)].reshape(n, len(part))
+                np.multiply(a[i : i + n], part, out=image)
+                image += b[i : i + n]
+                np.minimum(least[i : i + n], image.min(axis=1), out=least[i : i + n])
+        return mix(least.astype(_U))
 
 
 def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
