@@ -36,6 +36,8 @@ FIRST = 6
 SLACK = 4.5
 #: Rows of a bucket that one block of comparisons holds.
 BLOCK = 512
+#: Shingles of a bucket that one block holds.
+CELLS = 1 << 22
 #: Pairs of one hub that are confirmed in one group.
 HUB_PAIRS = 64
 
@@ -97,40 +99,46 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The (hub, id) of ``pairs`` whose full shingle sets are similar enough.
+def confirmed(pairs: DataFrame, blocks: DataFrame | None, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of the candidates whose full shingle sets are similar enough.
 
-    Texts meet by shuffles: a hub's text goes once to every group of about 64 of its pairs, the
-    other texts once per pair.  A task keeps one hub's sets and streams the rest.  An id
-    with several rows is similar if one of its texts is.
+    Candidates are the (hub, id) of ``pairs`` and those of ``blocks`` (see ``block_pairs``).  Either way
+    they are groups of held rows, which a task keeps as sets, and of rows that stream past them, each with
+    the ids to compare with: a hub is held once for every group of about 64 of its pairs.  The texts are
+    shuffled once.  An id with several rows is similar if one of its texts is.
     """
     counts = scratch.write(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts")), "pairs")
-    spread = pairs.join(counts, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    spread = scratch.write(spread, "pairs")
-    hubs = scratch.write(spread.select("hub", "part").distinct(), "pairs")
-    wanted = spread.select("hub", "part", F.lit(1).alias("kind"), "id").union(hubs.select("hub", "part", F.lit(0), F.col("hub")))
-    # A table and a merge join: the texts are shuffled once, at every size, and Spark splits the rows of a hot id.
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    spread = scratch.write(pairs.join(counts, "hub").select(F.col("hub").alias("key"), part.alias("block"), "id"), "pairs")
+    hubs = spread.select("key", "block").distinct().select("key", "block", F.lit(0), F.col("key"), F.lit(None).cast("array<long>"))
+    wanted = spread.select("key", "block", F.lit(1).alias("kind"), "id", F.array("key").alias("others")).union(hubs)
+    wanted = wanted.withColumn("from", F.lit(0))
+    if blocks is not None:
+        wanted = wanted.union(blocks.select("key", "block", "kind", "id", "others", F.lit(1)))
+    # A table and a merge join at every size: Spark splits the rows of a hot id.
     wanted = scratch.write(wanted, "pairs")
-    together = wanted.join(texts.hint("merge"), "id").select("hub", "part", "kind", "id", "text")
-    together = together.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    group = ("from", "key", "block")
+    together = wanted.join(texts.hint("merge"), "id").select(*group, "kind", "id", "others", "text")
+    together = together.repartition(*group).sortWithinPartitions(*group, "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, sets = None, []
+        at, sets = None, {}
         for b in batches:
-            out: dict[str, list] = {"hub": [], "id": []}
-            hubs_, parts, kinds, ids, texts_ = (c.to_pylist() for c in b.columns)
-            for h, part, kind, i, text in zip(hubs_, parts, kinds, ids, texts_):
-                if hub != (h, part):
-                    hub, sets = (h, part), []
+            out: dict[str, list] = {"a": [], "b": []}
+            for *own_group, kind, i, others, text in zip(*(c.to_pylist() for c in b.columns)):
+                if at != own_group:
+                    at, sets = own_group, {}
                 own = shingle_set(text, words)
                 if kind == 0:
-                    sets.append(own)
-                elif any(similar(s, own, percent) for s in sets):
-                    out["hub"].append(h)
-                    out["id"].append(i)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("hub", pa.int64()), ("id", pa.int64())]))
+                    sets.setdefault(i, []).append(own)
+                    continue
+                for j in others:
+                    if any(similar(held, own, percent) for held in sets.get(j, ())):
+                        out["a"].append(j)
+                        out["b"].append(i)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return map_batches(together, run, "hub long, id long")
+    return map_batches(together, run, "a long, b long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -158,14 +166,17 @@ def passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a bucket whose packed signatures may be similar enough.
+    """Pairs of different components within a bucket whose packed signatures may be similar enough, by blocks.
+
+    ``entries``: band, key, id, label, packed, prints, size and weight (rows and shingles of the bucket).  A bucket
+    is dealt into blocks of about 512 rows or 4 million shingles.  A task holds one block and streams the rows
+    of the blocks from it on past it.  A pair comes out of the first band it shares.
 
-    ``entries``: band, key, id, label, packed, prints, size (of the bucket).  A bucket is dealt into
-    blocks of about 512 rows.  A task holds one block and streams the rows of the
-    blocks from it on past it.  A pair comes out of the first band it shares.
+    Gives key, block, kind, id, others: held rows in some pair (kind 0), and streamed rows (kind 1) with the
+    ids of their pairs, so a bucket has no more rows here than there, however many pairs it has.
     """
     least = least_matches(percent, ROWS * BANDS)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / CELLS)).cast("int")
     home = entries.withColumn("home", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     rest = ("band", "home", "id", "label", "packed", "prints")
     held = home.select("key", F.col("home").alias("block"), F.lit(0).alias("kind"), *rest)
@@ -173,12 +184,26 @@ def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     dealt = held.union(shown).repartition("key", "block").sortWithinPartitions("key", "block", "kind")
     table = lambda parts, kind: np.frombuffer(b"".join(parts), kind).reshape(len(parts), -1)
 
+    kinds = "key long, block int, kind int, id long, others array<long>"
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("others", pa.list_(pa.int64()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held_, ready = None, [], None
+        at, held_, ready, used = None, [], None, None
+        out: list[tuple] = []
+
+        def close() -> None:
+            if ready is not None:
+                out.extend((*at, 0, i, None) for i in ready[0][used].tolist())
+
+        def written() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * len(schema)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
         for b in batches:
-            out: dict[str, list] = {"hub": [], "id": []}
             for key, block, kind, band, own, i, label, packed, prints in zip(*(c.to_pylist() for c in b.columns)):
                 if at != (key, block):
+                    close()
                     at, held_, ready = (key, block), [], None
                 if kind == 0:
                     held_.append((i, label, packed, prints))
@@ -188,17 +213,20 @@ def block_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 if ready is None:
                     ids, labels, signs, marks = zip(*held_)
                     ready = np.array(ids), np.array(labels), table(signs, np.uint8), table(marks, np.uint32)
+                    used = np.zeros(len(ids), bool)
                 # Two rows of one block see each other twice.
                 other = ((ready[1] != label) & ((ready[0] > i) | (own != block))).nonzero()[0]
                 if len(other):
                     hit = other[matches(np.frombuffer(packed, np.uint8), ready[2][other]) >= least]
-                    first = (ready[3][hit] == np.frombuffer(prints, np.uint32)).argmax(axis=1) == band
-                    for j in ready[0][hit[first]].tolist():
-                        out["hub"].append(min(i, j))
-                        out["id"].append(max(i, j))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("hub", pa.int64()), ("id", pa.int64())]))
+                    hit = hit[(ready[3][hit] == np.frombuffer(prints, np.uint32)).argmax(axis=1) == band]
+                    if len(hit):
+                        used[hit] = True
+                        out.append((key, block, 1, i, ready[0][hit].tolist()))
+            yield written()
+        close()
+        yield written()
 
-    return map_batches(dealt, run, "hub long, id long")
+    return map_batches(dealt, run, kinds)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = with_id.groupBy("digest").agg(F.min("id").alias("first"))
     _, classes = write_new(classes, "classes")
     heads = signed.join(classes.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
-    nodes = scratch.write(heads.select("id", "bands", "packed", "prints").dropDuplicates(["id"]), "nodes")
+    nodes = scratch.write(heads.select("id", "n_shingles", "bands", "packed", "prints").dropDuplicates(["id"]), "nodes")
     early.close()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
 
@@ -237,16 +265,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What is left are pairs of different components.
     own = labels.select(F.col("node").alias("id"), "component")
-    labelled = scratch.write(nodes.join(own, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "bands"), "labels")
-    entries = labelled.select("id", "label", F.posexplode("bands").alias("band", "key"))
+    labelled = scratch.write(nodes.join(own, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "n_shingles", "bands"), "labels")
+    entries = labelled.select("id", "label", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("key").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("id", "label")).alias("hub"), F.count(F.lit(1)).alias("size")
+        F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("id", "label")).alias("hub"),
+        F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"),
     )
-    buckets = scratch.write(buckets.where("x < y").select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), "size"), "hubs")
+    buckets = scratch.write(buckets.where("x < y").select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"), "size", "weight"), "hubs")
     left = scratch.write(entries.join(buckets, "key").where("id <> hub"), "bands")
     late = left.where("label <> hub_label").select("id", "hub").distinct().join(stars, ["id", "hub"], "left_anti")
     late = scratch.write(late, "stars")
-    inside = left.select("band", "key", "id", "label", "size").join(nodes.select("id", "packed", "prints"), "id")
+    inside = left.select("band", "key", "id", "label", "size", "weight").join(nodes.select("id", "packed", "prints"), "id")
     inside = block_pairs(inside, percent)
     labels = components(links.union(_confirmed_links(late, inside, nodes, texts, words, percent, scratch)))
     scratch.close()
@@ -256,13 +285,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _confirmed_links(pairs: DataFrame, passed: DataFrame | None, nodes: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b) of the ``pairs`` that pass the estimate, and of those that have ``passed`` it, which are similar."""
-    near = passing(pairs, nodes, percent)
-    if passed is not None:
-        near = near.union(passed.select("hub", "id")).distinct()
-    near = scratch.write(near, "pairs")
-    return scratch.write(confirmed(near, texts, words, percent, scratch).select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
+def _confirmed_links(pairs: DataFrame, blocks: DataFrame | None, nodes: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of the ``pairs`` that pass the estimate, and of those in ``blocks``, which are similar."""
+    near = scratch.write(passing(pairs, nodes, percent), "pairs")
+    return scratch.write(confirmed(near, blocks, texts, words, percent, scratch), "links")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
