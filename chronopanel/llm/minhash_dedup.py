@@ -10,10 +10,10 @@ Candidates are not all pairs of a bucket.  First every document meets the smalle
 in six of the bands, which joins most of a group of copies into one component.  Of all 42
 bands only the buckets that then hold several components are looked at, and in them only pairs of
 different components: each member with the hub, and any others
-by their packed signatures in blocks, inside tasks.  A pair leaves a task
-only if it passes the estimate, and only in the first bucket it shares.  So a bucket of
-thousands of near copies costs thousands of comparisons, and no link between two different
-components is lost.
+by their packed signatures in blocks, inside tasks.  A pair that passes the estimate
+counts only in the first bucket it shares, and leaves the task in a list with its streamed
+row.  The pairs of a block are confirmed together, so a row's text goes there once, and no
+link between two different components is lost.
 """
 
 from __future__ import annotations

@@ -67,7 +67,7 @@ class MinHash:
     def minima(self, x: np.ndarray, cells: int = 1 << 16) -> np.ndarray:
         """Mixed minima over a non-empty set, block by block so that buffers stay in cache.
 
-        The maps are of 32 bits, on the high half of the numbers: those multiply four times as fast.
+        The maps are of 32 bits, on the high half of the numbers: those are about twice as fast.
         """
         x = (x >> _U(32)).astype(np.uint32)
         a, b = (c.astype(np.uint32)[:, None] for c in (self.a, self.b))
