@@ -1,11 +1,15 @@
-"""The operators as ``pyspark.ml`` transformers, to mix with other ML stages.
+"""Recipes and operators as ``pyspark.ml`` transformers, to mix with other ML stages.
 
-Each wraps one operator for one column.  For many columns ``generate_features``
-shares the scans, the joins and the window that single stages repeat.
+``PanelRecipe`` runs a whole recipe for one column through ``generate_features``, so its
+stages share the scans, the joins and the window; ``PanelStage`` is a single operator.
+Neither joins the rows to features computed apart.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.panel import Panel, quoted
 from chronopanel.plans.generate import generate_features
-from chronopanel.plans.spec import Recipe, Stage, steps_for
+from chronopanel.plans.spec import KEEP, Recipe, Stage, steps_for
 
 
 class PanelStage(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -29,31 +33,22 @@ class PanelStage(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
     operator = Param(Params._dummy(), "operator", "name of the operator", TypeConverters.toString)
     entityCol = Param(Params._dummy(), "entityCol", "entity key", TypeConverters.toString)
     snapshotCol = Param(Params._dummy(), "snapshotCol", "snapshot key", TypeConverters.toString)
+    exactScale = Param(Params._dummy(), "exactScale", "decimal places for exact sums, -1 for plain doubles", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, operator=None, inputCol=None, outputCol=None, entityCol="ID", snapshotCol="snapshotDate"):
+    def __init__(self, *, operator=None, inputCol=None, outputCol=None, entityCol="ID", snapshotCol="snapshotDate", exactScale=-1):
         super().__init__()
-        self._setDefault(entityCol="ID", snapshotCol="snapshotDate")
+        self._setDefault(entityCol="ID", snapshotCol="snapshotDate", exactScale=-1)
         self.setParams(**self._input_kwargs)
 
     @keyword_only
-    def setParams(self, *, operator=None, inputCol=None, outputCol=None, entityCol="ID", snapshotCol="snapshotDate"):
+    def setParams(self, *, operator=None, inputCol=None, outputCol=None, entityCol="ID", snapshotCol="snapshotDate", exactScale=-1):
         return self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        panel = Panel(self.getOrDefault(self.entityCol), self.getOrDefault(self.snapshotCol))
-        column = self.getInputCol()
-        stage = Stage(self.getOrDefault(self.operator))
+        column, stage = self.getInputCol(), Stage(self.getOrDefault(self.operator))
         (step,) = steps_for(column, [stage])
-        if step.operator.kind == "keep":
-            return dataset
-        block = generate_features(dataset.select(*[quoted(c) for c in [*panel.keys, column]]), panel, {column: [stage]})
-        made = [c for c in block.columns if c not in (*panel.keys, column)]
-        names = {c: self._renamed(c, step.out) for c in made}
-        block = block.select(*[quoted(k) for k in panel.keys], *[F.col(quoted(c)).alias(n) for c, n in names.items()])
-        return dataset.join(block, panel.keys, "left").select(
-            *[quoted(c) for c in [*dataset.columns, *names.values()]]
-        )
+        return _featured(dataset, _panel(self), column, [stage], lambda name: self._renamed(name, step.out))
 
     def _renamed(self, name: str, stem: str) -> str:
         if self.isSet(self.outputCol) and name.startswith(stem) and stem:
@@ -61,17 +56,49 @@ class PanelStage(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return name
 
 
+class PanelRecipe(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds all columns of a recipe for ``inputCol``.
+
+    ``recipe`` has a JSON list of operator, source prefix and output prefix per stage.
+    """
+
+    recipe = Param(Params._dummy(), "recipe", "stages as JSON lists", TypeConverters.toListString)
+    entityCol = Param(Params._dummy(), "entityCol", "entity key", TypeConverters.toString)
+    snapshotCol = Param(Params._dummy(), "snapshotCol", "snapshot key", TypeConverters.toString)
+    exactScale = Param(Params._dummy(), "exactScale", "decimal places for exact sums, -1 for plain doubles", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, recipe=None, inputCol=None, entityCol="ID", snapshotCol="snapshotDate", exactScale=-1):
+        super().__init__()
+        self._setDefault(entityCol="ID", snapshotCol="snapshotDate", exactScale=-1)
+        self.setParams(**self._input_kwargs)
+
+    @keyword_only
+    def setParams(self, *, recipe=None, inputCol=None, entityCol="ID", snapshotCol="snapshotDate", exactScale=-1):
+        return self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        stages = [Stage(*json.loads(text)) for text in self.getOrDefault(self.recipe)]
+        return _featured(dataset, _panel(self), self.getInputCol(), stages, lambda name: name)
+
+
+def _panel(stage: PanelStage | PanelRecipe) -> Panel:
+    scale = stage.getOrDefault(stage.exactScale)
+    return Panel(stage.getOrDefault(stage.entityCol), stage.getOrDefault(stage.snapshotCol), None if scale < 0 else scale)
+
+
+def _featured(dataset: DataFrame, panel: Panel, column: str, recipe: Recipe, name: Callable[[str], str]) -> DataFrame:
+    """``dataset`` with the columns ``recipe`` makes of ``column`` after its own."""
+    wide = generate_features(dataset, panel, {column: recipe}, unlisted=KEEP)
+    made = [c for c in wide.columns if c not in dataset.columns]
+    return wide.select(*[quoted(c) for c in dataset.columns], *[F.col(quoted(c)).alias(name(c)) for c in made])
+
+
 def transformers_for(column: str, recipe: Recipe, panel: Panel) -> Pipeline:
-    """A recipe for one column as an ML Pipeline of single stages."""
-    return Pipeline(
-        stages=[
-            PanelStage(
-                operator=stage.operator,
-                inputCol=step.source,
-                entityCol=panel.entity,
-                snapshotCol=panel.snapshot,
-                **({"outputCol": step.out} if step.operator.columns is None and step.out else {}),
-            )
-            for stage, step in zip(recipe, steps_for(column, recipe))
-        ]
+    """A recipe for one column as an ML Pipeline."""
+    stages = [json.dumps([s.operator, s.source, s.prefix]) for s in recipe]
+    scale = -1 if panel.exact_scale is None else panel.exact_scale
+    recipe_stage = PanelRecipe(
+        recipe=stages, inputCol=column, entityCol=panel.entity, snapshotCol=panel.snapshot, exactScale=scale
     )
+    return Pipeline(stages=[recipe_stage])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.operators.pieces import CrossSection, divide
+from chronopanel.operators.pieces import CrossSection
 from chronopanel.panel import named, quoted
+from chronopanel.scale import lookup_join
 
 
 # Up to this many columns a generated conditional maximum per column is the faster
@@ -15,31 +16,17 @@ CONDITIONAL_PIVOT = 64
 
 
 def ecdf_long(cross: CrossSection, columns: list[str], keep: list[str]) -> DataFrame:
-    """(keep..., f, e): share of the snapshot's rows whose value is <= the row's.
+    """(keep..., __f, __e): share of the snapshot's rows whose value is <= the row's.
 
-    Missing values get 0.0 and count in the denominator.  Only thin rows are
-    shuffled, by (snapshot, column, piece); rows that need no order (missing, or
-    equal to a cut of a hot snapshot) are spread by a salt.
+    Missing values get 0.0 and count in the denominator.  Only distinct values are
+    ordered; thin rows look theirs up, and those of a frequent value are spread.
     """
-    t = cross.panel.snapshot
-    hot = cross.hot(columns)
+    t, ranks = cross.panel.snapshot, cross.ranks(columns)
     values = cross.long(columns, list(dict.fromkeys([*keep, t])))
-    group = [t, "f"]
-    if hot is not None:
-        values = divide(values, cross.panel, hot)
-        unordered = F.col("__n").isNotNull() & (F.col("v").isNull() | (F.col("__piece") % 2 == 1))
-        spread = F.pmod(F.xxhash64(*[quoted(k) for k in keep]), F.lit(hot.pieces * cross.limits.salts)).cast("int")
-        values = values.withColumn("__salt", F.when(unordered, spread).otherwise(F.lit(-1)))
-        group = [t, "f", "__piece", "__salt"]
-    ordered = Window.partitionBy(*group).orderBy("v")
-    local = F.count("v").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    size = F.count(F.lit(1)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    upto = local
-    if hot is not None:
-        upto = F.when(F.col("__n").isNull(), local).when(unordered, F.col("__upto")).otherwise(F.col("__below") + local)
-        size = F.coalesce("__n", size)
-    share = F.when(F.col("v").isNull(), F.lit(0.0)).otherwise(upto / size)
-    return values.select(*[quoted(k) for k in keep], "f", share.alias("e"))
+    share = F.when(F.isnan("__v"), F.lit(0.0)).otherwise(F.col("__upto") / F.col("__n"))
+    table = ranks.table.select(quoted(t), "__f", "__v", share.alias("__e"), "__c")
+    found = lookup_join(values, table, [t, "__f", "__v"], ranks.sizes, "__c", keep, cross.limits)
+    return found.select(*[quoted(k) for k in keep], "__f", "__e")
 
 
 def add_ecdf(
@@ -51,7 +38,7 @@ def add_ecdf(
     thin rows are shuffled before they are pivoted to one row per key: the pivoted
     rows are mostly null until complete, so pivoting first would only widen them.
     ``slices`` names columns that divide a hot entity's rows, see
-    ``operators.history``.
+    ``operators.history``.  Raises while running if two rows share a key.
     """
     columns = list(dict.fromkeys(ranks.values()))
     index = {c: i for i, c in enumerate(columns)}
@@ -59,12 +46,15 @@ def add_ecdf(
     keys = [*place, cross.panel.snapshot]
     thin = ecdf_long(cross, columns, keys)
     together = thin.repartition(*[quoted(c) for c in place]).groupBy(*[quoted(c) for c in keys])
+    # Every row has each column once here, so more of them are rows that share a key.
+    once = f"count(1) = {len(columns)}"
+    repeated = "raise_error('an (entity, snapshot) pair occurs more than once')"
     if len(columns) <= CONDITIONAL_PIVOT:
-        by_name = {out: f"max(CASE WHEN f = {index[c]} THEN e END)" for out, c in ranks.items()}
+        by_name = {out: f"CASE WHEN {once} THEN max(CASE WHEN __f = {index[c]} THEN __e END) ELSE {repeated} END" for out, c in ranks.items()}
         pivoted = together.agg(*[F.expr(e).alias(out) for out, e in by_name.items()])
     else:
-        found = together.pivot("f", list(index.values())).agg(F.max("e"))
-        by_name = {out: quoted(str(index[c])) for out, c in ranks.items()}
+        found = together.pivot("__f", list(index.values())).agg(F.max("__e").alias("e"), F.count(F.lit(1)).alias("n"))
+        by_name = {out: f"CASE WHEN `{index[c]}_n` = 1 THEN `{index[c]}_e` ELSE {repeated} END" for out, c in ranks.items()}
         pivoted = found.selectExpr(*[quoted(k) for k in keys], *named(by_name))
     # A merge join: rows meet by entity, in place if ``df`` is bucketed by it, and the
     # sort is the one the history window needs.

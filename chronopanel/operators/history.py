@@ -55,10 +55,10 @@ def hot_entity_cuts(
     if snapshots <= limits.rows_per_group:
         return None
     sizes: GroupSizes = group_sizes(df, entity_column(panel))
-    limit = limits.hot_above(sizes.rows)
+    limit = limits.rows_per_group
     if sizes.largest <= limit:
         return None
-    pieces = limits.pieces(sizes.largest, sizes.rows)
+    pieces = limits.pieces(sizes.largest)
     hot = pin(df.groupBy(panel.entity).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit))
     return cut_points(df.select(panel.entity, panel.snapshot), [panel.entity], panel.snapshot, hot, pieces), pieces
 

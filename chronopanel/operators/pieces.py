@@ -1,128 +1,102 @@
-"""Dividing hot snapshots into value ranges of bounded size.
+"""A panel seen by snapshot, and the rank of every distinct value in its snapshot.
 
-A snapshot with more rows than one task should sort is cut at approximate
-quantiles.  Every distinct cut value is a piece of its own and every open
-interval between two cuts is a piece.  A value that fills much of a snapshot
-is always a cut, so the only pieces that can be large hold one single value and
-need no sorting; exact counts per piece turn local ranks into global ones.
+Equal values are counted first, with map-side partials, so a value that fills a
+third of the table is one row from then on and nothing ever sorts its copies.  The
+distinct (snapshot, column, value) rows are dealt to equal ranges, each is summed
+by itself, and what the ranges before it hold is added.  A range has about
+``Limits.rows_per_group`` rows at every size of the table; there is no other route.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.panel import Panel, quoted
-from chronopanel.scale import (
-    DEFAULT_LIMITS,
-    GroupSizes,
-    Limits,
-    cut_points,
-    group_sizes,
-    pin,
-    place_among,
-    snapshot_column,
-)
+from chronopanel.scale import DEFAULT_LIMITS, GroupSizes, Limits, stored
 
 
 @dataclass(frozen=True)
-class HotSnapshots:
-    """Per hot (snapshot, column): cuts, row counts and cumulative counts.
+class ValueRanks:
+    """Per distinct value: ``__c`` rows, ``__upto`` rows with no larger value.
 
-    ``table`` is broadcast.  Its size is bounded by construction: at most
-    ``Limits.groups`` snapshots are hot and together they keep at most about
-    2 x ``Limits.groups`` cuts per column.
+    ``__m`` and ``__n`` are the snapshot's rows with a value and all its rows.
+    ``sizes`` are those of the groups of equal values.  Missing values are one
+    value, NaN, which sorts last.
     """
 
     table: DataFrame
-    pieces: int
+    sizes: GroupSizes
 
 
 class CrossSection:
     """A panel table seen by snapshot: what statistics and ranks are taken from.
 
-    Sizes and cuts are found on first use and then shared by all operators.
+    Sizes and ranks are found on first use and then shared by all operators.
     """
 
     def __init__(self, df: DataFrame, panel: Panel, limits: Limits = DEFAULT_LIMITS):
         self.df, self.panel, self.limits = df, panel, limits
-        self._hot: dict[tuple[str, ...], HotSnapshots | None] = {}
+        self._ranks: dict[tuple[str, ...], ValueRanks] = {}
 
     @cached_property
     def sizes(self) -> GroupSizes:
-        return group_sizes(self.df, snapshot_column(self.panel))
+        """Sizes of the snapshots; raises if a key is null."""
+        counts = self.df.groupBy(quoted(self.panel.snapshot)).agg(F.count(F.lit(1)).alias("__c"), self._nulls())
+        return self._checked(counts)
 
-    def hot(self, columns: list[str]) -> HotSnapshots | None:
-        """Cuts and counts of the hot snapshots for these columns, None if there is no hot one."""
-        if tuple(columns) not in self._hot:
-            self._hot[tuple(columns)] = _hot_snapshots(self, columns)
-        return self._hot[tuple(columns)]
+    def ranks(self, columns: list[str]) -> ValueRanks:
+        """Ranks of the distinct values of ``columns``; raises if a key is null."""
+        if tuple(columns) not in self._ranks:
+            self._ranks[tuple(columns)] = _value_ranks(self, columns)
+        return self._ranks[tuple(columns)]
 
     def long(self, columns: list[str], keep: list[str]) -> DataFrame:
-        """Thin rows (keep..., f, v): one per row and column, f the column's index."""
-        values = F.array(*[self.panel.number(c) for c in columns])
-        return self.df.select(*[quoted(k) for k in keep], F.posexplode(values).alias("f", "v"))
-
-
-def _hot_snapshots(cross: CrossSection, columns: list[str]) -> HotSnapshots | None:
-    sizes, limits, t = cross.sizes, cross.limits, cross.panel.snapshot
-    limit = limits.hot_above(sizes.rows)
-    if sizes.largest <= limit:
-        return None
-    pieces = limits.pieces(sizes.largest, sizes.rows)
-    hot = pin(cross.df.groupBy(t).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit))
-    values = cross.long(columns, [t]).join(F.broadcast(hot.select(t)), t, "left_semi").where(F.col("v").isNotNull())
-    per_column = hot.select(t, "__n", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("f"))
-    cuts = cut_points(values, [t, "f"], "v", per_column, pieces)
-    counts = (
-        _place(values.join(F.broadcast(cuts), [t, "f"]), pieces)
-        .groupBy(t, "f", "__piece")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    # At most 2 x pieces + 1 rows per (snapshot, column) from here on.
-    running = Window.partitionBy(t, "f").orderBy("__piece")
-    bounds = F.struct((F.col("upto") - F.col("c")).alias("below"), "upto")
-    cumulative = (
-        counts.withColumn("upto", F.sum("c").over(running))
-        .groupBy(t, "f")
-        .agg(F.sum("c").alias("__m"), F.map_from_entries(F.collect_list(F.struct("__piece", bounds))).alias("by"))
-    )
-    every_piece = F.sequence(F.lit(0), 2 * F.size("__cuts"))
-    # A column without any value in a snapshot has no cuts and no counts.
-    table = (
-        per_column.join(F.broadcast(cuts), [t, "f"], "left")
-        .join(F.broadcast(cumulative), [t, "f"], "left")
-        .select(
-            t,
-            "f",
-            "__n",
-            F.coalesce("__m", F.lit(0)).alias("__m"),
-            F.coalesce("__cuts", F.array().cast("array<double>")).alias("__cuts"),
-            F.transform(every_piece, lambda p: F.col("by")[p]["below"]).alias("__belows"),
-            F.transform(every_piece, lambda p: F.col("by")[p]["upto"]).alias("__uptos"),
-        )
-    )
-    return HotSnapshots(pin(table), pieces)
-
-
-def _place(df: DataFrame, pieces: int) -> DataFrame:
-    """Add ``__piece``: 2k for values between cuts k-1 and k, 2k+1 for cut k itself."""
-    df = place_among(df, F.col("v"), "__cuts", pieces, "__k")
-    at_cut = F.when(F.get(F.col("__cuts"), F.col("__k")) == F.col("v"), 1).otherwise(0)
-    return df.withColumn("__piece", 2 * F.col("__k") + at_cut).drop("__k")
-
-
-def divide(values: DataFrame, panel: Panel, hot: HotSnapshots) -> DataFrame:
-    """Add ``__piece`` and, for hot snapshots, ``__below``, ``__upto``, ``__m``, ``__n``.
-
-    The four are null for the rows of other snapshots, which form one piece.
-    """
-    placed = _place(values.join(F.broadcast(hot.table), [panel.snapshot, "f"], "left"), hot.pieces)
-    return (
-        placed.withColumn("__below", F.get("__belows", F.col("__piece")))
-        .withColumn("__upto", F.get("__uptos", F.col("__piece")))
-        .drop("__cuts", "__belows", "__uptos")
+        """Thin rows (keep..., __f, __v): one per row and column, __f the column's index, NaN if missing."""
+        values = F.array(*[F.coalesce(self.panel.number(c), F.lit(float("nan"))) for c in columns])
+        return self.df.select(*[quoted(k) for k in keep], F.posexplode(values).alias("__f", "__v"))
+
+    def _nulls(self) -> Column:
+        return F.count_if(F.col(quoted(self.panel.entity)).isNull()).alias("__nulls")
+
+    def _checked(self, counts: DataFrame) -> GroupSizes:
+        """Sizes of the groups counted in ``__c``; a null entity or snapshot is an error."""
+        t = F.col(quoted(self.panel.snapshot))
+        found = counts.agg(
+            F.sum("__c"), F.count(F.lit(1)), F.max("__c"), F.sum(F.when(t.isNull(), F.col("__c")).otherwise(F.col("__nulls")))
+        ).first()
+        if found[3]:
+            raise ValueError(f"rows have a null {self.panel.entity} or {self.panel.snapshot}")
+        return GroupSizes(found[0] or 0, found[1], found[2] or 0)
+
+
+def _value_ranks(cross: CrossSection, columns: list[str]) -> ValueRanks:
+    t, limits = cross.panel.snapshot, cross.limits
+    group = [quoted(t), "__f"]
+    values = cross.long(columns, [t, cross.panel.entity])
+    counted = stored(values.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"), cross._nulls()))
+    sizes = cross._checked(counted)
+    ranges = max(counted.sparkSession.sparkContext.defaultParallelism, ceil(sizes.groups / limits.rows_per_group))
+    dealt = counted.drop("__nulls").repartitionByRange(ranges, *group, "__v").withColumn("__part", F.spark_partition_id())
+    line = Window.partitionBy("__part", *group).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A table: two plans must see the same ranges.
+    local = stored(dealt.withColumn("__local", F.sum("__c").over(line)))
+    known = F.when(~F.isnan("__v"), F.col("__c")).otherwise(0)
+    totals = local.groupBy("__part", *group).agg(F.sum("__c").alias("__size"), F.sum(known).alias("__known"))
+    # A group has a row here for each range it reaches into.
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        "__part",
+        *group,
+        F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"),
+        F.sum("__known").over(whole).alias("__m"),
+        F.sum("__size").over(whole).alias("__n"),
     )
+    upto = (F.col("__start") + F.col("__local")).alias("__upto")
+    table = local.join(starts, ["__part", t, "__f"]).select(*group, "__v", "__c", upto, "__m", "__n")
+    return ValueRanks(table, sizes)

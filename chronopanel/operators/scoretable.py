@@ -36,8 +36,8 @@ def score_table(
     ranked = ecdf_long(CrossSection(keyed, Panel(object_id, cross), limits), [probability], [*keep, "__p"])
     return ranked.selectExpr(
         *[quoted(c) for c in keep],
-        "e * 100 AS score",
-        f"{interval_index('e', borders)} AS score_bucket",
+        "__e * 100 AS score",
+        f"{interval_index('__e', borders)} AS score_bucket",
         "__p AS probability",
         f"{interval_index('__p', borders)} AS probability_bucket",
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.operators.pieces import CrossSection, divide
+from chronopanel.operators.pieces import CrossSection
 from chronopanel.panel import Panel, named, quoted
 from chronopanel.scale import lookup_join, small_enough
 
@@ -50,35 +50,18 @@ def snapshot_stats(cross: CrossSection, wanted: Iterable[tuple[str, str]]) -> Da
 def snapshot_medians(cross: CrossSection, columns: list[str]) -> DataFrame:
     """Exact medians, one row per snapshot, one column per input column.
 
-    Values are counted first (equal values meet map-side), then a running count
-    finds the one or two middle values.  Of a hot snapshot only the piece that
-    holds its middle is ordered at all.
+    The ranks of the distinct values say which one or two are in the middle.
     """
-    t = cross.panel.snapshot
-    hot = cross.hot(columns)
-    values = cross.long(columns, [t]).where(F.col("v").isNotNull())
-    if hot is not None:
-        values = divide(values, cross.panel, hot)
-        # Keep the piece(s) holding the middle; a cold snapshot is one piece.
-        holds_middle = (F.col("__upto") >= _lower(F.col("__m"))) & (F.col("__below") < _upper(F.col("__m")))
-        values = values.where(F.col("__m").isNull() | holds_middle)
-    piece = [] if hot is None else ["__piece", "__below", "__m"]
-    counted = values.groupBy(t, "f", *piece, "v").agg(F.count(F.lit(1)).alias("c"))
-    line = Window.partitionBy(t, "f", *piece[:1]).orderBy("v")
-    upto = F.sum("c").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("c").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    if hot is not None:
-        upto = F.coalesce("__below", F.lit(0)) + upto
-        total = F.coalesce("__m", total)
-    ranked = counted.select(t, "f", "v", upto.alias("upto"), (upto - F.col("c")).alias("below"), total.alias("m"))
+    ranked = cross.ranks(columns).table.where(~F.isnan("__v"))
 
     def at(position: Column) -> Column:
-        return F.max(F.when((F.col("below") < position) & (F.col("upto") >= position), F.col("v")))
+        return F.max(F.when((F.col("__upto") - F.col("__c") < position) & (F.col("__upto") >= position), F.col("__v")))
 
-    middle = (at(_lower(F.col("m"))) + at(_upper(F.col("m")))) / 2
-    medians = ranked.groupBy(t, "f").agg(middle.alias("median"))
+    middle = (at(_lower(F.col("__m"))) + at(_upper(F.col("__m")))) / 2
+    t = quoted(cross.panel.snapshot)
+    medians = ranked.groupBy(t, "__f").agg(middle.alias("__median"))
     return medians.groupBy(t).agg(
-        *[F.max(F.when(F.col("f") == i, F.col("median"))).alias(statistic_name(c, "median")) for i, c in enumerate(columns)]
+        *[F.max(F.when(F.col("__f") == i, F.col("__median"))).alias(statistic_name(c, "median")) for i, c in enumerate(columns)]
     )
 
 

@@ -27,30 +27,17 @@ from chronopanel.panel import Panel, quoted
 class Limits:
     """Size bounds; the defaults suit executors with a few GB per core.
 
-    rows_per_group    rows one window group may hold before its key counts as hot
-    groups            upper bound for the number of hot keys: a key is hot only if
-                      it also holds more than 1/groups of all rows
-    cuts              most pieces one hot key is divided into
+    rows_per_group    rows one task should order or one key may hold before it is spread,
+                      whatever the size of the table
     broadcast_cells   rows x columns up to which a table is broadcast
-    salts             per piece, tasks over which rows that need no order are spread
     """
 
     rows_per_group: int = 1_000_000
-    groups: int = 8_192
-    cuts: int = 4_095
     broadcast_cells: int = 4_000_000
-    salts: int = 32
 
-    def hot_above(self, rows: int) -> int:
-        """Rows above which a key is hot.
-
-        At most ``rows / hot_above(rows) <= groups`` keys can be hot, so a table
-        with one row per hot key is always small enough to broadcast.
-        """
-        return max(self.rows_per_group, rows // self.groups)
-
-    def pieces(self, largest: int, rows: int) -> int:
-        return min(self.cuts + 1, max(2, ceil(largest / self.hot_above(rows))))
+    def pieces(self, largest: int) -> int:
+        """Pieces of a key of that many rows."""
+        return max(2, ceil(largest / self.rows_per_group))
 
 
 DEFAULT_LIMITS = Limits()
@@ -146,10 +133,10 @@ def lookup_join(
     ``sizes`` describes the groups of ``rows`` by ``on``; ``weight`` is the column of
     ``table`` with a group's row count and does not come out.  A small table is
     broadcast.  Otherwise both sides are shuffled by key, and a hot key is spread: its
-    table row is repeated once per ``hot_above`` rows, and its rows choose among the
-    repeats by a hash of ``spread_by``.
+    table row is repeated once per ``rows_per_group`` rows, and its rows choose among the
+    repeats by a hash of ``spread_by``.  The list of hot keys is broadcast if its count allows.
     """
-    limit = limits.hot_above(sizes.rows)
+    limit = limits.rows_per_group
     if sizes.groups * len(table.columns) <= limits.broadcast_cells:
         return rows.join(F.broadcast(table.drop(weight)), on, "left")
     if sizes.largest <= limit:
@@ -157,7 +144,7 @@ def lookup_join(
     parts = F.ceil(F.col(weight) / limit).cast("int")
     hot = pin(table.where(F.col(weight) > limit).select(*on, parts.alias("__parts")))
     part = F.pmod(F.xxhash64(*[quoted(c) for c in spread_by]), F.coalesce("__parts", F.lit(1))).cast("int")
-    spread = rows.join(F.broadcast(hot), on, "left").withColumn("__part", part).drop("__parts")
+    spread = rows.join(small_enough(hot, hot.count(), limits), on, "left").withColumn("__part", part).drop("__parts")
     repeats = table.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
     return spread.join(repeats, [*on, "__part"], "left").drop("__part")
 
@@ -240,17 +227,17 @@ def rank_in_key(
 ) -> DataFrame:
     """Add ``out``, the 0-based place of a row among the rows of its key.
 
-    A window while every key is small enough for one task; otherwise positions in
-    one distributed sort, minus the position at which the key starts.
+    A window while every key is small enough for one task; otherwise, and without
+    keys, positions in one distributed sort, minus the position at which the key starts.
     """
+    if not keys:
+        return global_position(df, order, unique, out)
     sizes = group_sizes(df, *[F.col(quoted(k)) for k in keys])
-    if sizes.largest <= limits.hot_above(sizes.rows):
+    if sizes.largest <= limits.rows_per_group:
         line = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(line) - 1).cast("long"))
     columns = df.columns
     placed = global_position(df, [*[F.col(quoted(k)) for k in keys], *order], unique)
-    if not keys:
-        return placed.withColumnRenamed("__pos", out)
     starts = placed.groupBy(*[quoted(k) for k in keys]).agg(
         F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__weight")
     )
@@ -268,17 +255,16 @@ def add_neighbour(
 ) -> DataFrame:
     """Add ``{output: column}`` taken from the next (step 1) or previous (step -1) row of the key.
 
-    For a hot key the rows get dense positions; blocks of equally many positions
-    are windows of their own, and the row just across a border is copied over it.
+    For a hot key, and always without keys, the rows get dense positions; blocks of equally many
+    positions are windows of their own, and the row just across a border is copied over it.
     """
     if step not in (1, -1):
         raise ValueError("step is 1 or -1")
     key_columns = [F.col(quoted(k)) for k in keys]
-    sizes = group_sizes(df, *key_columns)
-    block = limits.hot_above(sizes.rows)
+    block = limits.rows_per_group
     columns = df.columns
     group, copied = list(key_columns), None
-    if sizes.largest > block:
+    if not keys or group_sizes(df, *key_columns).largest > block:
         placed = global_position(df, [*key_columns, *order], unique=False)
         home = F.floor(F.col("__pos") / block)
         at_border = F.col("__pos") % block == (0 if step == 1 else block - 1)

@@ -30,7 +30,7 @@ def panel():
 
 
 # Small enough that every fixture has hot snapshots and hot entities.
-TINY = Limits(rows_per_group=4, groups=1_000, cuts=15, salts=3)
+TINY = Limits(rows_per_group=4)
 
 
 @pytest.fixture(scope="session")

@@ -14,10 +14,10 @@ from chronopanel.operators.pieces import CrossSection
 from chronopanel.operators.snapshot import snapshot_medians, snapshot_stats
 from chronopanel.scale import cut_points, global_position, group_sizes, lookup_join, place_among
 
-SMALL = Limits(rows_per_group=20, groups=1_000, cuts=63, salts=4)
+SMALL = Limits(rows_per_group=20)
 
 
-SPREAD = Limits(rows_per_group=20, groups=1_000, cuts=63, salts=4, broadcast_cells=0)
+SPREAD = Limits(rows_per_group=20, broadcast_cells=0)
 
 
 @pytest.fixture(scope="module")
@@ -57,13 +57,12 @@ def test_distances_without_broadcast(spark, skewed):
     assert a.exceptAll(b).count() == 0 and a.count() == len(skewed)
 
 
-@pytest.mark.parametrize("limits", [SMALL, TINY, Limits()], ids=["small", "tiny", "plain"])
+@pytest.mark.parametrize("limits", [SMALL, TINY, SPREAD, Limits()], ids=["small", "tiny", "spread", "plain"])
 def test_ranks_and_medians(spark, skewed, limits):
     panel = Panel("id", "t")
     df = spark.createDataFrame(skewed, "id int, t int, x double, y double").repartition(5)
     cross = CrossSection(df, panel, limits)
-    assert (cross.hot(["x", "y"]) is None) == (limits == Limits())
-    got = {(r["id"], r["t"], r["f"]): r["e"] for r in ecdf_long(cross, ["x", "y"], ["id", "t"]).collect()}
+    got = {(r["id"], r["t"], r["__f"]): r["__e"] for r in ecdf_long(cross, ["x", "y"], ["id", "t"]).collect()}
     medians = {r["t"]: r for r in snapshot_medians(cross, ["x", "y"]).collect()}
     for f, name in enumerate(["x", "y"]):
         want = brute(skewed, 2 + f)
@@ -84,18 +83,43 @@ def test_column_missing_from_a_hot_snapshot(spark):
         assert r[f"E_{gone}"] == 0.0 and r[f"DME_{gone}"] is None
 
 
-def test_pieces_stay_small(spark, skewed):
-    """No piece that needs sorting holds more than a fraction of its snapshot."""
-    panel = Panel("id", "t")
+def test_ranges_stay_small(spark, skewed):
+    """A task orders about ``rows_per_group`` distinct values, whatever the snapshots' sizes are."""
     df = spark.createDataFrame(skewed, "id int, t int, x double, y double")
-    hot = CrossSection(df, panel, SMALL).hot(["x"])
-    for row in hot.table.collect():
-        sizes = [u - b for b, u in zip(row["__belows"], row["__uptos"]) if b is not None]
-        open_pieces = [
-            u - b for k, (b, u) in enumerate(zip(row["__belows"], row["__uptos"])) if b is not None and k % 2 == 0
-        ]
-        assert sum(sizes) == row["__m"]
-        assert max(open_pieces, default=0) <= 3 * SMALL.rows_per_group
+    ranks = CrossSection(df, Panel("id", "t"), SMALL).ranks(["x"])
+    parts = ranks.table.sparkSession.read.parquet(next(f for f in ranks.table.inputFiles()).rsplit("/", 1)[0])
+    sizes = [r["count"] for r in parts.groupBy("__part").count().collect()]
+    assert sum(sizes) == ranks.sizes.groups and max(sizes) <= 3 * SMALL.rows_per_group
+    assert ranks.sizes.rows == len(skewed) and ranks.sizes.largest > 200
+
+
+@pytest.mark.parametrize("largest", [10**9, 10**10, 10**11, 10**12])
+def test_pieces_grow_with_the_key(largest):
+    assert Limits().pieces(largest) * Limits().rows_per_group == largest
+
+
+def test_bad_keys_are_errors(spark):
+    panel, recipe = Panel("id", "t"), {"x": [Stage("Cs_ecdf"), Stage("Cs_distanceFromMax")]}
+    twice = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 9.0), ("b", 1, 5.0)], "id string, t int, x double")
+    with pytest.raises(Exception, match="occurs more than once"):
+        generate_features(twice, panel, recipe).collect()
+    for bad in ((None, 1, 7.0), ("c", None, 7.0)):
+        df = spark.createDataFrame([("a", 1, 1.0), bad], "id string, t int, x double")
+        for stages in (recipe["x"], recipe["x"][:1], recipe["x"][1:]):
+            with pytest.raises(ValueError, match="null id or t"):
+                generate_features(df, panel, {"x": stages})
+
+
+@pytest.mark.parametrize("entity,snapshot", [("f", "v"), ("e", "c"), ("e.n", "s.t")])
+def test_key_names(spark, entity, snapshot):
+    """Keys may be called like helper columns and hold dots."""
+    rows = [("a", 1, 1.0), ("b", 1, 5.0), ("a", 2, 2.0)]
+    df = spark.createDataFrame(rows, "id string, t int, x double").toDF(entity, snapshot, "x")
+    recipe = [Stage("Cs_ecdf"), Stage("Cs_distanceFromMedian"), Stage("Ts_lags")]
+    for limits in (Limits(), SPREAD):
+        out = generate_features(df, Panel(entity, snapshot), {"x": recipe}, limits=limits).collect()
+        assert sorted((r[entity], r[snapshot], r["E_x"], r["DME_x"], r["L1_x"]) for r in out if r["L1_x"]) == [("a", 2, 1.0, 0.0, 1.0)]
+        assert {(r[entity], r["E_x"], r["DME_x"]) for r in out if r[snapshot] == 1} == {("a", 0.5, -2.0), ("b", 1.0, 2.0)}
 
 
 def history_rows():
@@ -175,7 +199,7 @@ def test_lookup_join_every_way(spark):
     table = rows.groupBy("k").agg((F.first("k") * 10).alias("v"), F.count(F.lit(1)).alias("w")).where("k < 6")
     sizes = group_sizes(rows, F.col("k"))
     plain, shuffled = Limits(), Limits(broadcast_cells=0)
-    spread = Limits(broadcast_cells=0, rows_per_group=90, groups=1000)
+    spread = Limits(broadcast_cells=0, rows_per_group=90)
     joined = []
     for limits in (plain, shuffled, spread):
         out = lookup_join(rows, table, ["k"], sizes, "w", ["id"], limits)

@@ -259,13 +259,7 @@ ORACLES: dict[str, str] = {
               {", ".join(f"price - MIN(price) OVER ({frame(n)}) AS DMMI_price_{n}" for n in (2, 3, 6))} FROM panel)
         SELECT strftime(t, '%Y-%m-%d') AS t, id, price, DM_price, DMMI_price_2, DMMI_price_3, DMMI_price_6,
                cume_dist() OVER (PARTITION BY t ORDER BY DM_price) AS E_DM_price FROM a""",
-    "ml_stages": f"""
-        WITH panel AS ({PANELS["events"]})
-        SELECT strftime(t, '%Y-%m-%d') AS t, id, n_events,
-               ROUND(n_events - SUM(n_events) OVER (PARTITION BY t) / COUNT(*) OVER (PARTITION BY t), 6) + 0.0 AS DM_n_events,
-               n_events - MIN(n_events) OVER (PARTITION BY t) AS DMI_n_events,
-               n_events - MAX(n_events) OVER (PARTITION BY t) AS DMA_n_events,
-               cume_dist() OVER (PARTITION BY t ORDER BY n_events) AS E_n_events FROM panel""",
+    "ml_stages": full_sql("events", ALL, ["value"]),
     "merge_features": full_sql("orders", {"DMA"}, AMOUNTS),
     "snapshot_stats": f"""
         WITH panel AS ({PANELS["orders"]})

@@ -101,10 +101,9 @@ def ranks_of_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ml_stages(spark: SparkSession, sf: str) -> DataFrame:
-    recipe = [Stage("Cs_distanceFromMean"), Stage("Cs_distanceFromMin"), Stage("Cs_distanceFromMax"), ECDF]
-    # ML stages have no exact mean; whole counts need none.
-    df = panels.events_panel(spark, sf).select("t", "id", "n_events")
-    return shown(transformers_for("n_events", recipe, PANEL).fit(df).transform(df), {"DM_": 6})
+    """All 13 stages of one column as an ML pipeline."""
+    df = panels.events_panel(spark, sf).select("t", "id", "value")
+    return shown(transformers_for("value", FULL, PANEL).fit(df).transform(df), ROUNDED)
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
