@@ -272,6 +272,9 @@ ORACLES: dict[str, str] = {
     "top20_latest": f"""
         WITH panel AS ({PANELS["orders"]})
         SELECT id, strftime(t, '%Y-%m-%d') AS t, price, finished, n_orders FROM panel ORDER BY id, t DESC LIMIT 20""",
+    "latest_first": f"""
+        WITH panel AS ({PANELS["orders"]})
+        SELECT id, strftime(t, '%Y-%m-%d') AS t, price, finished, n_orders FROM panel""",
     "panel_expand_rows": """
         SELECT row_number() OVER (ORDER BY copy, c_custkey) AS c_custkey, c_acctbal, c_nationkey, copy, c_custkey AS old_key
         FROM customer, (VALUES (0), (1)) AS copies(copy)""",
@@ -307,6 +310,10 @@ ORACLES: dict[str, str] = {
     "submit_options": """
         SELECT p_partkey, 'name' AS key, regexp_replace(trim(p_name), '\\s+', ' ', 'g') AS value FROM part
         UNION ALL SELECT p_partkey, 'conf', concat('size ', p_size) FROM part""",
+    "submit_active": """
+        SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'name' ELSE 'conf' END AS key,
+               CASE WHEN p_partkey % 2 = 0 THEN regexp_replace(trim(p_name), '\\s+', ' ', 'g') ELSE concat('size ', p_size) END AS value
+        FROM part""",
     "step_curve": """
         WITH s AS (SELECT epoch_us(ts) * 1000 AS ns, epoch_us(ts) // 1000 AS ms, event_id AS y FROM events),
         c AS (SELECT *, LAG(y) OVER (ORDER BY ns, y) AS before, (ms - MIN(ms) OVER ()) / 1000e0 AS x FROM s)

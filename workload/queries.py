@@ -138,6 +138,11 @@ def top20_latest(spark: SparkSession, sf: str) -> DataFrame:
     return shown(profile.latest_first(df, PANEL, 20))
 
 
+def latest_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole panel by entity, newest snapshot first."""
+    return shown(profile.latest_first(panels.orders_panel(spark, sf), PANEL))
+
+
 def panel_expand_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Two stacked copies of the customers with dense new ids."""
     customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
@@ -171,8 +176,15 @@ def csv_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return shown(tables.load_panel(spark, f"{folder}/parquet", Panel()))
 
 
+def log_file(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The lines written to a text log and scanned from it."""
+    path = new_path(spark, "log")
+    lines.write.text(path)
+    return logs.read_lines(spark, path).select("value")
+
+
 def runlog_markers(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = runlog.parse_measures(panels.marker_log(spark, sf))
+    parsed = runlog.parse_measures(log_file(spark, panels.marker_log(spark, sf)))
     return parsed.withColumn("time", F.col("time").cast("double"))
 
 
@@ -189,7 +201,7 @@ def runlog_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def runlog_label_index(spark: SparkSession, sf: str) -> DataFrame:
-    return runlog.label_index(runlog.parse_feature_lines(panels.feature_log(spark, sf)))
+    return runlog.label_index(runlog.parse_feature_lines(log_file(spark, panels.feature_log(spark, sf))))
 
 
 def runlog_timings(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,12 +218,28 @@ def submit_options(spark: SparkSession, sf: str) -> DataFrame:
     return runlog.options_of(lines)
 
 
+def submit_active(spark: SparkSession, sf: str) -> DataFrame:
+    """Options of the active one of two configurations in a script per part."""
+    script = F.concat(
+        F.lit('ONE="--name '), F.col("p_name"), F.lit('"\nTWO="--conf size='), F.col("p_size").cast("string"),
+        F.lit('"\nSUBMIT_CONFIG=$'), F.when(F.col("p_partkey") % 2 == 0, F.lit("ONE")).otherwise(F.lit("TWO")), F.lit("\n"),
+    )
+    return runlog.submit_options(table(spark, sf, "part").select("p_partkey", script.alias("value")))
+
+
 def step_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.step_curve(stored(logs.heartbeats_in(panels.job_log(spark, sf))))
+    """Heartbeats of a job log, kept as CSV."""
+    path = new_path(spark, "heartbeats")
+    logs.heartbeats_in(panels.job_log(spark, sf)).write.option("header", True).csv(path)
+    return metrics.step_curve(logs.read_heartbeats(spark, path))
 
 
 def metric_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.metric_groups(panels.metric_samples(spark, sf))
+    path = new_path(spark, "metrics")
+    samples = panels.metric_samples(spark, sf)
+    time = F.timestamp_millis("epoch_ms").alias("time")
+    samples.select("key", metrics.metric_pid(F.col("key")).alias("pid"), time, "value").write.parquet(path)
+    return metrics.metric_groups(logs.read_metrics(spark, path))
 
 
 def aligned_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,6 +302,7 @@ QUERIES: dict[str, Query] = {
     "snapshot_stats": stats,
     "snapshot_filter": snapshot_filter,
     "top20_latest": top20_latest,
+    "latest_first": latest_first,
     "panel_expand_rows": panel_expand_rows,
     "panel_expand_columns": panel_expand_columns,
     "panel_snapshots": panel_snapshots,
@@ -285,6 +314,7 @@ QUERIES: dict[str, Query] = {
     "runlog_label_index": runlog_label_index,
     "runlog_timings": runlog_timings,
     "submit_options": submit_options,
+    "submit_active": submit_active,
     "step_curve": step_curve,
     "metric_groups": metric_groups,
     "aligned_series": aligned_series,
