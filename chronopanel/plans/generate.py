@@ -31,7 +31,7 @@ def generate_features(
     their recipe (``KEEP`` passes them through).
 
     Statistics and ranks of all columns are taken together and come back by one
-    broadcast and one join; all history features share one window.  ``df`` is read
+    lookup and one join; all history features share one window.  ``df`` is read
     several times with different columns, so give a stored table (``stored(df)`` for a
     derived one).  Only a recipe that ranks or averages over derived columns makes
     another round, for which the rows so far are stored.
@@ -126,8 +126,10 @@ def _next_batch(pending: list[Step], present: set[str]) -> list[Step]:
 def merge_features(container: DataFrame, block: DataFrame, panel: Panel) -> DataFrame:
     """Left join of a separately computed feature block to a container by the keys.
 
-    Raises if the block has a key twice, which would multiply rows.
+    Raises if the block has a key twice, which would multiply rows.  The block is stored
+    first, so the check does not compute it again.
     """
+    block = stored(block)
     keys = [quoted(k) for k in panel.keys]
     repeated = block.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).count()
     if repeated:

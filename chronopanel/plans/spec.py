@@ -135,14 +135,16 @@ FULL: Recipe = (
 # The column names of the shipped input table and the columns of it
 # that get the full recipe.
 BASE_COLUMNS = (
-    "LIMIT_BAL SEX EDUCATION MARRIAGE AGE PAY_0 PAY_2 PAY_3 PAY_4 PAY_5 PAY_6 "
-    "BILL_AMT1 BILL_AMT2 BILL_AMT3 BILL_AMT4 BILL_AMT5 BILL_AMT6 "
-    "PAY_AMT1 PAY_AMT2 PAY_AMT3 PAY_AMT4 PAY_AMT5 PAY_AMT6 default_payment_next_month"
-).split()
+    "LIMIT_BAL", "SEX", "EDUCATION", "MARRIAGE", "AGE", "PAY_0", "PAY_2", "PAY_3", "PAY_4", "PAY_5",
+    "PAY_6", "BILL_AMT1", "BILL_AMT2", "BILL_AMT3", "BILL_AMT4", "BILL_AMT5", "BILL_AMT6",
+    "PAY_AMT1", "PAY_AMT2", "PAY_AMT3", "PAY_AMT4", "PAY_AMT5", "PAY_AMT6",
+    "default_payment_next_month",
+)
 FULL_COLUMNS = (
-    "LIMIT_BAL EDUCATION AGE PAY_2 PAY_4 PAY_6 BILL_AMT2 BILL_AMT4 BILL_AMT6 PAY_AMT2 PAY_AMT4 PAY_AMT6 "
-    "LIMIT_BAL_1 EDUCATION_1 AGE_1 PAY_2_1 PAY_4_1 PAY_6_1 BILL_AMT2_1 BILL_AMT4_1"
-).split()
+    "LIMIT_BAL", "EDUCATION", "AGE", "PAY_2", "PAY_4", "PAY_6", "BILL_AMT2", "BILL_AMT4",
+    "BILL_AMT6", "PAY_AMT2", "PAY_AMT4", "PAY_AMT6", "LIMIT_BAL_1", "EDUCATION_1", "AGE_1",
+    "PAY_2_1", "PAY_4_1", "PAY_6_1", "BILL_AMT2_1", "BILL_AMT4_1",
+)
 CLONES = 11
 
 

@@ -17,7 +17,7 @@ from chronopanel.sources import logs, tables
 
 LOG = """\
 noise
-001__MEASURE__ START(overall time): 2018-04-10 10:00:00 1000.000
+001__MEASURE__ START(whole run): 2018-04-10 10:00:00 1000.000
 002__MEASURE__ START(reading 300): 2018-04-10 10:00:01 1001.250
 002__MEASURE__   STOP: 2018-04-10 10:00:03 1003.500
 003__MEASURE__ START(saving): 2018-04-10 10:00:04 1004.000

@@ -91,6 +91,7 @@ def index(value: str, borders: list[float]) -> str:
     return f"CASE WHEN {value} IS NULL THEN NULL {cases} ELSE {float(len(borders))}e0 END"
 
 
+# Interval borders.
 QUARTERS = [0.0, 0.25, 0.5, 0.75, 1.0]
 TENTHS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
