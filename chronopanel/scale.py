@@ -104,7 +104,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def group_sizes(df: DataFrame, *keys: Column) -> GroupSizes:
