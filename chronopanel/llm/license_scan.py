@@ -7,6 +7,9 @@ t + 2s shingles, so one with 80 % of a template has a Jaccard similarity of at l
 0.8 t / (t + 2s + 0.2 t) > 0.47.  With ``BANDS`` = 32 bands of ``ROWS`` = 2 minima the
 window and the template share a band with probability 1 - (1 - 0.47^2)^32 > 0.9995; a
 verbatim template (0.66) is missed with a chance below 10^-7.
+
+Templates of fewer than ``SHORT`` shingles have windows of t shingles; their shingles are looked up
+one by one, which misses none.
 """
 
 from __future__ import annotations
@@ -20,35 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.llm.common import map_rows
+from chronopanel.llm.license_templates import TEMPLATES
 from chronopanel.llm.shingles import MinHash, shingle_hashes, word_hashes
 
-WORDS, PERCENT, ROWS, BANDS, SEED = 5, 80, 2, 32, 77
+WORDS, PERCENT, ROWS, BANDS, SEED, SHORT = 5, 80, 2, 32, 77, 8
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 
-# Public notices of common licences.
-TEMPLATES = {
-    "MIT (line)": "Released under the MIT License.",
-    "Apache-2.0 (line)": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-4.0 (line)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
-    "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
-    "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
-    'applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT '
-    "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
-    "permissions and limitations under the License.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-    "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
-    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
-    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to '
-    "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
-    "the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
-    "shall be included in all copies or substantial portions of the Software.",
-}
-
 
 def words_of(text: str | None) -> list[bytes]:
     return TOKEN.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
@@ -69,19 +49,29 @@ class Scanner:
             raise ValueError(f"a template needs {WORDS} words")
         #: (block size, blocks of a window) -> band keys -> templates
         self.shapes: dict[tuple[int, int], dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
+        #: shingle hash -> short templates with it
+        self.short: dict[int, list[str]] = defaultdict(list)
         for name, text in templates.items():
             t = len(self.sets[name])
+            hashes = np.unique(shingle_hashes(word_hashes(words_of(text)), WORDS))
+            if t < SHORT:
+                for h in hashes.tolist():
+                    self.short[h].append(name)
+                continue
             s = 1 << max(0, (t // 4).bit_length() - 1)
             # Any t shingles in a row start in some block and lie in t + s - 1 from its start.
             shape = (s, -(-(len(shingles_of(words_of(text))) + s - 1) // s))
-            minima = self.minhash.values(np.unique(shingle_hashes(word_hashes(words_of(text)), WORDS))).min(axis=1)
+            minima = self.minhash.values(hashes).min(axis=1)
             for key in self.keys(minima[:, None])[:, 0].tolist():
                 self.shapes[shape][key].append(name)
-        self.probes = {}
-        for shape, keys in self.shapes.items():
-            table = np.zeros(1 << 16, bool)
-            table[np.array(list(keys), np.uint64) >> np.uint64(48)] = True
-            self.probes[shape] = table
+        self.probes = {shape: self.probe(keys) for shape, keys in self.shapes.items()}
+        self.short_probe = self.probe(self.short)
+
+    @staticmethod
+    def probe(keys: dict[int, list[str]]) -> np.ndarray:
+        table = np.zeros(1 << 16, bool)
+        table[np.array(list(keys), np.uint64) >> np.uint64(48)] = True
+        return table
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """(bands, windows) band keys of (minima, windows)."""
@@ -91,14 +81,18 @@ class Scanner:
         return key * np.uint64(0xBF58476D1CE4E5B9)
 
     def candidates(self, words: list[bytes], part: int = 1 << 14) -> set[tuple[str, int, int]]:
-        """(template, first shingle, end) of the windows that share a band with a template.
+        """(template, first shingle, end) of the windows that share a band, or a shingle of a short one, with a template.
 
         A long text goes through in overlapping parts of bounded size.
         """
         hashes = shingle_hashes(word_hashes(words), WORDS) if len(words) >= WORDS else np.zeros(0, np.uint64)
-        longest = max(s * q for s, q in self.shapes)
         found: set[tuple[str, int, int]] = set()
-        for at in range(0, len(hashes), part):
+        for p in self.short_probe[hashes >> np.uint64(48)].nonzero()[0].tolist():
+            for name in self.short.get(int(hashes[p]), ()):
+                t = len(self.sets[name])
+                found.update((name, w, min(len(hashes), w + t)) for w in range(max(0, p - t + 1), p + 1))
+        longest = max((s * q for s, q in self.shapes), default=0)
+        for at in range(0, len(hashes) if self.shapes else 0, part):
             self._candidates(hashes[at : at + part + longest], at, found)
         return found
 
@@ -119,6 +113,20 @@ class Scanner:
                 for name in names.get(int(keys[b, w]), ()):
                     found.add((name, at + w * s, at + min(len(hashes), (w + q) * s)))
 
+    def own(self, hit: tuple[str, int, int, float], hits: list[tuple[str, int, int, float]], words: list[bytes]) -> bool:
+        """Whether a hit stands beside the larger ones of its variants, templates that hold its shingles as well.
+
+        Where a variant matches more shingles, the words it has more are no insertions: t shingles in a row must hold enough.
+        """
+        name, first, end, share = hit
+        template = self.sets[name]
+        least = self.percent * len(template)
+        held = share * len(template) + 0.5
+        if not any(h[1] < end and first < h[2] and h[3] * len(self.sets[h[0]]) > held and 100 * len(template & self.sets[h[0]]) >= least for h in hits):
+            return True
+        run = shingles_of(words[first:end])
+        return any(100 * len(template.intersection(run[i : i + len(template)])) >= least for i in range(max(1, len(run) - len(template) + 1)))
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first character, end character, containment) of every verified occurrence, best first within a template."""
         words = words_of(text)
@@ -134,6 +142,7 @@ class Scanner:
         for hit in hits:
             if not any(k[0] == hit[0] and hit[1] < k[2] and k[1] < hit[2] for k in kept):
                 kept.append(hit)
+        kept = [hit for hit in kept if self.own(hit, kept, words)]
         if not kept:
             return []
         data = text.encode("utf-8", "surrogatepass")
@@ -150,7 +159,8 @@ def license_matches(
     Rows are scanned where they lie, without a shuffle; the templates travel with the
     tasks, a few numbers for each.  Null and empty texts, texts under five words and an empty table
     have no occurrences; equal rows report each for itself; ids may be null.  Overlapping
-    occurrences of one template count once, that of the largest containment.
+    occurrences of one template count once, that of the largest containment.  A notice that holds
+    80 % of another version's, as those of GNU licences do, is reported for both; the containment tells them apart.
     """
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:

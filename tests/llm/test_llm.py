@@ -293,6 +293,24 @@ def test_license_scan(docs, none):
             assert len(before) <= hits[name][1] < hits[name][2] <= len(before) + len(" ".join(words))
 
 
+def test_license_wordings():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    names = lambda text: {h[0] for h in scanner.scan(f"{prose(1, 50)} {text} {prose(2, 50)}") if h[3] == 1}
+    for text, name in {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 (short)",
+        "This work is licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0 (short)",
+        "See https://creativecommons.org/licenses/by-nd/4.0/ for it.": "CC-BY-ND-4.0 (link)",
+        "It is under the GNU Affero General Public License, version 3.": "AGPL-3.0 (line)",
+        "It is under the GNU General Public License, version 2.": "GPL-2.0 (line)",
+        "Released under the BSD 3-Clause License.": "BSD-3-Clause (line)",
+    }.items():
+        assert names(text) == {name}, text
+    assert names("This work is licensed under the GNU General Public License, version 3.") == {"GPL-3.0 (line)"}
+    for name in ("ISC", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "MIT (with warranty)"):
+        assert name in names(license_scan.TEMPLATES[name])
+    assert "BSD-2-Clause" not in {h[0] for h in scanner.scan(license_scan.TEMPLATES["BSD-3-Clause"])}
+
+
 def test_warc_round_trip(spark, none, tmp_path):
     page = '<html><head><title>T &amp; t</title><script>x="<p>"</script></head><body><p>One&nbsp;two<br>three <a href="/a?b=1&amp;c">go</a><!-- no --></body>'
     pages = [(1, "http://a.example/", page), (2, None, None), (3, "http://b.example/", ""), (4, "http://c.example/", "<p>a\r\n\r\nWARC/1.0\r\nb</p>" + "y" * 100_000), (1, "http://a.example/", page), (None, "u", "☃ < 3")]
