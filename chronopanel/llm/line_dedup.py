@@ -1,13 +1,15 @@
 """Line dedup by pairwise alignment.
 
-A line that several documents share sends each later one to the first document that holds
-it.  The pairs are aligned by patience diff over line hashes: lines that are unique in both
+A run is the least number of neighbouring lines, from or up to a line with words, that has
+``BLOCK_WORDS`` words.  A run that several documents share sends each later one to the first
+document that holds it.  Every line with words of a common block of ``BLOCK_WORDS`` words lies in
+a run within the block, so no such block is missed, whichever documents share it.
+The pairs are aligned by patience diff over line hashes: lines that are unique in both
 anchor the alignment, which grows from the anchors and ends into common blocks.  A common
 block of at least ``BLOCK_WORDS`` words is deleted from the later document.
 
-Pairs are linear in the number of line occurrences, however many documents share a
-line: there is one per later document and first document.  The rarer a shared line, the
-more surely its first document holds the same passage; a line that very many documents
+Pairs are linear in the number of lines, however many documents share a
+run: there are at most two runs a line, and one pair per later document and first document; a run that very many documents
 share has one first document, whose pairs are spread over many tasks.
 """
 
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from chronopanel.llm.common import map_batches, map_rows, write_new
 
-#: Words a line needs to bring documents together, and a common block to be deleted.
-LINE_WORDS, BLOCK_WORDS = 5, 10
+#: Words a common block needs to be deleted.
+BLOCK_WORDS = 10
 HUB_PAIRS = 256
 LAST = (1 << 63) - 1
 
@@ -85,6 +87,17 @@ def common_blocks(a: list, b: list, words: list[int], least: int) -> list[int]:
     return out
 
 
+def runs(words: list[int] | np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, end) places of the shortest runs from, and up to, each line with words that have ``least`` words."""
+    words = np.asarray(words, np.int64)
+    upto = np.append(0, np.cumsum(words))
+    full = words.nonzero()[0]
+    end = np.searchsorted(upto, upto[full] + least)
+    first = np.searchsorted(upto, upto[full + 1] - least, "right") - 1
+    found = {(i, e) for i, e in zip(full.tolist(), end.tolist()) if e <= len(words)}
+    return sorted(found | {(i, e + 1) for i, e in zip(first.tolist(), full.tolist()) if i >= 0})
+
+
 def lines_of(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
@@ -109,7 +122,7 @@ def _key(id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_col).alias("tid")]
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, tid, places): the numbers of the lines to delete from each document that loses any.
 
     ``id`` is the largest long for a null id, ``tid`` the xxhash64 of the text.  Documents come in the order of (id, tid); rows
@@ -121,8 +134,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for b in batches:
             out: dict[str, list] = {"h": [], "id": [], "tid": []}
             for i, tid, hashes, words in zip(b["id"], b["tid"], b["hashes"], b["words"]):
-                long = (np.frombuffer(words, "<u4") >= line_words).nonzero()[0].tolist()
-                own = {hashes[16 * k : 16 * k + 16] for k in long}
+                own = {xxhash.xxh3_128_digest(hashes[16 * i : 16 * e]) for i, e in runs(np.frombuffer(words, "<u4"), block_words)}
                 out["h"] += own
                 out["id"] += [i] * len(own)
                 out["tid"] += [tid] * len(own)
@@ -174,7 +186,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return aligned.select("id", "tid", F.explode("places").alias("place")).distinct().groupBy("id", "tid").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_lines, n_deleted, deleted_words, text) for every row: its text without the aligned blocks of earlier documents.
 
     Lines are compared without the white space around them and kept as they are.  Null and
@@ -182,7 +194,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id and a text get the same result, rows that repeat an id with other texts are
     documents of their own.  No rows give no rows.
     """
-    _, lost = write_new(deletions(docs, id_col, text_col, line_words, block_words), "deleted")
+    _, lost = write_new(deletions(docs, id_col, text_col, block_words), "deleted")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for c, n in zip(_key(id_col, text_col), ("k", "kt"))])
     lost = lost.select(F.col("id").alias("k"), F.col("tid").alias("kt"), "places")
 

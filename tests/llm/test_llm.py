@@ -376,6 +376,16 @@ def test_line_dedup(docs, none, rows):
     assert len(found) == len(rows) and line_dedup.without_repeats(none).count() == 0
 
 
+def test_line_dedup_with_many_first_holders(spark):
+    """A passage whose lines have other first holders, each alone under ten words."""
+    lines = [prose(50 + i, 9) for i in range(8)]
+    p, q, both = prose(40, 6), prose(41, 6), prose(40, 6) + "\n" + prose(41, 6)
+    texts = [p, q, "x\n" + both, "y\n" + both + "\nz", *lines, "u\n" + "\n".join(lines), "v\n" + "\n".join(lines) + "\nw"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: r["text"] for r in line_dedup.without_repeats(df).collect()}
+    assert found == dict(enumerate(texts)) | {3: "y\nz", 13: "v\nw"}
+
+
 def test_patience():
     a, b = list("xaybzcq"), list("axbyzcw")
     pairs = line_dedup.matching(a, b)
