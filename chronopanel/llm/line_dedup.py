@@ -5,8 +5,10 @@ A run is the least number of neighbouring lines, from or up to a line with words
 document that holds it.  Every line with words of a common block of ``BLOCK_WORDS`` words lies in
 a run within the block, so no such block is missed, whichever documents share it.
 The pairs are aligned by patience diff over line hashes: lines that are unique in both
-anchor the alignment, which grows from the anchors and ends into common blocks.  A common
-block of at least ``BLOCK_WORDS`` words is deleted from the later document.
+anchor the alignment, which grows from the anchors and ends into common blocks.  Runs that both
+hold and the alignment leaves, being repeated or in another order, are added.  A common
+block of at least ``BLOCK_WORDS`` words is deleted from the later document, each time it is there; empty
+lines at its ends go with it where the alignment has them.
 
 Pairs are linear in the number of lines, however many documents share a
 run: there are at most two runs a line, and one pair per later document and first document; a run that very many documents
@@ -72,21 +74,6 @@ def matching(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list, b: list, words: list[int], least: int) -> list[int]:
-    """Places in ``b`` of the aligned blocks that have at least ``least`` words."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for pair in [*matching(a, b), (-9, -9)]:
-        if pair != (last[0] + 1, last[1] + 1):
-            if sum(words[j] for j in block) >= least:
-                out += block
-            block = []
-        block.append(pair[1])
-        last = pair
-    return out
-
-
 def runs(words: list[int] | np.ndarray, least: int) -> list[tuple[int, int]]:
     """(first, end) places of the shortest runs from, and up to, each line with words that have ``least`` words."""
     words = np.asarray(words, np.int64)
@@ -98,6 +85,37 @@ def runs(words: list[int] | np.ndarray, least: int) -> list[tuple[int, int]]:
     return sorted(found | {(i, e + 1) for i, e in zip(first.tolist(), full.tolist()) if i >= 0})
 
 
+def run_keys(lines: list, words: list[int], least: int) -> set[tuple]:
+    return {tuple(lines[i:e]) for i, e in runs(words, least)}
+
+
+def common_blocks(a: list, b: list, words: list[int], least: int, known: set[tuple] | None = None) -> list[int]:
+    """Places in ``b`` of the common blocks that have at least ``least`` words: the aligned ones, and what the alignment leaves.
+
+    The alignment is one ascending way through both and has no anchor in lines that either repeats.  So the runs of ``b``
+    that are anywhere in ``a`` are added (``known``: those of ``a``); with them every line with words of a common
+    block is found, repeated or in another order as well.
+    """
+    if known is None:
+        # A line that b has not ends a run.
+        size = dict(zip(b, words))
+        known = run_keys(a, [size.get(x, least) for x in a], least)
+    out: set[int] = set()
+    block: list[int] = []
+    last = (-2, -2)
+    for pair in [*matching(a, b), (-9, -9)]:
+        if pair != (last[0] + 1, last[1] + 1):
+            if sum(words[j] for j in block) >= least:
+                out.update(block)
+            block = []
+        block.append(pair[1])
+        last = pair
+    for i, e in runs(words, least):
+        if tuple(b[i:e]) in known:
+            out.update(range(i, e))
+    return sorted(out)
+
+
 def lines_of(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
@@ -167,14 +185,16 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         schema = pa.schema([("id", pa.int64()), ("tid", pa.int64()), ("places", pa.list_(pa.int32()))])
         split = lambda h: [h[k : k + 16] for k in range(0, len(h), 16)]
         hub: list[bytes] = []
+        known: set[tuple] = set()
         for b in batches:
             out: dict[str, list] = {"id": [], "tid": [], "places": []}
             kinds, ids, tids, hashes, words = (b.column(n).to_pylist() for n in ("kind", "id", "tid", "hashes", "words"))
             for kind, i, tid, h, w in zip(kinds, ids, tids, hashes, words):
                 if kind == 0:
                     hub = split(h)
+                    known = run_keys(hub, np.frombuffer(w, "<u4"), block_words)
                     continue
-                places = common_blocks(hub, split(h), np.frombuffer(w, "<u4").tolist(), block_words)
+                places = common_blocks(hub, split(h), np.frombuffer(w, "<u4").tolist(), block_words, known)
                 if places:
                     out["id"].append(i)
                     out["tid"].append(tid)

@@ -395,6 +395,21 @@ def test_patience():
     assert line_dedup.common_blocks(list("pabq"), list("rabs"), [3, 4, 4, 3], 10) == []
 
 
+def test_blocks_without_anchor():
+    """Blocks that a document repeats, or has in another order, and short lines beside them."""
+    blocks = lambda a, b, n: line_dedup.common_blocks(list(a), list(b), [n] * len(b), 10)
+    assert blocks("xpqypqz", "upqvpqw", 5) == [1, 2, 4, 5]
+    assert blocks("xpqy", "upqvpqw", 5) == [1, 2, 4, 5] and blocks("xpqypqz", "upqv", 5) == [1, 2]
+    assert blocks("abcd", "cdab", 5) == [0, 1, 2, 3] and blocks("abxcd", "cdyab", 4) == []
+    draw = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(draw.choices("pqrst", k=12)) for _ in range(2))
+        words = dict(zip("pqrst", draw.choices(range(1, 7), k=5)))
+        n = [words[x] for x in b]
+        want = {j for i in range(12) for e in range(i, 13) if sum(n[i:e]) >= 10 and b[i:e] in a for j in range(i, e)}
+        assert line_dedup.common_blocks(list(a), list(b), n, 10) == sorted(want)
+
+
 def test_pipeline(spark, docs, none):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
