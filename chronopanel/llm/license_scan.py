@@ -15,7 +15,8 @@ one by one, which misses none.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,13 @@ class Scanner:
         self.sets = {name: frozenset(shingles_of(words_of(text))) for name, text in templates.items()}
         if not all(self.sets.values()):
             raise ValueError(f"a template needs {WORDS} words")
+        #: Places in the template of the shingles that it has once.
+        self.orders = {}
+        for name, text in templates.items():
+            run = shingles_of(words_of(text))
+            counts = Counter(run)
+            self.orders[name] = {x: i for i, x in enumerate(run) if counts[x] == 1}
+        self.variants = {a: {b for b, x in self.sets.items() if a != b and 100 * len(own & x) >= percent * len(own)} for a, own in self.sets.items()}
         #: (block size, blocks of a window) -> band keys -> templates
         self.shapes: dict[tuple[int, int], dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
         #: shingle hash -> short templates with it
@@ -113,6 +121,81 @@ class Scanner:
                 for name in names.get(int(keys[b, w]), ()):
                     found.add((name, at + w * s, at + min(len(hashes), (w + q) * s)))
 
+    def occurrences(self, name: str, windows: list[tuple[int, int]], words: list[bytes]) -> list[tuple[int, int, float]]:
+        """(first word, end, containment) of the occurrences of a template in its windows, best first; none overlap."""
+        regions: list[list[tuple[int, int]]] = []
+        upto = -1
+        for window in windows:
+            if window[0] > upto:
+                regions.append([])
+            regions[-1].append(window)
+            upto = max(upto, window[1])
+        found = [hit for region in regions for hit in self._occurrences(name, region, words)]
+        return sorted(found, key=lambda h: (-h[2], h[0]))
+
+    def _occurrences(self, name: str, windows: list[tuple[int, int]], words: list[bytes]) -> list[tuple[int, int, float]]:
+        template, order = self.sets[name], self.orders[name]
+        begin, longest = windows[0][0], max(end - first for first, end in windows)
+        run = shingles_of(words[begin : max(end for _, end in windows) + WORDS - 1])
+        inside = [i for i, x in enumerate(run) if x in template]
+        gone = bytearray(len(run) + WORDS)
+        found = []
+
+        def shortest(places: list[int]) -> tuple[float, int, int] | None:
+            """(containment, first, last) of the shortest stretch with all the shingles, if they are enough."""
+            n = len({run[i] for i in places})
+            if 100 * n < self.percent * len(template):
+                return None
+            counts: Counter = Counter()
+            best, left = (places[0], places[-1]), 0
+            for i in places:
+                counts[run[i]] += 1
+                while counts[run[places[left]]] > 1:
+                    counts[run[places[left]]] -= 1
+                    left += 1
+                if len(counts) == n and i - places[left] < best[1] - best[0]:
+                    best = (places[left], i)
+            return n / len(template), *best
+
+        def take(hit: tuple[float, int, int]) -> None:
+            share, first, last = hit
+            if not any(gone[first : last + WORDS]):
+                gone[first : last + WORDS] = b"\1" * (last + WORDS - first)
+                found.append((begin + first, begin + last + WORDS, share))
+
+        # Copies in the order of the template: a new one starts where the order restarts.
+        copies: list[list[int]] = [[]]
+        seen: set[int] = set()
+        before = 0
+        for i in inside:
+            at = order.get(run[i])
+            if at is not None:
+                if at in seen or before - at >= len(template) / 2:
+                    copies.append([])
+                    seen.clear()
+                seen.add(at)
+                before = at
+            copies[-1].append(i)
+        for hit in filter(None, map(shortest, filter(None, copies))):
+            if hit[2] - hit[1] < longest:
+                take(hit)
+        # What is left, in any order, window by window and best first.
+        while True:
+            hits = set()
+            for first, end in windows:
+                pieces: list[list[int]] = [[]]
+                for i in inside[bisect_left(inside, first - begin) : bisect_left(inside, end - begin)]:
+                    if not gone[i]:
+                        pieces[-1].append(i)
+                    elif pieces[-1]:
+                        pieces.append([])
+                hits.update(filter(None, map(shortest, filter(None, pieces))))
+            taken = len(found)
+            for hit in sorted(hits, key=lambda h: (-h[0], h[2] - h[1], h[1])):
+                take(hit)
+            if len(found) == taken:
+                return found
+
     def own(self, hit: tuple[str, int, int, float], hits: list[tuple[str, int, int, float]], words: list[bytes]) -> bool:
         """Whether a hit stands beside the larger ones of its variants, templates that hold its shingles as well.
 
@@ -121,8 +204,10 @@ class Scanner:
         name, first, end, share = hit
         template = self.sets[name]
         least = self.percent * len(template)
+        if not self.variants[name]:
+            return True
         held = share * len(template) + 0.5
-        if not any(h[1] < end and first < h[2] and h[3] * len(self.sets[h[0]]) > held and 100 * len(template & self.sets[h[0]]) >= least for h in hits):
+        if not any(h[1] < end and first < h[2] and h[3] * len(self.sets[h[0]]) > held for h in hits if h[0] in self.variants[name]):
             return True
         run = shingles_of(words[first:end])
         return any(100 * len(template.intersection(run[i : i + len(template)])) >= least for i in range(max(1, len(run) - len(template) + 1)))
@@ -130,18 +215,10 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first character, end character, containment) of every verified occurrence, best first within a template."""
         words = words_of(text)
-        hits = []
+        windows: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for name, first, end in self.candidates(words):
-            template = self.sets[name]
-            inside = [i for i, x in enumerate(shingles_of(words[first : end + WORDS - 1])) if x in template]
-            both = len({tuple(words[first + i : first + i + WORDS]) for i in inside})
-            if 100 * both >= self.percent * len(template):
-                hits.append((name, first + inside[0], first + inside[-1] + WORDS, both / len(template)))
-        hits.sort(key=lambda h: (h[0], -h[3], h[2] - h[1], h[1]))
-        kept: list[tuple[str, int, int, float]] = []
-        for hit in hits:
-            if not any(k[0] == hit[0] and hit[1] < k[2] and k[1] < hit[2] for k in kept):
-                kept.append(hit)
+            windows[name].append((first, end))
+        kept = [(name, *hit) for name in sorted(windows) for hit in self.occurrences(name, sorted(windows[name]), words)]
         kept = [hit for hit in kept if self.own(hit, kept, words)]
         if not kept:
             return []
@@ -158,8 +235,8 @@ def license_matches(
 
     Rows are scanned where they lie, without a shuffle; the templates travel with the
     tasks, a few numbers for each.  Null and empty texts, texts under five words and an empty table
-    have no occurrences; equal rows report each for itself; ids may be null.  Overlapping
-    occurrences of one template count once, that of the largest containment.  A notice that holds
+    have no occurrences; equal rows report each for itself; ids may be null.  Occurrences of one
+    template do not overlap: copies one after the other are told apart by the template's order, others by containment.  A notice that holds
     80 % of another version's, as those of GNU licences do, is reported for both; the containment tells them apart.
     """
 

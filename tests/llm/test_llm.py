@@ -311,6 +311,25 @@ def test_license_wordings():
     assert "BSD-2-Clause" not in {h[0] for h in scanner.scan(license_scan.TEMPLATES["BSD-3-Clause"])}
 
 
+def test_license_notices_one_after_the_other():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name in ("MIT", "MPL-2.0", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "MIT (line)"):
+        text = " ".join(license_scan.TEMPLATES[name].split())
+        for offset in range(0, 32, 5):
+            for copies, gap in ((2, 0), (2, 10), (5, 0), (40, 3)):
+                between = " " + prose(7, gap) + " " if gap else " "
+                before = prose(3, offset) + " " if offset else ""
+                hits = sorted(h[1:] for h in scanner.scan(before + between.join([text] * copies)) if h[0] == name)
+                starts = [len(before) + k * len(text + between) for k in range(copies)]
+                assert [h[0] for h in hits] == starts and all(h[2] == 1 for h in hits), (name, offset, copies, gap)
+    # Altered at different places, and in another order.
+    words = license_scan.TEMPLATES["MIT"].split()
+    early, late, swapped = words[:10] + ["new"] + words[11:], words[:70] + ["new"] + words[71:], words[40:] + words[:40]
+    scan = lambda *parts: sum(h[0] == "MIT" for h in scanner.scan(" ".join(w for p in parts for w in p)))
+    assert scan(early, late) == scan(late, early) == scan(words[12:], words[:-12]) == 2
+    assert scan(swapped) == 1 and scan(words, swapped, words) == 3
+
+
 def test_warc_round_trip(spark, none, tmp_path):
     page = '<html><head><title>T &amp; t</title><script>x="<p>"</script></head><body><p>One&nbsp;two<br>three <a href="/a?b=1&amp;c">go</a><!-- no --></body>'
     pages = [(1, "http://a.example/", page), (2, None, None), (3, "http://b.example/", ""), (4, "http://c.example/", "<p>a\r\n\r\nWARC/1.0\r\nb</p>" + "y" * 100_000), (1, "http://a.example/", page), (None, "u", "☃ < 3")]
