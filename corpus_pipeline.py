@@ -14,8 +14,13 @@ MOST_BITS = 7.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language: no letter, or bytes as costly as noise."""
+    """Rejects documents without a recognisable language: no letter, or bytes as costly as noise.
+
+    If no row has both a text and a language nothing can be learned; then only texts without a letter are rejected.
+    """
     model = language_id.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")]
     found = language_id.predicted(docs, model, carry=carried)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits") <= MOST_BITS)).select("__doc.*")

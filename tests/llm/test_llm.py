@@ -429,6 +429,12 @@ def test_blocks_without_anchor():
         assert line_dedup.common_blocks(list(a), list(b), n, 10) == sorted(want)
 
 
+def test_language_stage_without_labels(spark, docs, rows):
+    found = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert found.columns == docs.columns
+    assert sorted(str(r["text"]) for r in found.collect()) == sorted(r[1] for r in rows if r[1] and any(c.isalpha() for c in r[1]))
+
+
 def test_pipeline(spark, docs, none):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
