@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chronopanel.panel import Panel, named, quoted
 from chronopanel.scale import (
@@ -48,8 +49,11 @@ def hot_entity_cuts(
     """(entity, ``__cuts`` of snapshot) for entities too long for one task, and the piece count.
 
     With unique keys no history is longer than the number of snapshots, so a
-    panel with few snapshots needs no look at the entities at all.
+    panel with few snapshots needs no look at the entities at all.  Text has no
+    cut points and is refused as snapshot whatever the size of the panel.
     """
+    if isinstance(df.schema[panel.snapshot].dataType, StringType):
+        raise ValueError(f"{panel.snapshot} is text; history features need dates, timestamps or numbers as snapshots")
     if snapshots is None:
         snapshots = df.select(snapshot_column(panel)).distinct().limit(limits.rows_per_group + 1).count()
     if snapshots <= limits.rows_per_group:

@@ -241,3 +241,10 @@ def test_mean_is_order_independent_with_exact_scale(spark):
         df = spark.createDataFrame(rows, "id int, t int, x double").repartition(seed + 2)
         results.add(snapshot_stats(CrossSection(df, panel), [("x", "mean")]).first()["__mean_x"])
     assert len(results) == 1
+
+
+@pytest.mark.parametrize("limits", [Limits(), TINY])
+def test_text_snapshots_have_no_history(spark, panel, limits):
+    df = spark.createDataFrame([("a", f"2017-0{i}", float(i)) for i in range(1, 8)], "ID string, t string, x double")
+    with pytest.raises(ValueError, match="t is text"):
+        generate_features(df, panel, {"x": [Stage("Ts_lags")]}, limits=limits)
