@@ -16,6 +16,7 @@ from chronopanel.llm import (
     line_dedup,
     minhash_dedup,
     mixing,
+    periodic_runs,
     sentencepieces,
     token_blocks,
     warc,
@@ -111,6 +112,24 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_deleted", "deleted_words", sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic_runs.periodic_runs(docs, edit=periodic_runs.looped, edit_by=crc)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.n").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.n div -best.p").alias("exponent_milli"),
+        sha256(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"),
+        sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -124,6 +143,7 @@ QUERIES: dict[str, Query] = {
         op8_fingerprints,
         op9_exact_dedup,
         op10_line_dedup,
+        op11_periodic_runs,
     )
 }
 
