@@ -17,6 +17,7 @@ from chronopanel.llm import (
     minhash_dedup,
     mixing,
     periodic_runs,
+    phrases,
     sentencepieces,
     token_blocks,
     warc,
@@ -130,6 +131,10 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -144,6 +149,7 @@ QUERIES: dict[str, Query] = {
         op9_exact_dedup,
         op10_line_dedup,
         op11_periodic_runs,
+        op12_phrases,
     )
 }
 
@@ -190,5 +196,40 @@ WITH plain AS (
 )
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM plain WINDOW w AS (PARTITION BY t)
+""",
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), words AS (
+  SELECT lang, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4
+  FROM (SELECT piece, lang, unnest(w) AS w, unnest(range(len(w))) AS i FROM pieces)
+  WINDOW p AS (PARTITION BY piece ORDER BY i)
+), counted AS (
+  SELECT lang, 1 AS k, w AS phrase, count(*) AS f FROM words GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2, count(*) FROM words WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*) FROM words WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM words WHERE w4 IS NOT NULL GROUP BY ALL
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, j, h.f AS l, t.f AS r, (2000000::HUGEINT * c.a // (h.f + t.f))::BIGINT AS score
+  FROM candidates c, (VALUES (1), (2), (3)) AS places(j), counted h, counted t
+  WHERE j < c.k AND h.lang = c.lang AND h.k = j AND h.phrase = array_to_string(c.w[1 : j], ' ')
+    AND t.lang = c.lang AND t.k = c.k - j AND t.phrase = array_to_string(c.w[j + 1 : c.k], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inner_ones AS (
+  SELECT DISTINCT c.lang, c.phrase
+  FROM candidates b, (VALUES (2), (3)) AS sizes(size), (VALUES (1), (2), (3)) AS places(i), candidates c
+  WHERE size < b.k AND i + size - 1 <= b.k AND c.lang = b.lang AND c.phrase = array_to_string(b.w[i : i + size - 1], ' ') AND 100 * b.a >= 80 * c.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM lowest ANTI JOIN inner_ones USING (lang, phrase))
+     JOIN (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang) USING (lang)
+WHERE rank <= 2000
 """,
 }
