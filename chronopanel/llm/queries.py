@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chronopanel.llm import (
     exact_dedup,
     fingerprint,
+    katz,
     language_id,
     license_scan,
     line_dedup,
@@ -135,6 +136,11 @@ def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
 
 
+def op13_katz_scores(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return katz.scored(table(spark, sf, "documents"), train=~F.coalesce(held_out, F.lit(False))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -150,6 +156,7 @@ QUERIES: dict[str, Query] = {
         op10_line_dedup,
         op11_periodic_runs,
         op12_phrases,
+        op13_katz_scores,
     )
 }
 
