@@ -65,13 +65,14 @@ def starts(size: int) -> int:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Eight-byte values, first bytes first, compressed."""
-    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+    """All first bytes of the values, then all second ones and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, size: int, kind: type) -> np.ndarray:
-    plain = np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(plain.reshape(8, size).T).view(kind).ravel()
+    width = np.dtype(kind).itemsize
+    plain = np.frombuffer(pa.decompress(data, width * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(plain.reshape(width, size).T).view(kind).ravel()
 
 
 class Words(dict):
@@ -103,8 +104,8 @@ def chunked(docs: DataFrame, id: str, text: str, train: Column, order: int, size
                 pa.array([sizes], pa.list_(pa.int32())),
                 pa.array([len(vocabulary)]),
                 pa.array([held]),
-                pa.array([vocabulary.tobytes()], pa.binary()),
-                pa.array([line.astype(np.int32).tobytes()], pa.binary()),
+                pa.array([packed_codes(vocabulary)], pa.binary()),
+                pa.array([pack(line.astype(np.int32))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "train", "sizes", "words", "tokens", "vocabulary", "line"])
 
@@ -134,9 +135,9 @@ class Chunk:
 
     def __init__(self, row: dict, order: int):
         self.number, self.ids, self.order = row["chunk"], row["ids"], order
-        vocabulary = np.frombuffer(row["vocabulary"], _U)
-        line = np.frombuffer(row["line"], np.int32)
+        vocabulary = unpacked_codes(row["vocabulary"], row["words"])
         self.sizes = np.array(row["sizes"], np.int64)
+        line = unpack(row["line"], row["tokens"] + (order - 1) * len(self.sizes), np.int32)
         ends = np.cumsum(self.sizes + order - 1)
         self.first = ends - self.sizes  # of every text, after its starts
         self.token = np.ones(len(line), bool)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -41,6 +42,7 @@ class Plain:
             for gram in self.counts[n]:
                 self.after[n][gram[:-1]].append(gram)
 
+    @cache
     def parts(self, history):
         n = len(history) + 1
         grams = self.after[n][history]
@@ -58,8 +60,11 @@ class Plain:
             return freed / total
         if not self.history[n][history]:
             return self.p(history[1:], word)
-        given = sum(self.p(history[1:], g[-1]) for g in self.after[n][history])
-        return freed / total / (1 - given) * self.p(history[1:], word)
+        return freed / total / (1 - self.given(history)) * self.p(history[1:], word)
+
+    @cache
+    def given(self, history):
+        return sum(self.p(history[1:], g[-1]) for g in self.after[len(history) + 1][history])
 
     def score(self, text):
         line = [" start"] * (self.order - 1) + tokens(text)
