@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def row_hash(*columns: Column) -> Column:
-    """SHA-1 hex digest of the column, or of several joined by a unit separator."""
+    """SHA-1 hex digest of the column, or of several joined by a unit separator.
+
+    A null among several columns is a zero character, so rows that differ in where
+    their nulls are have different digests.
+    """
     text = [c.cast("string") for c in columns]
-    return F.sha1(text[0] if len(text) == 1 else F.concat_ws("\x1f", *text))
+    return F.sha1(text[0] if len(text) == 1 else F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in text]))
 
 
 def last_token(text: Column) -> Column:

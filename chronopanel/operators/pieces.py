@@ -60,6 +60,10 @@ class CrossSection:
         values = F.array(*[F.coalesce(self.panel.number(c), F.lit(float("nan"))) for c in columns])
         return self.df.select(*[quoted(k) for k in keep], F.posexplode(values).alias("__f", "__v"))
 
+    def given_statistics(self, wanted: list[tuple[str, str]]) -> DataFrame | None:
+        """Statistics that are not to be taken from the rows; none here."""
+        return None
+
     def _nulls(self) -> Column:
         return F.count_if(F.col(quoted(self.panel.entity)).isNull()).alias("__nulls")
 

@@ -34,6 +34,9 @@ def snapshot_stats(cross: CrossSection, wanted: Iterable[tuple[str, str]]) -> Da
     ``snapshot_medians``.
     """
     wanted, panel = list(dict.fromkeys(wanted)), cross.panel
+    given = cross.given_statistics(wanted)
+    if given is not None:
+        return given
     aggregates = [
         F.expr(statistic_sql(panel, column, statistic)).alias(statistic_name(column, statistic))
         for column, statistic in wanted

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators.ecdf import add_ecdf
+from chronopanel.operators.frozen import FrozenSection, Reference
 from chronopanel.operators.history import SLICE, add_earlier, add_slices, hot_entity_cuts
 from chronopanel.operators.pieces import CrossSection
 from chronopanel.operators.scores import add_normal_scores
@@ -16,6 +17,7 @@ from chronopanel.scale import DEFAULT_LIMITS, Limits, stored
 
 PACKED = "__packed"
 PACK_FROM = 16
+OLDER = "__older"
 
 
 def generate_features(
@@ -24,6 +26,8 @@ def generate_features(
     controller: Controller,
     unlisted: Recipe | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    reference: Reference | None = None,
+    earlier_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Keys, then every column followed by its features, as one lazy DataFrame.
 
@@ -35,6 +39,10 @@ def generate_features(
     several times with different columns, so give a stored table (``stored(df)`` for a
     derived one).  Only a recipe that ranks or averages over derived columns makes
     another round, for which the rows so far are stored.
+
+    With a ``reference`` ranks and distances are taken against that frozen cross-section
+    instead of the rows' own snapshots.  ``earlier_rows`` (keys and the inputs of history
+    features) precede the rows of ``df`` in the histories and do not come out, see ``plans.store``.
     """
     columns = panel.value_columns(df)
     unknown = [c for c in columns if c not in controller]
@@ -54,20 +62,25 @@ def generate_features(
     else:
         kept = []
         current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns]])
-    cross = CrossSection(current, panel, limits)
+    def section(rows: DataFrame) -> CrossSection:
+        return CrossSection(rows, panel, limits) if reference is None else FrozenSection(rows, panel, reference, limits)
+
+    cross = section(current)
     cuts = None
     if "history" in kinds:
         cuts = hot_entity_cuts(current, panel, cross.sizes.groups if kinds & {"distance", "rank"} else None, limits)
         if cuts is not None:
             current = add_slices(current, panel, cuts)
-            cross = CrossSection(current, panel, limits)
+            cross = section(current)
+            if earlier_rows is not None:
+                earlier_rows = add_slices(earlier_rows, panel, cuts)
     slices = [SLICE] if cuts is not None else []
 
     while pending:
         batch = _next_batch(pending, set(current.columns))
         if batch[0].operator.kind in ("rank", "distance") and any(s.source not in cross.df.columns for s in batch):
             current = stored(current)
-            cross = CrossSection(current, panel, limits)
+            cross = section(current)
         match batch[0].operator.kind:
             case "rank":
                 ranks = {s.out: s.source for s in batch}
@@ -83,8 +96,13 @@ def generate_features(
                 offsets: dict[str, set[int]] = {}
                 for s in batch:
                     offsets.setdefault(s.source, set()).update(s.operator.offsets)
+                if earlier_rows is not None:
+                    older = earlier_rows.select(*panel.keys, *slices, *offsets, F.lit(True).alias(OLDER))
+                    current = current.withColumn(OLDER, F.lit(False)).unionByName(older, allowMissingColumns=True)
                 current = add_earlier(current, panel, offsets, limits, cuts)
                 current = current.selectExpr("*", *_items(batch, expressions))
+                if earlier_rows is not None:
+                    current = current.where(~F.col(OLDER)).drop(OLDER)
         pending = [s for s in pending if s not in batch]
 
     features = {c: [] for c in columns}

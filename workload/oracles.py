@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from chronopanel.functions import normal
 from chronopanel.plans.spec import BASE_COLUMNS, CLONES, FULL_COLUMNS
-from workload.panels import ONE_DAY
+from workload.panels import APPENDS, FROZEN, ONE_DAY
 
 PANELS = {
     "orders": """
@@ -222,7 +222,47 @@ def profile_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
+def frozen_sql(columns: list[str]) -> str:
+    first, scores, rounded, flags, show = [], [], [], [], []
+    for c in columns:
+        mean = f"CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / NULLIF(COUNT({c}), 0)"
+        first += [f"{c} - (SELECT {s} FROM kept) AS {p}_{c}" for p, s in (("DM", mean), ("DMI", f"MIN({c})"), ("DMA", f"MAX({c})"))]
+        first.append(f"ROUND({c} - (SELECT MEDIAN({c}) FROM kept), 6) + 0.0 AS DME_{c}")
+        upto = f"(SELECT COUNT(*) FROM kept WHERE kept.{c} <= later.{c})"
+        first.append(f"CASE WHEN {c} IS NULL THEN 0e0 ELSE CAST({upto} AS DOUBLE) / (SELECT COUNT(*) FROM kept) END AS E_{c}")
+        scores += [f"{index(f'E_{c}', QUARTERS)} AS B4_E_{c}", f"{index(f'E_{c}', TENTHS)} AS B10_E_{c}", f"{normal_quantile(f'E_{c}')} AS q_{c}"]
+        rounded.append(f"ROUND(q_{c}, 6) + 0.0 AS Q_E_{c}")
+        for k in (2, 3):
+            flags.append(f"CASE WHEN q_{c} > {k} THEN 1e0 ELSE 0e0 END AS {quoted(f'{k}SDU_Q_E_{c}')}")
+            flags.append(f"CASE WHEN -q_{c} > {k} THEN 1e0 ELSE 0e0 END AS {quoted(f'{k}SDD_Q_E_{c}')}")
+        show += [c, *names(c, {"DM", "DMI", "DMA", "DME", "E", "B", "Q", "SD"})]
+    return f"""
+        WITH panel AS ({PANELS["orders"]}), kept AS (SELECT * FROM panel WHERE t = DATE '{FROZEN}'),
+        later AS (SELECT * FROM panel WHERE t >= DATE '{APPENDS[1]}'),
+        a AS (SELECT {', '.join(['*', *first])} FROM later), b AS (SELECT {', '.join(['*', *scores])} FROM a),
+        c AS (SELECT {', '.join(['*', *rounded, *flags])} FROM b)
+        SELECT strftime(t, '%Y-%m-%d') AS t, id, {', '.join(quoted(n) for n in show)} FROM c"""
+
+
+def scheme_bucket(value: str, scheme: str) -> str:
+    borders = f"(SELECT kind || n_regionkey AS scheme_id, n_nationkey * step AS border FROM nation, (VALUES ('S', 4e0), ('P', 0.04e0)) AS kinds(kind, step))"
+    return f"(SELECT CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) FILTER (border <= {value}) AS DOUBLE) END FROM {borders} b WHERE b.scheme_id = {scheme})"
+
+
 ORACLES: dict[str, str] = {
+    "appended_snapshots": f"""
+        SELECT * FROM ({full_sql("orders", ALL, AMOUNTS, ["n_orders"])}) WHERE t >= '{APPENDS[1]}'""",
+    "frozen_reference": frozen_sql(AMOUNTS),
+    "score_schemes": f"""
+        WITH p AS (SELECT c_custkey AS object_id, '{ONE_DAY}' AS snapshot_date, c_mktsegment AS model_id,
+                   (c_acctbal + 1000e0) / 11000e0 AS probability, 'S' || (length(c_mktsegment) % 6) AS score_bucketing_scheme_id,
+                   'P' || (length(c_mktsegment) % 6) AS probability_bucketing_scheme_id FROM customer),
+        s AS (SELECT *, cume_dist() OVER (PARTITION BY model_id ORDER BY probability) * 100 AS score FROM p)
+        SELECT *, {scheme_bucket("s.score", "s.score_bucketing_scheme_id")} AS score_bucket,
+               {scheme_bucket("s.probability", "s.probability_bucketing_scheme_id")} AS probability_bucket FROM s""",
+    "sketched_quantiles": """
+        SELECT event_type, strftime(date_trunc('month', ts), '%Y-%m-%d') AS t, share, COUNT(value) AS n, TRUE AS within_error
+        FROM events, (VALUES (0.1e0), (0.25e0), (0.5e0), (0.75e0), (0.9e0)) AS shares(share) GROUP BY ALL""",
     "cs_distance_mean": full_sql("orders", {"DM"}, AMOUNTS),
     "cs_distance_min": full_sql("orders", {"DMI"}, AMOUNTS),
     "cs_distance_max": full_sql("orders", {"DMA"}, AMOUNTS),
@@ -250,6 +290,12 @@ ORACLES: dict[str, str] = {
             if c not in FULL_COLUMNS
         ],
     ),
+    "controller_by_table": full_sql(
+        "shipped",
+        ALL,
+        FULL_COLUMNS,
+        [c for c in [*BASE_COLUMNS, *[f"{c}_{i}" for i in range(1, CLONES + 1) for c in BASE_COLUMNS]] if c not in FULL_COLUMNS],
+    ),
     "features_by_table": f"""
         WITH f AS ({feature_sql("events", {"value": {"DM", "LDM", "E", "B"}},
                                 ["value", *names("value", {"DM", "LDM", "E", "B"}), "n_events", "bought"])})

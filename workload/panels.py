@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from chronopanel.plans.spec import BASE_COLUMNS
 # Amounts have two decimal places, so means are taken exactly.
 PANEL = Panel("id", "t", exact_scale=2)
 ONE_DAY = "2017-01-01"
+# Borders of the parts in which the orders panel is appended, and the snapshot that is frozen.
+APPENDS = (dt.date(1900, 1, 1), dt.date(1998, 1, 1), dt.date(1998, 4, 1), dt.date(2100, 1, 1))
+FROZEN = dt.date(1997, 6, 1)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

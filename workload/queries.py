@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from chronopanel import FULL, KEEP, Stage, configure, generate_features, merge_features, recipe_from_table, shipped_controller, stored
 from chronopanel.functions.text import row_hash
-from chronopanel.ml import transformers_for
-from chronopanel.operators import expand, metrics, profile, runlog
+from chronopanel.ml import FrozenPanel, as_json, transformers_for
+from chronopanel.operators import expand, metrics, profile, runlog, sketches
 from chronopanel.operators.pieces import CrossSection
-from chronopanel.operators.scoretable import score_table
+from chronopanel.operators.scoretable import score_table, scores_by_scheme
 from chronopanel.operators.snapshot import snapshot_stats
 from chronopanel.panel import Panel, quoted
+from chronopanel.plans.config import check_controller, controller_from_table, controller_table
 from chronopanel.plans.spec import CLONES
+from chronopanel.plans.store import FeatureStore
 from chronopanel.scale import new_path
 from chronopanel.sources import logs, tables
 from workload import panels
@@ -265,6 +267,73 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return score_table(outputs, "object_id", "snapshot_date", ["model_id"], "p")
 
 
+def appended_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """A feature table begun with the snapshots up to 1997; those of 1998 are appended in two steps and read back."""
+    df = panels.orders_panel(spark, sf)
+    store = FeatureStore(spark, new_path(spark, "store"), PANEL, {"price": FULL, "finished": FULL, "n_orders": KEEP})
+    for first, end in zip(panels.APPENDS, panels.APPENDS[1:]):
+        store.append(df.where((F.col("t") >= F.lit(first)) & (F.col("t") < F.lit(end))))
+    return shown(store.features().where(F.col("t") >= F.lit(panels.APPENDS[1])), ROUNDED)
+
+
+def frozen_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks and distances of the snapshots of 1998 against the one of June 1997."""
+    df = panels.orders_panel(spark, sf).select("t", "id", *AMOUNTS)
+    estimator = FrozenPanel(recipe=as_json(FULL[:8]), inputCols=list(AMOUNTS), entityCol="id", snapshotCol="t", exactScale=2)
+    model = estimator.fit(df.where(F.col("t") == F.lit(panels.FROZEN)))
+    return shown(model.transform(df.where(F.col("t") >= F.lit(panels.APPENDS[1]))), ROUNDED)
+
+
+def controller_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The shipped job driven by a stored controller table, which is checked first."""
+    path = new_path(spark, "controller")
+    controller_table(spark, shipped_controller()).write.parquet(path)
+    controller = controller_from_table(spark.read.parquet(path))
+    wide = stored(
+        expand.expand_table(panels.shipped_table(spark, sf), "id", copies=2, clones=CLONES, snapshots=2, start=START, out="t")
+    )
+    check_controller(wide.columns, PANEL, controller)
+    return shown(generate_features(wide, PANEL, controller), ROUNDED)
+
+
+def score_schemes(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores bucketed by schemes of a table: the nations of a region are its borders, a segment's name chooses the region."""
+    nation = table(spark, sf, "nation")
+    kinds = (("S", 4.0), ("P", 0.04))
+    schemes = [
+        nation.select(F.concat(F.lit(k), F.col("n_regionkey").cast("string")).alias("scheme_id"), (F.col("n_nationkey") * by).alias("border"))
+        for k, by in kinds
+    ]
+    segment = F.length("c_mktsegment") % 6  # there is no region 5, so its scheme has no borders
+    outputs = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("object_id"),
+        F.lit(panels.ONE_DAY).alias("snapshot_date"),
+        F.col("c_mktsegment").alias("model_id"),
+        ((F.col("c_acctbal") + 1000.0) / 11000.0).alias("p"),
+        *[F.concat(F.lit(k), segment.cast("string")).alias(f"scheme_{k}") for k, _ in kinds],
+    )
+    return scores_by_scheme(outputs, schemes[0].unionByName(schemes[1]), "object_id", "snapshot_date", ["model_id"], "p", "scheme_S", "scheme_P")
+
+
+def sketched_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of monthly event values from merged daily sketches, and whether their exact ranks keep the stated error.
+
+    Every quantile is held against all rows of its month; twice the error, since that is stated for a single one.
+    """
+    events = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    month = F.trunc("day", "MM").alias("t")
+    daily = stored(sketches.sketched(events, PANEL, [F.col("event_type"), F.col("day")], ["value"]))
+    found = sketches.quantiles(sketches.merged(daily, [F.col("event_type"), month], ["value"]), "value", (0.1, 0.25, 0.5, 0.75, 0.9))
+    found = stored(found)
+    both = events.select("event_type", month, "value").join(found, ["event_type", "t"])
+    value, most = F.col("value"), 2 * sketches.rank_error()
+    ranks = both.groupBy("event_type", "t", "share").agg(
+        F.count(value).alias("n"), F.count_if(value < F.col("quantile")).alias("below"), F.count_if(value <= F.col("quantile")).alias("upto")
+    )
+    kept = (F.col("below") / F.col("n") - most <= F.col("share")) & (F.col("share") <= F.col("upto") / F.col("n") + most)
+    return shown(ranks.select("event_type", "t", "share", "n", kept.alias("within_error")))
+
+
 QUERIES: dict[str, Query] = {
     "cs_distance_mean": features(panels.orders_panel, Stage("Cs_distanceFromMean"), columns=AMOUNTS),
     "cs_distance_min": features(panels.orders_panel, Stage("Cs_distanceFromMin"), columns=AMOUNTS),
@@ -320,6 +389,11 @@ QUERIES: dict[str, Query] = {
     "aligned_series": aligned_series,
     "row_hash": hashed,
     "score_table": scores,
+    "appended_snapshots": appended_snapshots,
+    "frozen_reference": frozen_reference,
+    "controller_by_table": controller_by_table,
+    "score_schemes": score_schemes,
+    "sketched_quantiles": sketched_quantiles,
 }
 
 
