@@ -52,6 +52,9 @@ def merged(sketches: DataFrame, keys: Sequence[Column], columns: Sequence[str])
 def quantiles(sketches: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
     """A row per group and share with the approximate ``quantile`` of ``column`` (null for a group without values)."""
     others = [c for c in sketches.columns if not c.startswith("sketch_")]
-    found = sketches.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    value = F.when(F.col(f"n_{column}") > 0, F.kll_sketch_get_quantile_double(quoted(f"sketch_{column}"), "share"))
-    return found.select(*[quoted(c) for c in others], "share", value.alias("quantile"))
+    known = F.col(f"n_{column}") > 0
+    each = [
+        F.struct(F.lit(float(s)).alias("share"), F.when(known, F.kll_sketch_get_quantile_double(quoted(f"sketch_{column}"), F.lit(float(s)))).alias("quantile"))
+        for s in shares
+    ]
+    return sketches.select(*[quoted(c) for c in others], F.inline(F.array(*each)))
