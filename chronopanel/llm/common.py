@@ -78,6 +78,25 @@ def write_new(df: DataFrame, kind: str, partition_by: str | None = None) -> tupl
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Remembered:
+    """What was found for the latest strings: two generations, so that filling up forgets the older half only."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def again(self, key: str):
+        """What was found for a string that is not among the young; None if it is unknown."""
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, found) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = found
+
+
 class Scratch:
     """Tables between the steps of an operator, in the shared folder until ``close``."""
 

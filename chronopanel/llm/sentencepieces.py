@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import map_rows
+from chronopanel.llm.common import Remembered, map_rows
 
 MARK = "▁"
 RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -43,9 +43,9 @@ def _steps(edge: list[tuple[float | None, str | None]]) -> list[tuple[float, str
 class PieceEncoder:
     """Encodes as the library does with the merge-type (BPE) model at ``path``."""
 
-    def __init__(self, path: str, runs: int = 300_000, pairs: int = 2_000_000, longest: int = 40):
+    def __init__(self, path: str, runs: int = 600_000, pairs: int = 2_000_000, longest: int = 40):
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.runs, self.pairs, self.longest = runs, pairs, longest
+        self.pairs, self.longest = pairs, longest
         plain = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
         self.ids = {model.id_to_piece(i): i for i in plain}
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
@@ -54,16 +54,22 @@ class PieceEncoder:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.falls_back = model.is_byte(self.bytes[0])
         # Only a piece that its own encoding reproduces can be the last of a prefix.
+        # Pieces have numbers here, so that a pair of neighbours is one number; characters that are no piece follow.
         self.automaton = ahocorasick.Automaton()
+        self.names: list[str] = []
+        self.sizes: list[int] = []
         self.rights: dict[str, list[tuple[float, str]]] = {}
         self.lefts: dict[str, list[tuple[float, str]]] = {}
         for piece in self.ids:
             if self.merged(piece, (lefts := []), (rights := [])) == [piece]:
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, len(self.names))
+                self.names.append(piece)
+                self.sizes.append(len(piece))
                 self.lefts[piece], self.rights[piece] = _steps(lefts), _steps(rights)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.compatible: dict[int, bool] = {}
+        self.own = [(self.ids[piece],) for piece in self.names]
+        self.known = Remembered(runs)
 
     def merged(self, text: str, lefts: list | None = None, rights: list | None = None) -> list[str]:
         """Merging by definition: the neighbours of the best score, the leftmost of several, until none is a piece.
@@ -110,43 +116,52 @@ class PieceEncoder:
             else:
                 return True
 
-    def pieces(self, run: str) -> list[str]:
-        """Encoding of a run: fill the table of last pieces, then go backwards."""
-        last: list[str | None] = [None] * (len(run) + 1)
-        compatible = self.compatible
+    def last_pieces(self, run: str) -> list[int]:
+        """For every prefix of a run the number of its last piece, -1 if that is a character without a piece."""
+        last = [-1] * (len(run) + 1)
+        compatible, sizes, many = self.compatible, self.sizes, len(self.names)
         for end, piece in self.automaton.iter(run):
             end += 1
-            if last[end] is not None:
+            if last[end] >= 0:
                 continue
-            start = end - len(piece)
+            start = end - sizes[piece]
             if start:
-                before = last[start] or run[start - 1]  # a character that is no piece stands for itself
-                fit = compatible.get((before, piece))
+                before = last[start]
+                if before < 0:  # a character that is no piece stands for itself
+                    before = many + ord(run[start - 1])
+                pair = before * many + piece
+                fit = compatible.get(pair)
                 if fit is None:
                     if len(compatible) >= self.pairs:
                         compatible.clear()
-                    fit = compatible[before, piece] = self.fits(before, piece)
+                    left = self.names[before] if before < many else chr(before - many)
+                    fit = compatible[pair] = self.fits(left, self.names[piece])
                 if not fit:
                     continue
             last[end] = piece
-        out, end = [], len(run)
-        while end:
-            piece = last[end] or run[end - 1]
-            out.append(piece)
-            end -= len(piece)
-        return out[::-1]
+        return last
 
     def encoded(self, run: str) -> tuple[tuple[int, ...], str]:
-        ids: list[int] = []
-        for piece in self.pieces(run):
-            own = self.ids.get(piece)
-            if own is not None:
-                ids.append(own)
-            elif self.falls_back:
-                ids.extend(self.bytes[b] for b in piece.encode("utf-8"))
+        """Encoding of a run: the table of last pieces, then backwards from the end."""
+        last, end, out = self.last_pieces(run), len(run), []
+        while end:
+            piece = last[end]
+            if piece >= 0:
+                out.append(self.own[piece])
+                end -= self.sizes[piece]
             else:
-                ids.append(self.library.unk_id())
-        return tuple(ids), ",".join(map(str, ids))
+                end -= 1
+                out.append(self.alone(run[end]))
+        ids = tuple(chain.from_iterable(out[::-1]))
+        return ids, ",".join(map(str, ids))
+
+    def alone(self, character: str) -> tuple[int, ...]:
+        """Ids of a character that no usable piece spells."""
+        if character in self.ids:
+            return (self.ids[character],)
+        if self.falls_back:
+            return tuple(self.bytes[b] for b in character.encode("utf-8"))
+        return (self.library.unk_id(),)
 
     def encode(self, text: str | None) -> tuple[list[int], str]:
         """Ids of a whole text, and the same as decimal numbers joined by commas."""
@@ -154,15 +169,15 @@ class PieceEncoder:
             return [], ""
         runs = RUN.findall(self.library.normalize(text))
         known = self.known
-        found = list(map(known.get, runs))
+        found = list(map(known.young.get, runs))
         if None in found:
             for i, run in enumerate(runs):
                 if found[i] is None:
-                    found[i] = known.get(run) or self.encoded(run)
-                    if len(run) <= self.longest:
-                        if len(known) >= self.runs:
-                            known.clear()
-                        known[run] = found[i]
+                    found[i] = known.young.get(run) or known.again(run)
+                    if found[i] is None:
+                        found[i] = self.encoded(run)
+                        if len(run) <= self.longest:
+                            known.put(run, found[i])
         return list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
 
     def decode(self, ids: list[int]) -> str:
