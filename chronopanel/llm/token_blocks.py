@@ -14,6 +14,8 @@ file system with its commit protocol:
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,13 +23,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronopanel.llm.common import discard, map_batches, map_rows, text_or_empty
+from chronopanel.llm.common import Remembered, discard, map_batches, map_rows, text_or_empty
 from chronopanel.scale import new_path
 
 LONGEST, STEP, BLOCK = 18, 256, 1 << 20
@@ -128,11 +129,14 @@ class WordTokenizer:
     PARTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     ODD = "[\x1c-\x1f]"
+    #: One word of the pattern.  And: without UNEVEN, a text cut at its blanks gives parts that begin with one blank, all but the first, and the pattern never crosses a cut.
+    LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ʯ]+")
+    UNEVEN = re.compile(r"\s\s")
 
-    def __init__(self, path: str, memory: int = 600_000, longest: int = 60):
+    def __init__(self, path: str, memory: int = 800_000, longest: int = 60):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.memory, self.longest = memory, longest
+        self.longest = longest
         state = self.library.pre_tokenizer.__getstate__() if self.library.pre_tokenizer else b""
         plain = type(self.model).__name__ == "BPE" and not self.library.normalizer and b'"type":"ByteLevel"' in state
         plain = plain and b'"add_prefix_space":false' in state and b'"use_regex":true' in state
@@ -141,34 +145,51 @@ class WordTokenizer:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # Parts and words that begin with a blank, by what follows it; all others.
+        self.after, self.parts = Remembered(memory), Remembered(memory // 4)
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        """Ids of one word of a part of several."""
+        memory, key = (self.after, word[1:]) if word[0] == " " and len(word) > 1 else (self.parts, word)
+        found = memory.young.get(key) or memory.again(key)
         if found is None:
-            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            found = self.tokenized(word)
             if len(word) <= self.longest:
-                if len(self.words) >= self.memory:
-                    self.words.clear()
-                self.words[word] = found
+                memory.put(key, found)
+        return found
+
+    def tokenized(self, word: str) -> bytes:
+        letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(letters)]) else b""
+
+    def part(self, memory: Remembered, key: str, part: str) -> bytes:
+        """Ids of a part that is not among the young ones of ``memory``."""
+        found = memory.again(key)
+        if found is None:
+            found = self.tokenized(part) if self.LETTERS.fullmatch(part) else b"".join(map(self.word, self.WORDS.findall(part)))
+            if len(part) <= self.longest:
+                memory.put(key, found)
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         if self.odd.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = self.PARTS.findall(text)
-        found = list(map(self.parts.get, parts))
-        if None in found:
-            for i, part in enumerate(parts):
-                if found[i] is None:
-                    found[i] = self.parts.get(part) or b"".join(map(self.word, self.WORDS.findall(part)))
-                    if len(part) <= self.longest:
-                        if len(self.parts) >= self.memory:
-                            self.parts.clear()
-                        self.parts[part] = found[i]
+        if text[:1].isspace() or text[-1:].isspace() or self.UNEVEN.search(text):
+            parts = self.PARTS.findall(text)
+            found = list(map(self.parts.young.get, parts))
+            if None in found:
+                for i, part in enumerate(parts):
+                    if found[i] is None:
+                        found[i] = self.parts.young.get(part) or self.part(self.parts, part, part)
+        else:
+            parts = text.split(" ")
+            found = list(map(self.after.young.get, parts))
+            found[0] = self.part(self.parts, parts[0], parts[0])
+            if None in found:
+                for i, part in enumerate(parts):
+                    if found[i] is None:
+                        found[i] = self.after.young.get(part) or self.part(self.after, part, " " + part)
         return b"".join(found)
 
 
