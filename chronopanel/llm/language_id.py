@@ -6,30 +6,32 @@ seen; a byte that never followed there costs the context's escape probability an
 coded by the next shorter context, at last as one of 256.  The language with the
 shortest code for a whole text is the prediction.
 
-The trees are learned from a bounded sample of the labelled rows (``SAMPLE`` texts a
-language, drawn by a hash of the text) and keep the ``CONTEXTS`` most frequent byte
-strings; both bounds are parameters.  Everything else covers all rows: every
-byte of every text is coded.
+The trees are learned from a bounded sample of the labelled rows: at most ``SAMPLE`` different texts a
+language, those whose hashes are smallest, so copies of a text count once.  Each language keeps its own ``CONTEXTS`` most
+frequent byte strings; with many languages fewer, so that strings times languages stay near ``CELLS`` (the
+model has a number for each), but never under ``LEAST_CONTEXTS``.  All are parameters.  There is no limit of languages.
+Everything else covers all rows: every byte of every text is coded.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import map_rows
+from chronopanel.llm.common import map_batches, map_rows
 
 ORDER = 3
 SAMPLE = 2_000
-CONTEXTS = 300_000
-LANGUAGES = 256
-LETTER = re.compile(r"[^\W\d_]")
+CONTEXTS, LEAST_CONTEXTS, CELLS = 75_000, 1_000, 40_000_000
+LETTER = regex.compile(r"\p{L}")
+#: Bytes of texts that are scored at a time.
+SLICE = 2_000_000
 #: What stands before a text.
 START = b"\n" * ORDER
 UNKNOWN = "und"
@@ -45,17 +47,16 @@ def grams(data: np.ndarray, length: int) -> np.ndarray:
 
 
 class Index:
-    """Places of 32-bit codes in a sorted array; a table of slots answers nearly all at once."""
-
-    BITS = 21
+    """Places of 32-bit codes in a sorted array; a table of slots, eight a key, answers nearly all at once."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.slots = np.full(1 << self.BITS, -1, np.int32)
+        self.bits = min(24, max(4, (8 * len(keys)).bit_length()))
+        self.slots = np.full(1 << self.bits, -1, np.int32)
         self.slots[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return (codes * np.uint32(2654435761)) >> np.uint32(32 - self.BITS)
+        return (codes * np.uint32(2654435761)) >> np.uint32(32 - self.bits)
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         """Place of every code, -1 if absent."""
@@ -145,16 +146,24 @@ def train(
     """Frozen model of the rows with text and language; None if there are none.
 
     Byte strings are counted on the executors, summed by Spark, and only the most
-    frequent ``contexts`` of them reach the driver.
+    frequent ``contexts`` of each language reach the driver.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # Hashes are even, so the smallest of n different ones lie below about 1 in n of their range; half more than asked
+    # for passes here, for which partial counts are enough, and the windows order that little exactly.
+    different = rows.select("lang", "hash").distinct()
+    sizes = different.groupBy("lang").count().collect()
     if not sizes:
         return None
     languages = sorted(r["lang"] for r in sizes)
-    threshold = {r["lang"]: min(1.0, sample / r["count"]) for r in sizes}
-    share = F.create_map(*[F.lit(x) for item in threshold.items() for x in item])
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < F.element_at(share, F.col("lang")) * (1 << 24))
+    share = [(r["lang"], min(1.0, (1.5 * sample + 100) / r["count"])) for r in sizes]
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(share, "lang string, share double"))  # a row a language
+    few = different.join(shares, "lang").where(F.col("hash") / 2.0**64 + 0.5 <= F.col("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= sample).select("lang", "hash")
+    # At most ``sample`` rows a language.
+    drawn = rows.join(F.broadcast(chosen), ["lang", "hash"]).dropDuplicates(["lang", "hash"]).select("text", "lang")
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -172,7 +181,9 @@ def train(
 
     counted = map_rows(drawn, count, "lang string, length int, code long, n long")
     summed = counted.groupBy("lang", "length", "code").agg(F.sum("n").alias("n"))
-    found = summed.orderBy(F.desc("n"), "lang", "length", "code").limit(contexts).toPandas()
+    own = min(contexts, max(LEAST_CONTEXTS, CELLS // len(languages) ** 2))
+    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "length", "code")
+    found = summed.withColumn("place", F.row_number().over(frequent)).where(F.col("place") <= own).drop("place").toPandas()
     return build(languages, found)
 
 
@@ -210,24 +221,35 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        own = shared.value
-        for b in batches:
-            n = len(b["text"])
-            known = [own is not None and t is not None and LETTER.search(t) is not None for t in b["text"]]
-            lang, score, bits = [UNKNOWN] * n, [0.0] * n, [None] * n
-            if any(known):
-                texts = [t.encode("utf-8", "surrogatepass") if k else b"" for t, k in zip(b["text"], known)]
-                mean = own.totals(texts) / np.maximum(1, [len(t) for t in texts])[:, None]
-                best = mean.argmin(axis=1)
-                least = mean.min(axis=1)
-                likely = 1 / np.exp2(least[:, None] - mean).sum(axis=1)
-                for i in range(n):
-                    if known[i]:
-                        lang[i], score[i], bits[i] = own.languages[best[i]], float(likely[i]), float(least[i])
-            del b["text"]
-            yield b | {"lang_pred": lang, "score": score, "bits": bits}
-
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
-    kinds = ", ".join(f"`{n}` {t}" for n, t in given.dtypes if n != "text")
-    return map_rows(given, rows, f"{kinds}, lang_pred string, score double, bits double")
+    def score(texts: list[bytes | None]) -> list[pa.Array]:
+        own, n = shared.value, len(texts)
+        known = [own is not None and t is not None and LETTER.search(t.decode("utf-8", "surrogatepass")) is not None for t in texts]
+        lang, score, bits = [UNKNOWN] * n, [0.0] * n, [None] * n
+        if any(known):
+            texts = [t if k else b"" for t, k in zip(texts, known)]
+            mean = own.totals(texts) / np.maximum(1, [len(t) for t in texts])[:, None]
+            best = mean.argmin(axis=1)
+            least = mean.min(axis=1)
+            likely = 1 / np.exp2(least[:, None] - mean).sum(axis=1)
+            for i in range(n):
+                if known[i]:
+                    lang[i], score[i], bits[i] = own.languages[best[i]], float(likely[i]), float(least[i])
+        return [pa.array(lang), pa.array(score), pa.array(bits, pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, others = batch.column(1), [0, *range(2, batch.num_columns)]
+            low = 0
+            while low < batch.num_rows:  # carried columns go through as they are, texts a slice at a time
+                size, high = 0, low
+                while high < batch.num_rows and (high == low or size < SLICE):
+                    size += len(text[high].as_buffer() or b"")
+                    high += 1
+                found = score(text.slice(low, high - low).to_pylist())
+                kept = [batch.column(i).slice(low, high - low) for i in others]
+                yield pa.RecordBatch.from_arrays([*kept, *found], [*(batch.schema.names[i] for i in others), "lang_pred", "score", "bits"])
+                low = high
+
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *carry)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in given.dtypes[:1] + given.dtypes[2:])
+    return map_batches(given, run, f"{kinds}, lang_pred string, score double, bits double")
