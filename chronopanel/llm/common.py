@@ -53,9 +53,14 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], sc
 
 
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the tasks."""
+    """``mapInArrow`` with this package at hand in the tasks; a worker gives back what its task's batches held."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

@@ -212,8 +212,8 @@ def build(languages: list[str], found) -> Model:
     return model
 
 
-def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] = ()) -> DataFrame:
-    """(id, lang_pred, score, bits) and the columns of ``carry`` for every row, in place.
+def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] = (), keep_text: bool = False) -> DataFrame:
+    """(id, lang_pred, score, bits) and the columns of ``carry`` for every row, in place; with ``keep_text`` also ``text``.
 
     ``und`` with score 0 if the text is null, empty or has no letter, or if nothing was learned.
     ``score`` is the best language's share of the per-byte likelihoods, ``bits`` its
@@ -238,7 +238,7 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, others = batch.column(1), [0, *range(2, batch.num_columns)]
+            text, others = batch.column(1), [0, *range(1 if keep_text else 2, batch.num_columns)]
             low = 0
             while low < batch.num_rows:  # carried columns go through as they are, texts a slice at a time
                 size, high = 0, low
@@ -251,5 +251,6 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
                 low = high
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *carry)
-    kinds = ", ".join(f"`{n}` {t}" for n, t in given.dtypes[:1] + given.dtypes[2:])
-    return map_batches(given, run, f"{kinds}, lang_pred string, score double, bits double")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in given.dtypes[:1] + given.dtypes[1 if keep_text else 2 :])
+    found = map_batches(given, run, f"{kinds}, lang_pred string, score double, bits double")
+    return found.withColumn("text", F.col("text").cast("string")) if keep_text else found

@@ -43,7 +43,7 @@ def _steps(edge: list[tuple[float | None, str | None]]) -> list[tuple[float, str
 class PieceEncoder:
     """Encodes as the library does with the merge-type (BPE) model at ``path``."""
 
-    def __init__(self, path: str, runs: int = 600_000, pairs: int = 2_000_000, longest: int = 40):
+    def __init__(self, path: str, runs: int = 400_000, pairs: int = 2_000_000, longest: int = 40):
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pairs, self.longest = pairs, longest
         plain = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
@@ -69,6 +69,7 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.compatible: dict[int, bool] = {}
         self.own = [(self.ids[piece],) for piece in self.names]
+        self.decimal = [str(i) for i in range(model.get_piece_size())]
         self.known = Remembered(runs)
 
     def merged(self, text: str, lefts: list | None = None, rights: list | None = None) -> list[str]:
@@ -141,7 +142,7 @@ class PieceEncoder:
             last[end] = piece
         return last
 
-    def encoded(self, run: str) -> tuple[tuple[int, ...], str]:
+    def encoded(self, run: str) -> tuple[int, ...]:
         """Encoding of a run: the table of last pieces, then backwards from the end."""
         last, end, out = self.last_pieces(run), len(run), []
         while end:
@@ -152,8 +153,7 @@ class PieceEncoder:
             else:
                 end -= 1
                 out.append(self.alone(run[end]))
-        ids = tuple(chain.from_iterable(out[::-1]))
-        return ids, ",".join(map(str, ids))
+        return tuple(chain.from_iterable(out[::-1]))
 
     def alone(self, character: str) -> tuple[int, ...]:
         """Ids of a character that no usable piece spells."""
@@ -178,7 +178,8 @@ class PieceEncoder:
                         found[i] = self.encoded(run)
                         if len(run) <= self.longest:
                             known.put(run, found[i])
-        return list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
+        ids = list(chain.from_iterable(found))
+        return ids, ",".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
