@@ -21,9 +21,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")]
-    found = language_id.predicted(docs, model, carry=carried)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits") <= MOST_BITS)).select("__doc.*")
+    others = [c for c in docs.columns if c != "text"]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("__doc")]
+    found = language_id.predicted(docs, model, carry=carried, keep_text=True)
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits") <= MOST_BITS))
+    return kept.select(*[F.col("text") if c == "text" else F.col("__doc").getField(c).alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
