@@ -42,12 +42,14 @@ HEADERS = {
 VERSION, EMPTY = "WARC/1.0", "\r\n\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
 
-COMMENTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+HIDDEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
 BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|pre|blockquote|title|body)\b[^>]*>", re.I)
 TAGS = re.compile(r"<[a-zA-Z/!?][^>]*>")
 BLANK, LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
+ANCHOR, HREF = re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"""\"([^"]*)"|'([^']*)'|([^\s>]+)""")
+TITLE, TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title", re.I)
 
 
 def sha1(data: bytes) -> str:
@@ -59,10 +61,62 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, json.dumps(parts))}>"
 
 
+def shown(page: str) -> str:
+    """The page without comments, scripts, styles and templates; what is not closed reaches to the end.
+
+    One way through the page: every search goes on where the last one ended.
+    """
+    out, at, done, last = [], 0, 0, page.rfind(">")
+    while found := HIDDEN.search(page, at):
+        at = found.end()
+        if found[1] is None:
+            end = page.find("-->", at)
+            end = end + 3 if end >= 0 else len(page)
+        elif at > last:
+            continue  # a tag without its end
+        else:
+            closing = CLOSING[found[1].lower()].search(page, page.find(">", at) + 1)
+            end = closing.end() if closing else len(page)
+        out.append(page[done : found.start()])
+        at = done = end
+    return "".join([*out, page[done:]])
+
+
+def visible(page: str) -> str:
+    """Text of a ``shown`` page: block elements as line breaks, other tags out, entities resolved."""
+    # Every tag that begins before the last ">" ends there at the latest, so no search fails on its way to the end.
+    cut = page.rfind(">") + 1
+    page = BREAKS.sub("\n", page[:cut]) + page[cut:]
+    cut = page.rfind(">") + 1
+    page = TAGS.sub("", page[:cut]) + page[cut:]
+    return LINES.sub("\n", BLANK.sub(" ", html.unescape(page))).strip()
+
+
 def plain_text(page: str) -> str:
     """Visible text: scripts, styles and comments out, block elements as line breaks, entities resolved."""
-    page = TAGS.sub("", BREAKS.sub("\n", COMMENTS.sub("", page)))
-    return LINES.sub("\n", BLANK.sub(" ", html.unescape(page))).strip()
+    return visible(shown(page))
+
+
+def title_of(page: str) -> str | None:
+    """What stands between the first title tag and the next end of one."""
+    start = TITLE.search(page, 0, page.rfind(">") + 1)
+    end = TITLE_END.search(page, start.end()) if start else None
+    return page[start.end() : end.start()] if end else None
+
+
+def links_of(page: str) -> list[str]:
+    """The address of every anchor that has one: the first readable one of its tag."""
+    out, at = [], 0
+    while anchor := ANCHOR.search(page, at):
+        at = page.find(">", anchor.end())
+        if at < 0:
+            at = len(page)
+        for name in HREF.finditer(page, anchor.end(), at):
+            if value := VALUE.match(page, name.end()):
+                out.append(html.unescape(value[value.lastindex]))
+                at = value.end()
+                break
+    return out
 
 
 def http_block(headers: str | None, body: str | None) -> tuple[str, str]:
@@ -115,15 +169,15 @@ def derivatives(records: DataFrame) -> DataFrame:
             out: dict[str, list] = {f: [] for f in FIELDS}
             for r in ({f: b[f][i] for f in FIELDS} for i in range(len(b["block"]))):
                 head, page = http_block(None, r["block"])
-                text = plain_text(page)
-                title = TITLE.search(page)
+                seen = shown(page)
+                text = visible(seen)
+                title = title_of(page)
                 http = dict(line.split(":", 1) for line in head.split("\r\n")[1:] if ":" in line)
-                links = [html.unescape(next(x for x in m if x) if any(m) else "") for m in LINK.findall(COMMENTS.sub("", page))]
                 described = {
                     "warc": {HEADERS[f]: r[f] for f in HEADERS if r[f] is not None},
                     "http": {k.strip(): v.strip() for k, v in http.items()},
-                    "title": plain_text(title[1]) if title else None,
-                    "links": links,
+                    "title": None if title is None else plain_text(title),
+                    "links": links_of(seen),
                     "text_length": len(text),
                     "text_digest": sha1(text.encode("utf-8", "surrogatepass")),
                 }
@@ -154,26 +208,53 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Files are cut before every version line.  Where a block itself holds such a line, it
     is shorter than its Content-Length says and takes the next piece in; a compressed
     file is read by one task, in order.
+
+    A record that its file ends too early has the block that is there, and the length its header
+    says.  Without a readable Content-Length the block reaches to the next version line, and
+    the length is null.  Header lines without a colon are passed over; what stands in a file
+    before its first version line is no record.  Bytes that a wrong length cuts out of a character become
+    replacement characters.  Empty files have no records.
     """
     mark = f"{EMPTY}{VERSION}\r\n"
     names = {header.lower(): field for field, header in HEADERS.items()}
 
+    def record(found: dict, parts: list[bytes]) -> dict:
+        data, size = b"".join(parts), found["content_length"]
+        data = data.removesuffix(EMPTY.encode()) if size is None else data[:size]
+        try:
+            return found | {"block": data.decode("utf-8", "surrogatepass")}
+        except UnicodeDecodeError:
+            return found | {"block": data.decode("utf-8", "replace")}
+
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        open_: str | None = None
+        at, found, parts, held = None, None, [], 0
         for b in batches:
-            out: dict[str, list] = {f: [] for f in FIELDS}
-            for piece in b["value"]:
-                open_ = piece.removeprefix(f"{VERSION}\r\n") if open_ is None else open_ + mark + piece
-                head, _, body = open_.partition(EMPTY)
-                found = {names[k.lower()]: v for k, v in (line.split(": ", 1) for line in head.split("\r\n")) if k.lower() in names}
-                size = int(found["content_length"])
-                data = body.encode("utf-8", "surrogatepass")
-                if len(data) < size:
-                    continue
-                found |= {"content_length": size, "block": data[:size].decode("utf-8", "surrogatepass")}
-                for f in FIELDS:
-                    out[f].append(found.get(f))
-                open_ = None
-            yield out
-
-    return map_rows(spark.read.option("lineSep", mark).text(path), rows, RECORD)
+            done: list[dict] = []
+            for file, piece in zip(b["file"], b["value"]):
+                if file != at:
+                    if found is not None:
+                        done.append(record(found, parts))
+                    at, found = file, None
+                    if not piece.startswith(f"{VERSION}\r\n"):
+                        continue
+                if found is None:
+                    head, _, body = piece.removeprefix(f"{VERSION}\r\n").partition(EMPTY)
+                    lines = [(k.strip().lower(), v.strip()) for k, mid, v in (line.partition(":") for line in head.split("\r\n")) if mid]
+                    found = {names[k]: v for k, v in lines if k in names}
+                    size = found.get("content_length", "")
+                    found["content_length"] = int(size) if size.isascii() and size.isdigit() else None
+                    parts, held = [], 0
+                else:
+                    body = mark + piece
+                parts.append(body.encode("utf-8", "surrogatepass"))
+                held += len(parts[-1])
+                if held >= (found["content_length"] or 0):
+                    done.append(record(found, parts))
+                    found = None
+            yield {f: [r.get(f) for r in done] for f in FIELDS}
+        if found is not None:
+            done = [record(found, parts)]
+            yield {f: [r.get(f) for r in done] for f in FIELDS}
+
+    pieces = spark.read.option("lineSep", mark).text(path)
+    return map_rows(pieces.select("value", F.col("_metadata.file_path").alias("file")), rows, RECORD)
