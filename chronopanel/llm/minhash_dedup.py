@@ -246,8 +246,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_id = rows.where("id IS NOT NULL AND digest IS NOT NULL")
     classes = with_id.groupBy("digest").agg(F.min("id").alias("first"))
     _, classes = write_new(classes, "classes")
-    heads = signed.join(classes.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi")
-    nodes = scratch.write(heads.select("id", "n_shingles", "bands", "packed", "prints").dropDuplicates(["id"]), "nodes")
+    # An id that is the first of several classes has a node for each; ``twin`` tells them apart and is 0 for all others.
+    crowded = classes.groupBy(F.col("first").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = classes.withColumnRenamed("first", "id").join(crowded, "id", "left")
+    own = own.select("digest", "id", F.when(F.col("n") > 1, F.xxhash64("digest")).otherwise(0).alias("twin"))
+    heads = signed.join(own, ["digest", "id"]).select("id", "twin", "n_shingles", "bands", "packed", "prints")
+    nodes = scratch.write(heads.dropDuplicates(["id", "twin"]), "nodes")
     early.close()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
 
@@ -265,8 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What is left are pairs of different components.
     own = labels.select(F.col("node").alias("id"), "component")
-    labelled = scratch.write(nodes.join(own, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "n_shingles", "bands"), "labels")
-    entries = labelled.select("id", "label", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    labelled = scratch.write(nodes.join(own, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "twin", "n_shingles", "bands"), "labels")
+    entries = labelled.select("id", "twin", "label", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("key").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("id", "label")).alias("hub"),
         F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("weight"),
@@ -275,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = scratch.write(entries.join(buckets, "key").where("id <> hub"), "bands")
     late = left.where("label <> hub_label").select("id", "hub").distinct().join(stars, ["id", "hub"], "left_anti")
     late = scratch.write(late, "stars")
-    inside = left.select("band", "key", "id", "label", "size", "weight").join(nodes.select("id", "packed", "prints"), "id")
+    inside = left.select("band", "key", "id", "twin", "label", "size", "weight").join(nodes.select("id", "twin", "packed", "prints"), ["id", "twin"])
     inside = block_pairs(inside, percent)
     labels = components(links.union(_confirmed_links(late, inside, nodes, texts, words, percent, scratch)))
     scratch.close()
