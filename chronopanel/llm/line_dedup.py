@@ -5,8 +5,9 @@ A run is the least number of neighbouring lines, from or up to a line with words
 document that holds it.  Every line with words of a common block of ``BLOCK_WORDS`` words lies in
 a run within the block, so no such block is missed, whichever documents share it.
 The pairs are aligned by patience diff over line hashes: lines that are unique in both
-anchor the alignment, which grows from the anchors and ends into common blocks.  Runs that both
-hold and the alignment leaves, being repeated or in another order, are added.  A common
+anchor the alignment, which grows from the anchors and ends into common blocks.  What it leaves, being
+repeated or in another order, is aligned again by its runs, ascending or descending, until
+nothing in common is left.  A common
 block of at least ``BLOCK_WORDS`` words is deleted from the later document, each time it is there; empty
 lines at its ends go with it where the alignment has them.
 
@@ -85,16 +86,36 @@ def runs(words: list[int] | np.ndarray, least: int) -> list[tuple[int, int]]:
     return sorted(found | {(i, e + 1) for i, e in zip(first.tolist(), full.tolist()) if i >= 0})
 
 
-def run_keys(lines: list, words: list[int], least: int) -> set[tuple]:
-    return {tuple(lines[i:e]) for i, e in runs(words, least)}
+def run_keys(lines: list, words: list[int], least: int) -> dict[tuple, None]:
+    """The different runs, in their order."""
+    return dict.fromkeys(tuple(lines[i:e]) for i, e in runs(words, least))
 
 
-def common_blocks(a: list, b: list, words: list[int], least: int, known: set[tuple] | None = None) -> list[int]:
-    """Places in ``b`` of the common blocks that have at least ``least`` words: the aligned ones, and what the alignment leaves.
+def aligned_runs(a: list[tuple], b: list[tuple]) -> set[tuple]:
+    """The runs of ``b`` that alignments with the runs of ``a`` reach; both lists have no repeats.
 
-    The alignment is one ascending way through both and has no anchor in lines that either repeats.  So the runs of ``b``
-    that are anywhere in ``a`` are added (``known``: those of ``a``); with them every line with words of a common
-    block is found, repeated or in another order as well.
+    Each alignment takes one way through what the ones before it left, ascending in both or, if that is longer, descending
+    in ``a``.  Of n common runs one of the two has at least the root of n, so there are at most about two roots of n alignments.
+    """
+    reached: set[tuple] = set()
+    both = set(a) & set(b)
+    while both:
+        a, b = [x for x in a if x in both], [x for x in b if x in both]
+        way = max(matching(a, b), matching(a[::-1], b), key=len)
+        if not way:
+            break
+        found = {b[j] for _, j in way}
+        reached |= found
+        both -= found
+    return reached
+
+
+def common_blocks(a: list, b: list, words: list[int], least: int, known: dict[tuple, None] | None = None) -> list[int]:
+    """Places in ``b`` of the common blocks that have at least ``least`` words, by alignment.
+
+    The alignment of the lines is one ascending way through both and has no anchor in lines that either repeats.  What it
+    leaves is aligned by runs (``known``: those of ``a``), each taken once; copies of an aligned run in ``b`` go with it.  So every
+    line with words of a common block is found, repeated or in another order as well.
     """
     if known is None:
         # A line that b has not ends a run.
@@ -110,9 +131,13 @@ def common_blocks(a: list, b: list, words: list[int], least: int, known: set[tup
             block = []
         block.append(pair[1])
         last = pair
-    for i, e in runs(words, least):
-        if tuple(b[i:e]) in known:
-            out.update(range(i, e))
+    left = [(i, e, tuple(b[i:e])) for i, e in runs(words, least) if not out.issuperset(range(i, e))]
+    left = [run for run in left if run[2] in known]
+    if left:
+        reached = aligned_runs(list(known), list(dict.fromkeys(key for *_, key in left)))
+        for i, e, key in left:
+            if key in reached:
+                out.update(range(i, e))
     return sorted(out)
 
 
@@ -185,7 +210,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         schema = pa.schema([("id", pa.int64()), ("tid", pa.int64()), ("places", pa.list_(pa.int32()))])
         split = lambda h: [h[k : k + 16] for k in range(0, len(h), 16)]
         hub: list[bytes] = []
-        known: set[tuple] = set()
+        known: dict[tuple, None] = {}
         for b in batches:
             out: dict[str, list] = {"id": [], "tid": [], "places": []}
             kinds, ids, tids, hashes, words = (b.column(n).to_pylist() for n in ("kind", "id", "tid", "hashes", "words"))
@@ -212,7 +237,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Lines are compared without the white space around them and kept as they are.  Null and
     empty texts have no lines and stay as they are (null stays null); a null id comes after all others; rows that
     repeat an id and a text get the same result, rows that repeat an id with other texts are
-    documents of their own.  No rows give no rows.
+    documents of their own.  No rows give no rows.  A text of any length is one document, held by one task as 20 bytes a line.
     """
     _, lost = write_new(deletions(docs, id_col, text_col, block_words), "deleted")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for c, n in zip(_key(id_col, text_col), ("k", "kt"))])
