@@ -47,7 +47,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     if collided.isEmpty():
         keys = ["__hash"]
     else:  # a text hash beside the content hash would only repeat the doubt: group these by their texts
-        rows = rows.join(F.broadcast(collided.withColumn("__both", F.lit(True))), "__hash", "left").withColumn(
+        rows = rows.join(collided.withColumn("__both", F.lit(True)), "__hash", "left").withColumn(
             "__text", F.when(F.col("__both"), normalised(text_or_empty(F.col(f"__doc.`{text_col}`")))).otherwise(F.lit(""))
         )
         keys = ["__hash", "__text"]
@@ -63,5 +63,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    found = marked(docs, id_col, text_col)
-    return found.where("__kept").select(*[f"`{c}`" for c in docs.columns])
+    plain = docs.toDF(*[f"c{n}" for n in range(len(docs.columns))])  # names that cannot clash with the marks
+    place = {c: f"c{n}" for n, c in enumerate(docs.columns)}
+    found = marked(plain, place[id_col], place[text_col])
+    return found.where("__kept").select(*plain.columns).toDF(*docs.columns)

@@ -130,5 +130,8 @@ def _range_of_end(rows: DataFrame, rest: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The rows the mix takes, as often as it takes them, with the columns of ``docs``."""
-    taken = mixed(docs, **options).where("__times > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[f"`{c}`" for c in docs.columns])
+    plain = docs.toDF(*[f"c{n}" for n in range(len(docs.columns))])  # names that cannot clash with the added ones
+    place = {c: f"c{n}" for n, c in enumerate(docs.columns)}
+    columns = {name: place[options.pop(name, default)] for name, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    taken = mixed(plain, **columns, **options).where("__times > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*plain.columns).toDF(*docs.columns)
