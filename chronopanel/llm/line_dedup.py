@@ -190,18 +190,18 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         .where("n > 1")
         .select("h", F.col("first.id").alias("a"), F.col("first.tid").alias("at"))
     )
-    # Tables between the steps: Spark splits the rows of a hot line only where a join reads both sides as dealt.
+    # Tables between the steps, and merge joins at every size: Spark splits the rows of a hot line only where a join reads both sides as dealt.
     _, firsts = write_new(firsts, "lines")
-    pairs = found.join(firsts, "h").where("id <> a OR tid <> at").select("a", "at", "id", "tid").distinct()
+    pairs = found.join(firsts.hint("merge"), "h").where("id <> a OR tid <> at").select("a", "at", "id", "tid").distinct()
     _, pairs = write_new(pairs, "pairs")
     counts = pairs.groupBy("a", "at").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts"))
     _, counts = write_new(counts, "pairs")
     _, pairs = write_new(
-        pairs.join(counts, ["a", "at"]).select("a", "at", "id", "tid", F.pmod(F.xxhash64("id", "tid"), F.col("parts")).cast("int").alias("part")), "pairs"
+        pairs.join(counts.hint("merge"), ["a", "at"]).select("a", "at", "id", "tid", F.pmod(F.xxhash64("id", "tid"), F.col("parts")).cast("int").alias("part")), "pairs"
     )
-    later = pairs.join(listed, ["id", "tid"]).select("a", "at", "part", F.lit(1).alias("kind"), "id", "tid", "hashes", "words")
+    later = pairs.join(listed.hint("merge"), ["id", "tid"]).select("a", "at", "part", F.lit(1).alias("kind"), "id", "tid", "hashes", "words")
     _, hubs = write_new(pairs.select("a", "at", "part").distinct(), "pairs")
-    first = hubs.join(listed, (hubs["a"] == listed["id"]) & (hubs["at"] == listed["tid"])).select(
+    first = hubs.join(listed.hint("merge"), (hubs["a"] == listed["id"]) & (hubs["at"] == listed["tid"])).select(
         "a", "at", "part", F.lit(0).alias("kind"), "id", "tid", "hashes", "words"
     )
     together = later.union(first).repartition("a", "at", "part").sortWithinPartitions("a", "at", "part", "kind")
@@ -254,4 +254,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out["text"].append("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text)
             yield out
 
-    return map_rows(given.join(lost, ["k", "kt"], "left").select("id", "text", "places"), rows, "id long, n_lines long, n_deleted long, deleted_words long, text string")
+    return map_rows(given.join(lost.hint("merge"), ["k", "kt"], "left").select("id", "text", "places"), rows, "id long, n_lines long, n_deleted long, deleted_words long, text string")
