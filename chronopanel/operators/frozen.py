@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators.pieces import CrossSection, ValueRanks
-from chronopanel.operators.snapshot import STATISTICS, snapshot_stats, statistic_name
+from chronopanel.operators.snapshot import known_statistics, snapshot_stats, statistic_name
 from chronopanel.panel import Panel, quoted
 from chronopanel.scale import DEFAULT_LIMITS, Limits, stored
 
@@ -60,10 +60,11 @@ def freeze(df: DataFrame, panel: Panel, columns: Sequence[str], limits: Limits =
     whole = Panel(panel.entity, EVERYTHING, panel.exact_scale)
     rows = df.select(quoted(panel.entity), F.lit(0).alias(EVERYTHING), *[quoted(c) for c in columns])
     cross = CrossSection(rows, whole, limits)
-    found = snapshot_stats(cross, [(c, s) for c in columns for s in STATISTICS]).first()
+    known = known_statistics()
+    found = snapshot_stats(cross, [(c, s) for c in columns for s in known]).first()
     if found is None:
         raise ValueError("there are no rows to freeze")
-    statistics = {c: {s: found[statistic_name(c, s)] for s in STATISTICS} | {"rows": float(found["__rows"])} for c in columns}
+    statistics = {c: {s: found[statistic_name(c, s)] for s in known} | {"rows": float(found["__rows"])} for c in columns}
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__f") + 1)
     ranked = cross.ranks(list(columns)).table.where(~F.isnan("__v"))
     values = stored(ranked.select(name.alias("column"), F.col("__v").alias("value"), F.col("__upto").alias("upto")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.operators.asof import latest_mark
 from chronopanel.scale import DEFAULT_LIMITS, Limits, add_neighbour, group_sizes, lookup_join
 
 # Keys left out, and the group of keys with fewer than two name parts.
@@ -87,3 +88,32 @@ def aligned_series(metrics: DataFrame, heartbeats: DataFrame, key: str = "key",
         ((F.col("epoch_ms") - F.lit(origin)) / 1000.0).alias("x"),
         "value",
     )
+
+
+def run_origins(heartbeats: DataFrame, run: str = "run", time: str = "time", keys: list[str] | None = None) -> DataFrame:
+    """keys, run and origin (milliseconds): the first heartbeat of every run."""
+    keys = keys or []
+    return heartbeats.groupBy(*keys, run).agg(F.min(milliseconds(F.col(time))).alias("origin"))
+
+
+def run_series(
+    metrics: DataFrame, origins: DataFrame, keys: list[str] | None = None, key: str = "key", run: str = "run", limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
+    """group, series, run, x, value: metric values at seconds since the start of the run they fall into.
+
+    ``metrics`` has the key, ``epoch_ms`` and ``value`` and does not know the runs: a sample belongs to the latest run of
+    ``origins`` (of the same ``keys``) that has begun.  Samples before any run have neither run nor x.
+    """
+    keys = keys or []
+    k = F.col(key)
+    kept = metrics.where(~k.startswith(EXCLUDED_PREFIX)).select(*keys, key, "epoch_ms", "value")
+    starts = origins.select(*keys, F.col("origin").alias("epoch_ms"), "origin", run)
+    found = latest_mark(kept, starts, keys, "epoch_ms", ["origin", run], limits)
+    return found.select(
+        *keys,
+        metric_group(k).alias("group"),
+        F.concat_ws(".", metric_name(k), metric_pid(k)).alias("series"),
+        run,
+        ((F.col("epoch_ms") - F.col("origin")) / 1000.0).alias("x"),
+        "value",
+    )

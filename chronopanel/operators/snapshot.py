@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,24 @@ from chronopanel.panel import Panel, named, quoted
 from chronopanel.scale import lookup_join, small_enough
 
 STATISTICS = ("mean", "min", "max", "median")
+#: Statistics of one's own: (panel, SQL of the value) -> SQL aggregate.
+OWN_STATISTICS: dict[str, Callable[[Panel, str], str]] = {}
+
+
+def register_statistic(name: str, aggregate: Callable[[Panel, str], str]) -> None:
+    """Make a cross-section statistic available to operators of kind ``distance`` under ``name``.
+
+    ``aggregate`` gives an SQL expression over Spark's aggregates of the value, which is a double or null, as in
+    ``lambda panel, v: f"sqrt(sum({v} * {v}) / nullif(count({v}), 0))"``.  It is computed with the other statistics in one
+    aggregation with map-side partials, whatever the size of a snapshot.
+    """
+    if name in STATISTICS or not name.isidentifier():
+        raise ValueError(f"{name} is no name for a statistic of one's own")
+    OWN_STATISTICS[name] = aggregate
+
+
+def known_statistics() -> tuple[str, ...]:
+    return (*STATISTICS, *OWN_STATISTICS)
 
 
 def statistic_name(column: str, statistic: str) -> str:
@@ -20,6 +38,10 @@ def statistic_name(column: str, statistic: str) -> str:
 
 def statistic_sql(panel: Panel, column: str, statistic: str) -> str:
     value = panel.number_sql(column)
+    if statistic in OWN_STATISTICS:
+        return f"CAST({OWN_STATISTICS[statistic](panel, value)} AS DOUBLE)"
+    if statistic not in STATISTICS:
+        raise ValueError(f"unknown statistic {statistic}; known: {', '.join(known_statistics())}")
     if statistic == "mean":
         total = panel.total_sql(f"sum({panel.summand_sql(value)})")
         return f"{total} / nullif(count({value}), 0)"
@@ -77,17 +99,21 @@ def _upper(count: Column) -> Column:
     return F.call_function("div", count + 2, F.lit(2))
 
 
-def add_distances(df: DataFrame, cross: CrossSection, distances: dict[str, tuple[str, str]]) -> DataFrame:
-    """Add ``{output: (column, statistic)}``: value minus its own snapshot's statistic.
+def add_distances(df: DataFrame, cross: CrossSection, distances: dict[str, tuple[str, str, str | None]]) -> DataFrame:
+    """Add ``{output: (column, statistic, unit)}``: value minus its own snapshot's statistic, in units of another one if given.
+
+    A unit of 0 gives null.
 
     ``df`` has the rows of ``cross`` and may have more columns.
     """
     panel = cross.panel
-    stats = snapshot_stats(cross, distances.values())
+    used = list(dict.fromkeys((column, s) for column, *found in distances.values() for s in found if s is not None))
+    stats = snapshot_stats(cross, used)
     joined = lookup_join(df, stats, [panel.snapshot], cross.sizes, "__rows", [panel.entity], cross.limits)
-    helpers = {statistic_name(column, statistic) for column, statistic in distances.values()}
-    made = {
-        out: f"{panel.number_sql(column)} - {quoted(statistic_name(column, statistic))}"
-        for out, (column, statistic) in distances.items()
-    }
+    helpers = {statistic_name(column, statistic) for column, statistic in used}
+    made = {}
+    for out, (column, statistic, unit) in distances.items():
+        made[out] = f"{panel.number_sql(column)} - {quoted(statistic_name(column, statistic))}"
+        if unit is not None:
+            made[out] = f"({made[out]}) / nullif({quoted(statistic_name(column, unit))}, 0.0D)"
     return joined.selectExpr("*", *named(made)).drop(*helpers)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.operators.ecdf import add_ecdf
@@ -86,7 +88,7 @@ def generate_features(
                 ranks = {s.out: s.source for s in batch}
                 current = add_ecdf(current, cross, ranks, slices)
             case "distance":
-                distances = {s.out: (s.source, s.operator.statistic) for s in batch}
+                distances = {s.out: (s.source, s.operator.statistic, s.operator.unit) for s in batch}
                 current = add_distances(current, cross, distances)
             case "score":
                 current = add_normal_scores(current, {s.out: s.source for s in batch})
@@ -156,3 +158,33 @@ def merge_features(container: DataFrame, block: DataFrame, panel: Panel) -> Data
     if clash:
         raise ValueError(f"both tables have columns {', '.join(sorted(clash))}")
     return container.join(block, panel.keys, "left")
+
+
+def merge_stored(spark: SparkSession, container: str, blocks: Sequence[str], panel: Panel) -> DataFrame:
+    """Left join of feature blocks to a container, all of them tables written by ``save_by_entity``: no row is shuffled.
+
+    Every bucket is merged by itself, and so is the check that a block has no key twice, which raises.  Tables that are not
+    bucketed by the entity, or into different numbers of buckets, raise, since their rows would have to move.
+    Needs the session settings of ``configure``.
+    """
+    buckets = {name: _buckets(spark, name) for name in (container, *blocks)}
+    wrong = [name for name, found in buckets.items() if found[1] != [panel.entity] or found != buckets[container]]
+    if wrong:
+        raise ValueError(f"not in {buckets[container][0]} buckets by {panel.entity}: {', '.join(wrong)}")
+    merged, keys = spark.table(container), [quoted(k) for k in panel.keys]
+    for name in blocks:
+        block = spark.table(name)
+        clash = (set(merged.columns) & set(block.columns)) - set(panel.keys)
+        if clash:
+            raise ValueError(f"both tables have columns {', '.join(sorted(clash))}")
+        repeated = block.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        if not repeated.isEmpty():
+            raise ValueError(f"{name} holds a key more than once")
+        merged = merged.join(block.hint("merge"), panel.keys, "left")
+    return merged
+
+
+def _buckets(spark: SparkSession, table: str) -> tuple[str | None, list[str]]:
+    """Number of buckets and the columns they are by."""
+    described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    return described.get("Num Buckets"), [c.strip("` ") for c in described.get("Bucket Columns", "[]").strip("[]").split(",")]

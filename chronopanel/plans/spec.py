@@ -13,6 +13,7 @@ from typing import Literal
 
 from chronopanel.operators.history import LAG_ROWS, MOVING_ROWS, lag_columns, moving_distance_columns
 from chronopanel.operators.scores import bucket_columns, tail_flag_columns
+from chronopanel.operators.snapshot import known_statistics
 from chronopanel.panel import Panel
 
 Kind = Literal["keep", "distance", "rank", "score", "row", "history"]
@@ -23,7 +24,7 @@ class Operator:
     """How a stage computes its columns.
 
     kind       keep      nothing to compute
-               distance  value minus ``statistic`` of its snapshot
+               distance  value minus ``statistic`` of its snapshot, in units of its statistic ``unit`` if there is one
                rank      empirical distribution rank in its snapshot
                score     standard normal quantile
                row       expressions over the input column, from ``columns``
@@ -37,6 +38,7 @@ class Operator:
     kind: Kind
     default: str = ""
     statistic: str | None = None
+    unit: str | None = None
     offsets: tuple[int, ...] = ()
     columns: Callable[[Panel, str, str], dict[str, str]] | None = None
     fixed_names: bool = False
@@ -82,6 +84,9 @@ def register(name: str, operator: Operator) -> None:
         raise ValueError(f"operator {name} of kind {operator.kind} needs columns")
     if operator.kind == "distance" and operator.statistic is None:
         raise ValueError(f"operator {name} needs a statistic")
+    unknown = {operator.statistic, operator.unit} - {None, *known_statistics()}
+    if unknown:
+        raise ValueError(f"operator {name} uses unknown statistics {', '.join(sorted(unknown))}")
     OPERATORS[name] = operator
 
 

@@ -27,9 +27,11 @@ def read_heartbeats(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def heartbeats_in(lines: DataFrame, text: str = "value") -> DataFrame:
-    """The same table out of the lines of a job log."""
+    """The same table out of the lines of a job log; other columns, such as the file, stay."""
+    others = [F.col(c) for c in lines.columns if c != text]
     fields = F.split(F.get(F.split(F.col(text), ":"), F.lit(1)), ",")
     return lines.where(F.col(text).contains(HEARTBEAT_MARKER)).select(
+        *others,
         F.trim(F.get(fields, F.lit(0))).try_cast("bigint").alias("time"),
         F.trim(F.get(fields, F.lit(1))).try_cast("bigint").alias("heartbeat"),
     )

@@ -249,7 +249,35 @@ def scheme_bucket(value: str, scheme: str) -> str:
     return f"(SELECT CASE WHEN COUNT(*) > 0 THEN CAST(COUNT(*) FILTER (border <= {value}) AS DOUBLE) END FROM {borders} b WHERE b.scheme_id = {scheme})"
 
 
+RUN = "strftime(date_trunc('week', ts), '%Y-%m-%d')"
 ORACLES: dict[str, str] = {
+    "cs_own_statistics": f"""
+        WITH panel AS ({PANELS["orders"]}),
+        z AS (SELECT t, id, price, price - sqrt(SUM(price * price) OVER ({SNAPSHOT}) / COUNT(price) OVER ({SNAPSHOT})) AS dr,
+              (price - {exact_mean("price", SNAPSHOT)}) / NULLIF(stddev_pop(price) OVER ({SNAPSHOT}), 0) AS z FROM panel)
+        SELECT strftime(t, '%Y-%m-%d') AS t, id, price, ROUND(dr, 6) + 0.0 AS "DR_price", ROUND(z, 6) + 0.0 AS "Z_price",
+               {", ".join(f'ROUND(LAG(z, {k}) OVER (PARTITION BY id ORDER BY t), 6) + 0.0 AS "L{k}_Z_price"' for k in (1, 2, 3, 6))} FROM z""",
+    "csv_rejects": """
+        WITH o AS (SELECT o_orderkey AS id, o_orderkey % 25 AS r, CAST(o_totalprice AS DECIMAL(18,2)) AS p,
+                   strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderstatus AS s FROM orders)
+        SELECT CASE WHEN good THEN id END AS id, CASE WHEN good THEN CAST(p AS DOUBLE) END AS price, CASE WHEN good THEN d END AS day,
+               CASE WHEN good THEN s END AS status,
+               CASE r WHEN 7 THEN concat(id, ',n/a,', d, ',', s) WHEN 9 THEN concat(id, ',', p) WHEN 11 THEN concat(',', p, ',', d, ',', s)
+                      WHEN 13 THEN concat(id, ',', p, ',31.12.1997,', s) WHEN 15 THEN concat(id, ',n/a,n/a,', s)
+                      WHEN 17 THEN concat(id, ',', p, ',', d, ',', s, ',more') WHEN 19 THEN concat(',n/a,', d, ',', s) END AS record,
+               CASE r WHEN 7 THEN 'price: unreadable' WHEN 9 THEN 'fields' WHEN 11 THEN 'id: missing' WHEN 13 THEN 'day: unreadable'
+                      WHEN 15 THEN 'price: unreadable, day: unreadable' WHEN 17 THEN 'fields' WHEN 19 THEN 'price: unreadable, id: missing' END AS problems
+        FROM (SELECT *, r NOT IN (7, 9, 11, 13, 15, 17, 19) AS good FROM o)""",
+    "run_curves": f"""
+        WITH s AS (SELECT {RUN} AS run, epoch_us(ts) * 1000 AS ns, {MS} AS ms, event_id AS y FROM events),
+        c AS (SELECT *, LAG(y) OVER (PARTITION BY run ORDER BY ns, y) AS before, (ms - MIN(ms) OVER (PARTITION BY run)) / 1000e0 AS x FROM s)
+        SELECT run, ns, x, 0 AS part, before AS y FROM c WHERE before IS NOT NULL
+        UNION ALL SELECT run, ns, x, 1, 0 FROM c UNION ALL SELECT run, ns, x, 2, y FROM c""",
+    "run_series": f"""
+        WITH o AS (SELECT {RUN} AS run, MIN({MS}) AS origin FROM events WHERE event_id % 7 = 0 GROUP BY 1),
+        m AS (SELECT * FROM ({METRICS}) WHERE name <> 'cpu.trace.error')
+        SELECT {METRIC_GROUP} AS "group", concat(name, '.', pid) AS series, run, (epoch_ms - origin) / 1000e0 AS x, value
+        FROM m ASOF LEFT JOIN o ON m.epoch_ms >= o.origin""",
     "appended_snapshots": f"""
         SELECT * FROM ({full_sql("orders", ALL, AMOUNTS, ["n_orders"])}) WHERE t >= '{APPENDS[1]}'""",
     "frozen_reference": frozen_sql(AMOUNTS),
@@ -307,6 +335,7 @@ ORACLES: dict[str, str] = {
         SELECT strftime(t, '%Y-%m-%d') AS t, id, price, DM_price, DMMI_price_2, DMMI_price_3, DMMI_price_6,
                cume_dist() OVER (PARTITION BY t ORDER BY DM_price) AS E_DM_price FROM a""",
     "ml_stages": full_sql("events", ALL, ["value"]),
+    "merge_buckets": full_sql("orders", {"DMI", "L"}, AMOUNTS),
     "merge_features": full_sql("orders", {"DMA"}, AMOUNTS),
     "snapshot_stats": f"""
         WITH panel AS ({PANELS["orders"]})

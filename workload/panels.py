@@ -16,6 +16,8 @@ ONE_DAY = "2017-01-01"
 # Borders of the parts in which the orders panel is appended, and the snapshot that is frozen.
 APPENDS = (dt.date(1900, 1, 1), dt.date(1998, 1, 1), dt.date(1998, 4, 1), dt.date(2100, 1, 1))
 FROZEN = dt.date(1997, 6, 1)
+# Buckets by entity; at scale as many as a shuffle would have partitions.
+BUCKETS = 8
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -170,3 +172,29 @@ def metric_samples(spark: SparkSession, sf: str) -> DataFrame:
         F.call_function("div", micros(F.col("ts")), F.lit(1000)).alias("epoch_ms"),
         "value",
     )
+
+
+def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """One column whose name is a CSV header and whose values are CSV records, some of them bad, by the order's key."""
+    id_, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    day, status = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderstatus")
+    bad = {
+        7: (id_, F.lit("n/a"), day, status),
+        9: (id_, price),
+        11: (F.lit(""), price, day, status),
+        13: (id_, price, F.lit("31.12.1997"), status),
+        15: (id_, F.lit("n/a"), F.lit("n/a"), status),
+        17: (id_, price, day, status, F.lit("more")),
+        19: (F.lit(""), F.lit("n/a"), day, status),
+    }
+    line = F.concat_ws(",", id_, price, day, status)
+    for rest, fields in bad.items():
+        line = F.when(F.col("o_orderkey") % 25 == rest, F.concat_ws(",", *fields)).otherwise(line)
+    return table(spark, sf, "orders").select(line.alias("id,price,day,status"))
+
+
+def weekly_job_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the job log and the week they are of."""
+    week = F.date_format(F.date_trunc("WEEK", "ts"), "yyyy-MM-dd").alias("run")
+    beat = F.concat(F.lit("___HEARTBEAT___:"), (micros(F.col("ts")) * 1000).cast("string"), F.lit(","), F.col("event_id").cast("string"))
+    return table(spark, sf, "events").select(week, beat.alias("value"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronopanel import FULL, KEEP, Stage, configure, generate_features, merge_features, recipe_from_table, shipped_controller, stored
 from chronopanel.functions.text import row_hash
@@ -14,10 +16,11 @@ from chronopanel.ml import FrozenPanel, as_json, transformers_for
 from chronopanel.operators import expand, metrics, profile, runlog, sketches
 from chronopanel.operators.pieces import CrossSection
 from chronopanel.operators.scoretable import score_table, scores_by_scheme
-from chronopanel.operators.snapshot import snapshot_stats
+from chronopanel.operators.snapshot import register_statistic, snapshot_stats
 from chronopanel.panel import Panel, quoted
 from chronopanel.plans.config import check_controller, controller_from_table, controller_table
-from chronopanel.plans.spec import CLONES
+from chronopanel.plans.generate import merge_stored
+from chronopanel.plans.spec import CLONES, Operator, register
 from chronopanel.plans.store import FeatureStore
 from chronopanel.scale import new_path
 from chronopanel.sources import logs, tables
@@ -119,6 +122,18 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
     return shown(keys)
 
 
+def merge_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature blocks stored in buckets by entity and merged in place."""
+    df = panels.orders_panel(spark, sf)
+    parts = {"keys": df.select(*PANEL.keys)} | {
+        c: generate_features(df.select(*PANEL.keys, c), PANEL, {c: [Stage("Cs_distanceFromMin"), Stage("Ts_lags")]}) for c in AMOUNTS
+    }
+    made = {name: f"merge_{name}_{uuid4().hex}" for name in parts}
+    for name, part in parts.items():
+        tables.save_by_entity(part, made[name], PANEL, panels.BUCKETS, new_path(spark, "buckets"))
+    return shown(merge_stored(spark, made["keys"], [made[c] for c in AMOUNTS], PANEL))
+
+
 def stats(spark: SparkSession, sf: str) -> DataFrame:
     df = panels.orders_panel(spark, sf)
     wanted = [(c, s) for c in AMOUNTS for s in ("mean", "min", "max", "median")]
@@ -334,7 +349,54 @@ def sketched_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return shown(ranks.select("event_type", "t", "share", "n", kept.alias("within_error")))
 
 
+register_statistic("rms", lambda panel, v: f"sqrt(sum({v} * {v}) / nullif(count({v}), 0))")
+register_statistic("spread", lambda panel, v: f"stddev_pop({v})")
+register("Cs_distanceFromRms", Operator("distance", "DR_", statistic="rms"))
+register("Cs_standardised", Operator("distance", "Z_", statistic="mean", unit="spread"))
+
+
+def own_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances from a statistic registered here, and in units of another."""
+    stages = (Stage("Cs_distanceFromRms"), Stage("Cs_standardised"), Stage("Ts_lags", "Z_"))
+    wide = generate_features(panels.orders_panel(spark, sf).select("t", "id", "price"), PANEL, {"price": stages})
+    return shown(wide, {"DR_": 6, "Z_": 6, "L": 6})
+
+
+def csv_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as CSV with unreadable, missing and surplus fields, read by a schema: good rows and rejects in one result."""
+    folder = new_path(spark, "rejects")
+    panels.order_lines(spark, sf).write.option("header", True).option("sep", "\x01").csv(f"{folder}/csv")
+    schema = StructType.fromDDL("id BIGINT NOT NULL, price DECIMAL(18,2) NOT NULL, day DATE, status STRING")
+    good, rejects = tables.ingest_checked(spark, f"{folder}/csv", f"{folder}/parquet", schema)
+    good = good.withColumn("price", F.col("price").cast("double"))
+    rejects = rejects.select("record", F.array_join("problems", ", ").alias("problems"))
+    return shown(good.unionByName(rejects, allowMissingColumns=True))
+
+
+def weekly_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Heartbeats of a log file a week, with the run they belong to: the name of the file's folder."""
+    path = new_path(spark, "runs")
+    panels.weekly_job_log(spark, sf).write.partitionBy("run").text(path)
+    beats = logs.heartbeats_in(logs.read_lines(spark, path))
+    return stored(beats.select(F.regexp_extract("file", "run=([^/]+)/", 1).alias("run"), "time", "heartbeat"))
+
+
+def run_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Step curves of several logs, each from its own first heartbeat."""
+    return metrics.step_curve(weekly_logs(spark, sf), ["run"])
+
+
+def run_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Metric samples, which know no runs, at seconds since the start of the run they fall into."""
+    beats = weekly_logs(spark, sf).where(F.col("heartbeat") % 7 == 0)
+    return metrics.run_series(stored(panels.metric_samples(spark, sf)), metrics.run_origins(beats))
+
+
 QUERIES: dict[str, Query] = {
+    "cs_own_statistics": own_statistics,
+    "csv_rejects": csv_rejects,
+    "run_curves": run_curves,
+    "run_series": run_series,
     "cs_distance_mean": features(panels.orders_panel, Stage("Cs_distanceFromMean"), columns=AMOUNTS),
     "cs_distance_min": features(panels.orders_panel, Stage("Cs_distanceFromMin"), columns=AMOUNTS),
     "cs_distance_max": features(panels.orders_panel, Stage("Cs_distanceFromMax"), columns=AMOUNTS),
@@ -368,6 +430,7 @@ QUERIES: dict[str, Query] = {
     "ranks_of_distances": ranks_of_distances,
     "ml_stages": ml_stages,
     "merge_features": merged,
+    "merge_buckets": merge_buckets,
     "snapshot_stats": stats,
     "snapshot_filter": snapshot_filter,
     "top20_latest": top20_latest,
