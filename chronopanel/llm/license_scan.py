@@ -8,8 +8,11 @@ t + 2s shingles, so one with 80 % of a template has a Jaccard similarity of at l
 window and the template share a band with probability 1 - (1 - 0.47^2)^32 > 0.9995; a
 verbatim template (0.66) is missed with a chance below 10^-7.
 
-Templates of fewer than ``SHORT`` shingles have windows of t shingles; their shingles are looked up
-one by one, which misses none.
+Templates of fewer than ``SHORT`` shingles have windows of t shingles that begin at every shingle, and
+``SHORT_BANDS`` = 12 bands of one minimum.  Up to four shingles 80 % of a template is all of it, so the sets
+are equal and every band matches; with five to seven the similarity of such a window is at least 4 / 6 and the
+chance to share no band at most (1 / 3)^12 < 2 * 10^-6.  A window shares a band if one of its shingles has
+the template's minimum and no other of its shingles less, so only windows around such shingles are compared.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from chronopanel.llm.common import map_rows
 from chronopanel.llm.license_templates import TEMPLATES
 from chronopanel.llm.shingles import MinHash, shingle_hashes, word_hashes
 
-WORDS, PERCENT, ROWS, BANDS, SEED, SHORT = 5, 80, 2, 32, 77, 8
+WORDS, PERCENT, ROWS, BANDS, SEED, SHORT, SHORT_BANDS = 5, 80, 2, 32, 77, 8, 12
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -57,14 +60,15 @@ class Scanner:
         self.variants = {a: {b for b, x in self.sets.items() if a != b and 100 * len(own & x) >= percent * len(own)} for a, own in self.sets.items()}
         #: (block size, blocks of a window) -> band keys -> templates
         self.shapes: dict[tuple[int, int], dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
-        #: shingle hash -> short templates with it
-        self.short: dict[int, list[str]] = defaultdict(list)
+        #: minimum -> short templates with it, for every band
+        self.short_minhash = MinHash(SHORT_BANDS, SEED + 1)
+        self.short: list[dict[int, list[str]]] = [defaultdict(list) for _ in range(SHORT_BANDS)]
         for name, text in templates.items():
             t = len(self.sets[name])
             hashes = np.unique(shingle_hashes(word_hashes(words_of(text)), WORDS))
             if t < SHORT:
-                for h in hashes.tolist():
-                    self.short[h].append(name)
+                for least, band in zip(self.short_minhash.values(hashes).min(axis=1).tolist(), self.short):
+                    band[least].append(name)
                 continue
             s = 1 << max(0, (t // 4).bit_length() - 1)
             # Any t shingles in a row start in some block and lie in t + s - 1 from its start.
@@ -73,7 +77,7 @@ class Scanner:
             for key in self.keys(minima[:, None])[:, 0].tolist():
                 self.shapes[shape][key].append(name)
         self.probes = {shape: self.probe(keys) for shape, keys in self.shapes.items()}
-        self.short_probe = self.probe(self.short)
+        self.short_probes = [self.probe(band) for band in self.short]
 
     @staticmethod
     def probe(keys: dict[int, list[str]]) -> np.ndarray:
@@ -89,21 +93,28 @@ class Scanner:
         return key * np.uint64(0xBF58476D1CE4E5B9)
 
     def candidates(self, words: list[bytes], part: int = 1 << 14) -> set[tuple[str, int, int]]:
-        """(template, first shingle, end) of the windows that share a band, or a shingle of a short one, with a template.
+        """(template, first shingle, end) of the windows that share a band with a template.
 
         A long text goes through in overlapping parts of bounded size.
         """
         hashes = shingle_hashes(word_hashes(words), WORDS) if len(words) >= WORDS else np.zeros(0, np.uint64)
         found: set[tuple[str, int, int]] = set()
-        for p in self.short_probe[hashes >> np.uint64(48)].nonzero()[0].tolist():
-            for name in self.short.get(int(hashes[p]), ()):
-                t = len(self.sets[name])
-                found.update((name, w, min(len(hashes), w + t)) for w in range(max(0, p - t + 1), p + 1))
         longest = max((s * q for s, q in self.shapes), default=0)
-        for at in range(0, len(hashes) if self.shapes else 0, part):
-            self._candidates(hashes[at : at + part + longest], at, found)
+        for at in range(0, len(hashes), part):
+            self._short_candidates(hashes[at : at + part + SHORT], at, found)
+            if self.shapes:
+                self._candidates(hashes[at : at + part + longest], at, found)
         return found
 
+    def _short_candidates(self, hashes: np.ndarray, at: int, found: set[tuple[str, int, int]]) -> None:
+        for values, names, probe in zip(self.short_minhash.values(hashes), self.short, self.short_probes):
+            for p in probe[values >> np.uint64(48)].nonzero()[0].tolist():
+                for name in names.get(int(values[p]), ()):
+                    t = len(self.sets[name])
+                    for w in range(max(0, p - t + 1), min(p, max(0, len(hashes) - t)) + 1):
+                        if values[w : w + t].min() == values[p]:
+                            found.add((name, at + w, at + min(len(hashes), w + t)))
+
     def _candidates(self, hashes: np.ndarray, at: int, found: set[tuple[str, int, int]]) -> None:
         values = self.minhash.values(hashes)
         blocks = {}

@@ -311,6 +311,31 @@ def test_license_wordings():
     assert "BSD-2-Clause" not in {h[0] for h in scanner.scan(license_scan.TEMPLATES["BSD-3-Clause"])}
 
 
+def test_short_licenses_come_through_bands():
+    """Whole wordings, and those that lack a word or have one altered, against a look at every window."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    short = {n: s for n, s in scanner.sets.items() if len(s) < license_scan.SHORT}
+    draw, altered = random.Random(4), 0
+    for name in sorted(short):
+        words = license_scan.TEMPLATES[name].split()
+        place = draw.randrange(len(words))
+        for own in (words, words[1:], words[:-1], words[:place] + ["altered"] + words[place + 1 :]):
+            far = [((1 << 14) - draw.randrange(12), 60)] if draw.random() < 0.05 else []
+            for before, after in [(0, 0), (3, 0), (40, 25), *far]:
+                text = f"{prose(5, before)} {' '.join(own)} {prose(6, after)}"
+                given = license_scan.words_of(text)
+                run = license_scan.shingles_of(given[max(0, before - 40) :])
+                brute = {n for n, s in short.items() if any(10 * len(s.intersection(run[i : i + len(s)])) >= 8 * len(s) for i in range(len(run)))}
+                windows = scanner.candidates(given)
+                found = {n for n in {w[0] for w in windows} & short.keys() if scanner.occurrences(n, sorted(w[1:] for w in windows if w[0] == n), given)}
+                assert found == brute, text[-300:]
+                altered += own is not words and name in brute
+    assert len(short) > 40 and altered > 40
+    # Nothing but the bands brings them.
+    scanner.short = [{} for _ in scanner.short]
+    assert not any(w[0] in short for n in short for w in scanner.candidates(license_scan.words_of(license_scan.TEMPLATES[n])))
+
+
 def test_license_notices_one_after_the_other():
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     for name in ("MIT", "MPL-2.0", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "MIT (line)"):
