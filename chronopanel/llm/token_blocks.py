@@ -14,11 +14,13 @@ file system with its commit protocol:
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,10 +122,11 @@ class WordTokenizer:
     """Ids as the tokenizers library gives them without special tokens, with a memory of words.
 
     For a byte-level BPE without normaliser, whose pieces are words of a fixed pattern,
-    a text is cut at white space into parts that the pattern never crosses; unknown
-    parts go through the pattern and their words through the library's model.  A text
-    with a special token, an odd control character, or any other kind of tokenizer goes
-    through the library as a whole.
+    a text is cut at white space into parts that the pattern never crosses.  Where single
+    blanks part them, the unknown parts of some texts go through the library in one string, whose
+    ids are dealt to them by the bytes they stand for; elsewhere each unknown part goes through the
+    pattern and its words through the library's model.  A text with a special token, an odd
+    control character, or any other kind of tokenizer goes through the library as a whole.
     """
 
     PARTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -132,6 +135,8 @@ class WordTokenizer:
     #: One word of the pattern.  And: without UNEVEN, a text cut at its blanks gives parts that begin with one blank, all but the first, and the pattern never crosses a cut.
     LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ʯ]+")
     UNEVEN = re.compile(r"\s\s")
+    #: Characters of texts that are cut before their unknown parts are looked up together.
+    SLICE = 1 << 20
 
     def __init__(self, path: str, memory: int = 800_000, longest: int = 60):
         self.library = Tokenizer.from_file(path)
@@ -145,6 +150,10 @@ class WordTokenizer:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        # Bytes that an id stands for: its piece has one letter for each.
+        pieces = self.library.get_vocab() if plain else {}
+        self.bytes = np.zeros(max(pieces.values(), default=0) + 1, np.int64)
+        self.bytes[list(pieces.values())] = [len(p) for p in pieces]
         # Parts and words that begin with a blank, by what follows it; all others.
         self.after, self.parts = Remembered(memory), Remembered(memory // 4)
 
@@ -171,30 +180,79 @@ class WordTokenizer:
                 memory.put(key, found)
         return found
 
+    def together(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of parts that follow a blank, from one call of the library; it is fastest on strings of a few hundred parts."""
+        strings = [" " + " ".join(keys[i : i + 300]) for i in range(0, len(keys), 300)]
+        if any(s in text for s in self.special for text in strings):
+            return {k: b"".join(map(self.word, self.WORDS.findall(" " + k))) for k in keys}
+        found = self.library.encode_batch_fast(strings, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+        reached = np.cumsum(self.bytes[ids])
+        ends = np.cumsum([len(k.encode("utf-8")) + 1 for k in keys])
+        last = np.searchsorted(reached, ends)
+        if last[-1] >= len(ids) or (reached[last] != ends).any():
+            raise ValueError("a piece of the tokenizer goes across a blank")
+        data, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+        return {k: data[i:j] for k, i, j in zip(keys, cuts, cuts[1:])}
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        if self.odd.search(text) or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if text[:1].isspace() or text[-1:].isspace() or self.UNEVEN.search(text):
-            parts = self.PARTS.findall(text)
-            found = list(map(self.parts.young.get, parts))
-            if None in found:
-                for i, part in enumerate(parts):
-                    if found[i] is None:
-                        found[i] = self.parts.young.get(part) or self.part(self.parts, part, part)
-        else:
-            parts = text.split(" ")
-            found = list(map(self.after.young.get, parts))
-            found[0] = self.part(self.parts, parts[0], parts[0])
-            if None in found:
-                for i, part in enumerate(parts):
-                    if found[i] is None:
-                        found[i] = self.after.young.get(part) or self.part(self.after, part, " " + part)
-        return b"".join(found)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; about ``SLICE`` characters are cut at a time."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= self.SLICE:
+                out += self._encode_all(held)
+                held, size = [], 0
+        return out + self._encode_all(held)
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        out, waiting, unknown = [], [], {}
+        for text in texts:
+            if self.odd.search(text) or any(s in text for s in self.special):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            elif text[:1].isspace() or text[-1:].isspace() or self.UNEVEN.search(text):
+                parts = self.PARTS.findall(text)
+                found = list(map(self.parts.young.get, parts))
+                if None in found:
+                    for i, part in enumerate(parts):
+                        if found[i] is None:
+                            found[i] = self.parts.young.get(part) or self.part(self.parts, part, part)
+                out.append(b"".join(found))
+            else:
+                parts = text.split(" ")
+                found = list(map(self.after.young.get, parts))
+                found[0] = self.parts.young.get(parts[0]) or self.part(self.parts, parts[0], parts[0])
+                open_at = []
+                if None in found:
+                    for i, part in enumerate(parts):
+                        if found[i] is None:
+                            found[i] = self.after.again(part)
+                            if found[i] is None:
+                                open_at.append((i, part))
+                                unknown[part] = b""
+                if open_at:
+                    waiting.append((len(out), found, open_at))
+                out.append(b"" if open_at else b"".join(found))
+        if unknown:
+            unknown = self.together(list(unknown))
+            for key, found in unknown.items():
+                if len(key) <= self.longest:
+                    self.after.put(key, found)
+        for place, found, open_at in waiting:
+            for i, part in open_at:
+                found[i] = unknown[part]
+            out[place] = b"".join(found)
+        return out
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
     return WordTokenizer(path)
 
 
@@ -232,8 +290,8 @@ def write_blocks(
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = own.encode(text) + end
+            for i, found in zip(b.column(0).to_pylist(), own.encode_all(b.column(1).to_pylist())):
+                found += end
                 held.append(found)
                 ids.append(i)
                 lengths.append(len(found) // 4)
