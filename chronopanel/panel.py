@@ -44,6 +44,12 @@ class Panel:
             return value
         return f"CAST(rint({value} * {10.0**self.exact_scale!r}D) AS DECIMAL(18, 0))"
 
+    def unit_sql(self, value: str) -> str:
+        """``summand_sql`` with an exact scale as a long, for sums of a few values; out of range it does what that does."""
+        units = f"rint({value} * {10.0**self.exact_scale!r}D)"
+        wide = f"CAST({self.summand_sql(value)} AS BIGINT)"
+        return f"CASE WHEN abs({units}) < 1E17D THEN CAST({units} AS BIGINT) ELSE {wide} END"
+
     def total_sql(self, total: str) -> str:
         """A sum of summands as double."""
         if self.exact_scale is None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ def generate_features(
     limits: Limits = DEFAULT_LIMITS,
     reference: Reference | None = None,
     earlier_rows: DataFrame | None = None,
+    same: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Keys, then every column followed by its features, as one lazy DataFrame.
 
@@ -45,6 +46,9 @@ def generate_features(
     With a ``reference`` ranks and distances are taken against that frozen cross-section
     instead of the rows' own snapshots.  ``earlier_rows`` (keys and the inputs of history
     features) precede the rows of ``df`` in the histories and do not come out, see ``plans.store``.
+
+    ``same`` says of columns which other column of ``df`` they equal in every row.  Those that only pass through
+    are then not taken along, but written out from that one at the end.
     """
     columns = panel.value_columns(df)
     unknown = [c for c in columns if c not in controller]
@@ -56,14 +60,15 @@ def generate_features(
     kinds = {s.operator.kind for s in pending}
 
     featured = {s.root for s in pending}
-    kept = [c for c in columns if c not in featured]
+    held = _holders(columns, featured, same or {})
+    kept = [c for c in dict.fromkeys(held.values()) if c not in featured]
     if len(kept) >= PACK_FROM:
         # Columns that only pass through travel as one value.
         together = f"struct({', '.join(quoted(c) for c in kept)}) AS {PACKED}"
-        current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns] if c not in kept], together)
+        current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns] if c in (*panel.keys, *featured)], together)
     else:
+        current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns] if c in (*panel.keys, *featured, *kept)])
         kept = []
-        current = df.selectExpr(*[quoted(c) for c in [*panel.keys, *columns]])
     def section(rows: DataFrame) -> CrossSection:
         return CrossSection(rows, panel, limits) if reference is None else FrozenSection(rows, panel, reference, limits)
 
@@ -111,9 +116,23 @@ def generate_features(
     for s in steps:
         features[s.root].extend(expressions[id(s)])
     wide = [*panel.keys, *[name for c in columns for name in [c, *features[c]]]]
-    return current.selectExpr(
-        *[f"{PACKED}.{quoted(c)} AS {quoted(c)}" if c in kept else quoted(c) for c in wide]
-    )
+    out = {c: held.get(c, c) for c in wide}
+    return current.selectExpr(*named({c: f"{PACKED}.{quoted(h)}" if h in kept else quoted(h) for c, h in out.items()}))
+
+
+def _holders(columns: list[str], featured: set[str], same: Mapping[str, str]) -> dict[str, str]:
+    """For every column the one whose values it is written out from: itself, unless it only passes through."""
+    unknown = (set(same) | set(same.values())) - set(columns)
+    if unknown:
+        raise ValueError(f"no columns {', '.join(sorted(unknown))} that could be the same")
+    held = {}
+    for c in columns:
+        seen, holder = {c}, c
+        while holder not in featured and same.get(holder, holder) not in seen:
+            holder = same[holder]
+            seen.add(holder)
+        held[c] = holder
+    return held
 
 
 def _items(batch: list[Step], expressions: dict[int, dict[str, str | None]]) -> list[str]:

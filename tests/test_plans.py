@@ -170,3 +170,22 @@ def test_rowwise_operators_on_a_stream(spark, wide, tmp_path):
     )
     query.awaitTermination(60)
     assert spark.table("scored").where("q is not null and B4_e between 1 and 5").count() == 50
+
+
+def test_columns_that_pass_through_and_equal_another_travel_once(spark, wide, panel):
+    clones = {f"c0_{i}": "c0" for i in range(1, 40)} | {"c1_1": "c1", "c1_2": "c1_1"}
+    df = wide.select("ID", "t", "c0", "c1").selectExpr("*", "c1 AS c1_1", "c1 AS c1_2", *[f"c0 AS c0_{i}" for i in range(1, 40)])
+    controller = {c: KEEP for c in df.columns} | {"c1": [Stage("Ts_lags")], "c0_7": [Stage("Ts_lags"), Stage("Cs_distanceFromMax")]}
+    plain = generate_features(df, panel, controller)
+    short = generate_features(df, panel, controller, same=clones)
+    assert short.columns == plain.columns and short.dtypes == plain.dtypes
+    assert short.exceptAll(plain).count() == 0 == plain.exceptAll(short).count()
+    assert "__packed" in plan_of(plain) and "__packed" not in plan_of(short)
+    with pytest.raises(ValueError, match="no columns c2 that"):
+        generate_features(df, panel, controller, same={"c2": "c0"})
+
+
+def test_columns_that_name_each_other_as_the_same(wide, panel):
+    df = wide.select("ID", "t", "c0").selectExpr("*", "c0 AS c1")
+    out = generate_features(df, panel, {"c0": KEEP, "c1": KEEP}, same={"c0": "c1", "c1": "c0"})
+    assert out.exceptAll(df.select("t", "ID", "c0", "c1")).count() == 0
