@@ -7,7 +7,6 @@ files appear under Spark's commit protocol on any file system, compressed as ``.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import html
 import json
@@ -46,19 +45,27 @@ HIDDEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
 CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
 BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|pre|blockquote|title|body)\b[^>]*>", re.I)
 TAGS = re.compile(r"<[a-zA-Z/!?][^>]*>")
-BLANK, LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
 ANCHOR, HREF = re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*=\s*", re.I)
 VALUE = re.compile(r"""\"([^"]*)"|'([^']*)'|([^\s>]+)""")
 TITLE, TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title", re.I)
 
 
+#: Two letters of base 32 for every ten bits, and where those of 160 bits are.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_PAIRS, _SHIFTS = [a + b for a in _LETTERS for b in _LETTERS], range(150, -1, -10)
+_DESCRIBED = json.JSONEncoder(ensure_ascii=False)
+
+
 def sha1(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """Digest in base 32, as WARC writes it."""
+    bits = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([_PAIRS[bits >> s & 1023] for s in _SHIFTS])
 
 
 def record_id(*parts: object) -> str:
-    """The same id for the same parts, so a repeated task writes the same records."""
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, json.dumps(parts))}>"
+    """The same id for the same parts, so a repeated task writes the same records: a UUID of version 5."""
+    x = hashlib.sha1(NAMESPACE.bytes + json.dumps(parts).encode()).hexdigest()
+    return f"<urn:uuid:{x[:8]}-{x[8:12]}-5{x[13:16]}-{'89ab'[int(x[16], 16) & 3]}{x[17:20]}-{x[20:32]}>"
 
 
 def shown(page: str) -> str:
@@ -89,7 +96,8 @@ def visible(page: str) -> str:
     page = BREAKS.sub("\n", page[:cut]) + page[cut:]
     cut = page.rfind(">") + 1
     page = TAGS.sub("", page[:cut]) + page[cut:]
-    return LINES.sub("\n", BLANK.sub(" ", html.unescape(page))).strip()
+    lines = [" ".join(line.split()) for line in html.unescape(page).split("\n")]
+    return "\n".join(filter(None, lines))
 
 
 def plain_text(page: str) -> str:
@@ -148,8 +156,10 @@ def responses(pages: DataFrame, date: str, url_col: str = "url", html_col: str =
 
 
 def append(out: dict[str, list], **values) -> None:
-    data = values["block"].encode("utf-8", "surrogatepass")
-    values |= {"content_length": len(data), "block_digest": sha1(data)}
+    """Add a record; the length and digest of its block are taken unless they are given."""
+    if "block_digest" not in values:
+        data = values["block"].encode("utf-8", "surrogatepass")
+        values |= {"content_length": len(data), "block_digest": sha1(data)}
     for f in FIELDS:
         out[f].append(values.get(f))
 
@@ -171,7 +181,8 @@ def derivatives(records: DataFrame) -> DataFrame:
                 head, page = http_block(None, r["block"])
                 seen = shown(page)
                 text = visible(seen)
-                title = title_of(page)
+                data = text.encode("utf-8", "surrogatepass")
+                digest, title = sha1(data), title_of(page)
                 http = dict(line.split(":", 1) for line in head.split("\r\n")[1:] if ":" in line)
                 described = {
                     "warc": {HEADERS[f]: r[f] for f in HEADERS if r[f] is not None},
@@ -179,13 +190,13 @@ def derivatives(records: DataFrame) -> DataFrame:
                     "title": None if title is None else plain_text(title),
                     "links": links_of(seen),
                     "text_length": len(text),
-                    "text_digest": sha1(text.encode("utf-8", "surrogatepass")),
+                    "text_digest": digest,
                 }
                 seed = (r["record_id"], r["payload_digest"], r["target_uri"])
                 ids = record_id("metadata", *seed), record_id("conversion", *seed)
                 shared = {f: r[f] for f in ("target_uri", "date", "payload_digest")} | {"refers_to": r["record_id"], "source_headers": json.dumps(head)}
-                append(out, **shared, record_type="metadata", record_id=ids[0], concurrent_to=ids[1], content_type="application/json", block=json.dumps(described, ensure_ascii=False))
-                append(out, **shared, record_type="conversion", record_id=ids[1], concurrent_to=ids[0], content_type="text/plain; charset=utf-8", block=text)
+                append(out, **shared, record_type="metadata", record_id=ids[0], concurrent_to=ids[1], content_type="application/json", block=_DESCRIBED.encode(described))
+                append(out, **shared, record_type="conversion", record_id=ids[1], concurrent_to=ids[0], content_type="text/plain; charset=utf-8", block=text, content_length=len(data), block_digest=digest)
             yield out
 
     return map_rows(records.where("record_type = 'response'").select(*FIELDS), rows, RECORD)
