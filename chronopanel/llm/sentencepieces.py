@@ -7,14 +7,15 @@ before it, which means that merging the two together leaves just these two.  Wit
 the table filled, the ids are read backwards from the end.
 
 No piece has a space mark after another character, so no merge crosses into a space
-mark and a text is encoded run by run: a run is some space marks and what follows.
+mark.  Nor does one go from a letter to a sign that follows no letter in any piece.  So a text is encoded
+run by run: runs end before space marks, and between a letter and such a sign.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -26,7 +27,17 @@ from pyspark.sql import functions as F
 from chronopanel.llm.common import Remembered, map_rows
 
 MARK = "▁"
-RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and (c.isascii() or c >= "À"))
+
+
+def runs_of(pieces: Iterable[str]) -> re.Pattern:
+    """Cuts a text before space marks, and after a letter of ``LETTERS`` before a sign that follows none in any piece."""
+    pairs = {pair for piece in pieces for pair in zip(piece, piece[1:])}
+    signs = {c for c in map(chr, range(33, 127)) if not c.isalnum()} - {b for a, b in pairs if a in LETTERS}
+    if not signs:
+        return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+    sign = "".join(map(re.escape, sorted(signs)))
+    return re.compile(rf"{MARK}*+[{sign}]*+[{LETTERS}]++(?={MARK}|[{sign}]|\Z)|{MARK}*+[^{MARK}]+|{MARK}+")
 
 
 def _steps(edge: list[tuple[float | None, str | None]]) -> list[tuple[float, str]]:
@@ -51,6 +62,7 @@ class PieceEncoder:
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         if any(model.is_unused(i) for i in plain) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the model has unused pieces or pieces that cross a space")
+        self.runs = runs_of(self.ids)
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.falls_back = model.is_byte(self.bytes[0])
         # Only a piece that its own encoding reproduces can be the last of a prefix.
@@ -167,7 +179,7 @@ class PieceEncoder:
         """Ids of a whole text, and the same as decimal numbers joined by commas."""
         if not text:
             return [], ""
-        runs = RUN.findall(self.library.normalize(text))
+        runs = self.runs.findall(self.library.normalize(text))
         known = self.known
         found = list(map(known.young.get, runs))
         if None in found:
